@@ -1,11 +1,50 @@
-"""All queries by name, with the SQL they are held against."""
+"""All queries by name, with the SQL they are held against. Each runs over its whole tables."""
 
 from __future__ import annotations
 
+from quillon.operators import edges as E
+from quillon.operators import graph as G
+from quillon.operators.pairs import cooccurrence
+from quillon.plans import bundles, oracles, panels, relational, shapes
+from quillon.plans.derived import delivered
+from quillon.plans.views import VIEWS
+
+AS_OF = "2026-12-31"
+
+
+def _view(name: str):
+    v = VIEWS[name]
+    return lambda spark, sf: v.build(delivered(spark, sf)).select(*v.columns)
+
+
+def _panel(build, *args, **kwargs):
+    return lambda spark, sf: build(delivered(spark, sf), *args, **kwargs)
+
+
+PANELS = {
+    "panel_summary": _panel(panels.summary), "panel_completion_timeline": _panel(panels.completion_timeline), "panel_top_cited": _panel(panels.top_cited), "panel_top_authors": _panel(panels.top_authors), "panel_depth_distribution": _panel(panels.depth_distribution),
+    "panel_reuse_nodes": _panel(panels.reuse_nodes), "panel_reuse_links": _panel(panels.reuse_links), "panel_sophistication": _panel(panels.sophistication), "panel_line_handoffs": _panel(panels.line_handoffs),
+    "panel_research_lines": lambda spark, sf: panels.research_lines(delivered(spark, sf)).drop("sub_cluster_count").withColumnRenamed("authors", "_a").drop("_a"), "panel_line_threads": _panel(panels.line_threads),
+    **{f"panel_top_{k}s": _panel(panels.top_names, k) for k in ("organism", "method", "journal", "function", "database")},
+    "panel_database_matrix": _panel(panels.database_matrix), "panel_question_grid": _panel(panels.question_grid), "panel_question_pairs": _panel(panels.question_pairs), "panel_discoveries_timeline": _panel(panels.discoveries_timeline), "panel_topic_trends": _panel(panels.topic_trends),
+    "panel_claims_by_month": _panel(panels.claims_by_month), "panel_dark_matter": _panel(panels.dark_matter), "panel_gantt": _panel(panels.gantt), "panel_gantt_blocks": _panel(panels.gantt_blocks), "panel_underexplored": _panel(panels.underexplored), "panel_thread_links": _panel(panels.thread_links),
+    "panel_topic_neighbourhoods": _panel(panels.topic_neighbourhoods), "panel_author_links": _panel(panels.author_links), "panel_author_nodes": _panel(panels.author_nodes), "panel_edge_types": _panel(panels.edge_types), "panel_edge_type_samples": _panel(panels.edge_type_samples),
+    "panel_revision_kinds": _panel(panels.revision_kind_counts), "panel_revision_kind_trend": _panel(panels.revision_kind_trend), "panel_plausible": _panel(panels.plausible), "panel_findings": _panel(panels.findings), "panel_recommendations": _panel(panels.recommendations),
+    "panel_metrics_to_watch": _panel(panels.metrics_to_watch), "panel_cohort_slope": _panel(panels.cohort_slope), "panel_cohort_trends": _panel(panels.cohort_trends),
+    **{f"panel_{n}_by_month": _panel(panels.rate_by_month, t) for n, t in (("negative", panels.NEGATIVE), ("positive", panels.POSITIVE))},
+    **{f"panel_{n}_by_project": _panel(panels.rate_by_project, t) for n, t in (("negative", panels.NEGATIVE), ("positive", panels.POSITIVE))},
+    **{f"panel_{n}_samples": _panel(panels.rate_samples, t) for n, t in (("negative", panels.NEGATIVE), ("positive", panels.POSITIVE))},
+    "panel_untracked_projects": _panel(panels.untracked_projects), "panel_stuck": _panel(panels.stuck, AS_OF), "panel_reach": _panel(panels.reach), "panel_weekly_pulse": _panel(panels.weekly_pulse), "panel_project_details": _panel(panels.project_details),
+    "panel_entity_details": _panel(panels.entity_details), "panel_author_details": _panel(panels.author_details),
+    "panel_topic_links": lambda spark, sf: cooccurrence(delivered(spark, sf).table("entity_mentions"), ("organism", "method", "database")),
+    "panel_topic_cosine": lambda spark, sf: G.cosine_pairs(G.signatures(delivered(spark, sf).table("entity_mentions"))),
+    "panel_components": lambda spark, sf: G.components(E.declared(delivered(spark, sf).table("reuse_edges"))),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: _view(name) for name in VIEWS} | PANELS | bundles.QUERIES | shapes.QUERIES | relational.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.VIEWS | oracles.PANELS | bundles.SQL | shapes.SQL | relational.SQL
