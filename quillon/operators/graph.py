@@ -6,7 +6,7 @@ import random
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.functions.text import matched
@@ -18,9 +18,11 @@ MAX_ROUNDS = 200
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): weakly connected components, named by their least node.
 
-    Labels jump along labels: each round a node takes the least label of its neighbours and then the
-    label of that label, so chains halve. Each round is written to the shared folder. Ends when no
-    label changes; raises if that takes MAX_ROUNDS rounds. Edges with a null end are left out.
+    Each round a node learns the least label among its neighbours and tells it to the node that its own
+    label names as well (hooking), and then takes the label of its label (jumping). Trees of labels so
+    join and flatten in about log n rounds, also along chains. Each round is written to the shared
+    folder. Ends when no label changes; raises if that takes MAX_ROUNDS rounds. Edges with a null end
+    are left out.
     """
     work = Workspace(edges.sparkSession)
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
@@ -28,13 +30,19 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     labels = work.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     for _ in range(MAX_ROUNDS):
         offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
-        near = labels.join(offered, "node").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("via"))
-        hop = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        new = work.keep(near.join(hop, "via").select("node", "old", F.least("via", "beyond").alias("label")))
-        settled = new.where("label <> old").isEmpty()
+        told = labels.join(offered, "node").where("offer < label")
+        heard = told.select("node", "offer").unionAll(told.select(F.col("label").alias("node"), "offer")).groupBy("node").agg(F.min("offer").alias("offer"))
+        seen = Observation()
+        hooked = labels.join(heard, "node", "left").select("node", F.least("label", "offer").alias("label"), F.col("offer").isNotNull().alias("moved"))
+        hooked = work.keep(hooked.observe(seen, F.count_if("moved").alias("n")).drop("moved"))
+        hop = hooked.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        jumping = Observation()
+        jumped = hooked.join(hop, "label").select("node", F.col("beyond").alias("label"), (F.col("beyond") < F.col("label")).alias("moved"))
+        new = work.keep(jumped.observe(jumping, F.count_if("moved").alias("n")).drop("moved"))
         work.drop(labels)
-        labels = new.select("node", "label")
-        if settled:
+        work.drop(hooked)
+        labels = new
+        if not seen.get["n"] and not jumping.get["n"]:
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError("the components did not settle")
 
@@ -126,7 +134,7 @@ def communities(edges: DataFrame, group: str, resolution: float = 1.0, seed: int
     """
     kind = dict(edges.dtypes)[group]
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         weights: dict = defaultdict(float)
         for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"]):
             weights[min(a, b), max(a, b)] += float(w)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import days_between
 from quillon.operators import edges as E
+from quillon.session import Workspace
 
 # fixed values: the ingredients of each axis and their weights
 AXES = {
@@ -34,7 +35,8 @@ class ScoreConfig:
 def ingredients(projects: DataFrame, sections: DataFrame, mentions: DataFrame, reuse: DataFrame, project_authors: DataFrame) -> DataFrame:
     """One row for each row of ``projects`` with all ingredients, 0 where there is nothing."""
     authors = E.memberships(project_authors)
-    classified = E.classify_edges(E.declared(reuse), authors)
+    # five ingredients read the classification, so it is made once and written
+    classified = Workspace(projects.sparkSession).keep(E.classify_edges(E.declared(reuse), authors))
     size = sections.groupBy("project_id").agg(F.sum("byte_size").alias("canonical_doc_bytes"))
     kind = lambda k: F.when(F.col("entity_kind") == k, F.col("canonical_id"))
     named = mentions.groupBy("project_id").agg(

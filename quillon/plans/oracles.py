@@ -134,10 +134,10 @@ VIEWS = {
     "revision_depth_distribution": f"SELECT {_BUCKET} depth_bucket, count(*) project_count, round(100.0 * count(*) / sum(count(*)) OVER (), 1)::DOUBLE pct, list(project_id ORDER BY revision_depth DESC NULLS LAST, project_id) project_ids FROM projects GROUP BY 1",
     "methodology_evolution_narration": _sql("rev", "SELECT project_id, version_label, version_date, date_precision, source_doc, change_description FROM rev WHERE project_id IN (SELECT project_id FROM projects WHERE revision_depth >= 3)"),
     "iteration_density": "SELECT project_id, revision_depth, start_date, completion_date, CAST(datediff('day', start_date, completion_date) AS INTEGER) days_active, round(revision_depth::DOUBLE / nullif(datediff('day', start_date, completion_date), 0), 3) revisions_per_day FROM projects WHERE revision_depth >= 2",
-    "top_cited_projects": _sql("cls", """SELECT dst dst_project_id, count(*) in_degree, count(src) FILTER (WHERE NOT shared) cross_in_degree, coalesce(any_value(d.n), 0) distinct_downstream_authors, coalesce(any_value(d.l), []) downstream_author_ids, coalesce(any_value(t.n), 0) total_citing_sections, list(DISTINCT src ORDER BY src) FILTER (WHERE src IS NOT NULL) cited_by
+    "top_cited_projects": _sql("cls", """SELECT dst dst_project_id, count(*) in_degree, count(src) FILTER (WHERE NOT shared) cross_in_degree, coalesce(any_value(d.n), 0) distinct_downstream_authors, coalesce(any_value(d.l), []) downstream_author_ids, coalesce(any_value(t.n), 0) total_citing_sections, coalesce(list(DISTINCT src ORDER BY src) FILTER (WHERE src IS NOT NULL), []) cited_by
         FROM cls LEFT JOIN (SELECT c.dst d, count(DISTINCT aid) n, list(DISTINCT aid ORDER BY aid) l FROM cls c JOIN mem ON pid = c.src WHERE NOT shared AND c.dst IS NOT NULL GROUP BY 1) d ON d.d = dst LEFT JOIN (SELECT dst_project_id d, count(*) n FROM reuse_edges WHERE confidence_tier = 'declared' GROUP BY 1) t ON t.d = dst GROUP BY dst"""),
-    "top_citing_projects": "SELECT src_project_id, count(DISTINCT dst_project_id) out_degree, count(*) total_citing_sections, list(DISTINCT dst_project_id ORDER BY dst_project_id) FILTER (WHERE dst_project_id IS NOT NULL) cites FROM reuse_edges WHERE confidence_tier = 'declared' GROUP BY 1",
-    "distinct_reuse_pairs": "SELECT src_project_id, dst_project_id, count(*) citing_section_count, list(DISTINCT source_section ORDER BY source_section) FILTER (WHERE source_section IS NOT NULL) sections, list(DISTINCT source_doc ORDER BY source_doc) FILTER (WHERE source_doc IS NOT NULL) docs, CAST(sum(occurrence_count) AS BIGINT) total_occurrences FROM reuse_edges WHERE confidence_tier = 'declared' GROUP BY 1, 2",
+    "top_citing_projects": "SELECT src_project_id, count(DISTINCT dst_project_id) out_degree, count(*) total_citing_sections, coalesce(list(DISTINCT dst_project_id ORDER BY dst_project_id) FILTER (WHERE dst_project_id IS NOT NULL), []) cites FROM reuse_edges WHERE confidence_tier = 'declared' GROUP BY 1",
+    "distinct_reuse_pairs": "SELECT src_project_id, dst_project_id, count(*) citing_section_count, coalesce(list(DISTINCT source_section ORDER BY source_section) FILTER (WHERE source_section IS NOT NULL), []) sections, coalesce(list(DISTINCT source_doc ORDER BY source_doc) FILTER (WHERE source_doc IS NOT NULL), []) docs, CAST(sum(occurrence_count) AS BIGINT) total_occurrences FROM reuse_edges WHERE confidence_tier = 'declared' GROUP BY 1, 2",
     "amplification_rate": _sql("dec", "SELECT p.n total_projects, c.n projects_with_declared_citation, round(100.0 * c.n / nullif(p.n, 0), 1)::DOUBLE amplification_pct FROM (SELECT count(*) n FROM projects) p, (SELECT count(*) n FROM (SELECT DISTINCT src FROM dec)) c"),
     "authors_by_project_count": "SELECT canonical_name, orcid_id, count(DISTINCT project_id) project_count, list(DISTINCT project_id ORDER BY project_id) projects FROM authors JOIN project_authors USING (author_id) GROUP BY 1, 2",
     "coauthorship_edges": _sql("mem", "SELECT x.n author_1, y.n author_2, count(DISTINCT a.pid) shared_projects, list(DISTINCT a.pid ORDER BY a.pid) project_ids FROM mem a JOIN mem b ON a.pid = b.pid AND a.aid < b.aid JOIN (SELECT DISTINCT author_id, canonical_name n FROM authors) x ON x.author_id = a.aid JOIN (SELECT DISTINCT author_id, canonical_name n FROM authors) y ON y.author_id = b.aid GROUP BY 1, 2"),
