@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.functions.text import matched
-from quillon.session import Workspace
+from quillon.session import Workspace, observed
 
 MAX_ROUNDS = 200
 
@@ -39,10 +39,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         jumping = Observation()
         jumped = hooked.join(hop, "label").select("node", F.col("beyond").alias("label"), (F.col("beyond") < F.col("label")).alias("moved"))
         new = work.keep(jumped.observe(jumping, F.count_if("moved").alias("n")).drop("moved"))
+        moved = observed(seen, hooked) + observed(jumping, new)
         work.drop(labels)
         work.drop(hooked)
         labels = new
-        if not seen.get["n"] and not jumping.get["n"]:
+        if not moved:
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError("the components did not settle")
 

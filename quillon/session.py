@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -89,5 +90,14 @@ class Workspace:
             pass
 
 
+def observed(seen: Observation, kept: DataFrame, name: str = "n") -> int:
+    """The observed count behind a table just written. Where Spark found the plan empty it observes
+    nothing: then 0 if the table is empty, and otherwise 1, so that a loop goes on rather than ends."""
+    try:
+        return seen.get[name] or 0
+    except (Py4JError, KeyError, TypeError):
+        return 0 if kept.isEmpty() else 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
