@@ -82,6 +82,7 @@ class Trie:
         self.first = np.append(0, np.cumsum(counts))
         self.child = np.array([c for e in edges for c in e.values()], dtype=np.int32)
         self.sign = np.array([ord(s) for e in edges for s in e], dtype=np.int32)
+        self.longest = max((len(form) for _, form, _ in forms), default=0)
         self.end_first = np.append(0, np.cumsum([len(e) for e in ends]))
         self.values = np.array([v for e in ends for v in e], dtype=np.int64)
 
@@ -91,7 +92,7 @@ class Trie:
         ``queries``: (group, text); a group without forms finds nothing.
         """
         k = automaton.most
-        known = [i for i, (group, _) in enumerate(queries) if group in self.roots]
+        known = [i for i, (group, text) in enumerate(queries) if group in self.roots and len(text) <= self.longest + limits[i]]
         longest = max((len(queries[i][1]) for i in known), default=0)
         text = np.full((len(queries), longest + 2 * k + 4), -1, dtype=np.int32)  # shifted by k + 1
         for i in known:
@@ -139,18 +140,27 @@ def _within(counts: np.ndarray) -> np.ndarray:
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """The same distance for two strings, by rows; a distance over ``most`` may come out as most + 1."""
-    if most is not None and abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
+    """The same distance for two strings; one over ``most`` comes out as most + 1. With ``most`` only the
+    band of that width is computed, so long strings take time in proportion to their length."""
+    if a == b:
+        return 0
+    k = max(len(a), len(b)) if most is None else most
+    if abs(len(a) - len(b)) > k:
+        return k + 1
+    far = k + 1
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(k, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
+        new: dict[int, int] = {}
+        for j in range(max(0, i - k), min(len(b), i + k) + 1):
+            if j == 0:
+                new[0] = i
+                continue
+            d = min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                d = min(d, before.get(j - 2, far) + 1)
+            new[j] = min(d, far)
         before, row = row, new
-        if most is not None and min(row) > most:
-            return most + 1
-    return row[-1]
+        if most is not None and min(row.values()) > most:
+            return far
+    return row.get(len(b), far)

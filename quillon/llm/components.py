@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quillon.session import Workspace
+from quillon.session import Workspace, observed
 
 MAX_ROUNDS = 200  # far beyond the logarithmic number that a graph needs; reaching it is an error
 
@@ -49,8 +49,9 @@ def connected_groups(edges: DataFrame, src_col: str, dst_col: str) -> DataFrame:
 
 def _step(work: Workspace, old: DataFrame, new: DataFrame, seen: Observation) -> tuple[DataFrame, int]:
     kept = work.keep(new)
+    moved = observed(seen, kept)
     work.drop(old)
-    return kept, seen.get["n"] or 0
+    return kept, moved
 
 
 def _large_star(work: Workspace, graph: DataFrame) -> tuple[DataFrame, int]:

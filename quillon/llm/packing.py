@@ -58,9 +58,14 @@ def _pack(sizes: list[tuple[int, int]], opening: int, capacities: list[int], bin
             frees.pop(at)
         return g
 
+    def part(held: list[tuple[int, int, int]], skipped: int) -> list[tuple[int, int, int]]:
+        """What a group's bins hold from the bin ``skipped`` on: the ranks move on by the items before."""
+        return [(size, each, rank + skipped * each) for size, each, rank in held]
+
     def fill(g: int, size: int, rank: int, left: int) -> int:
         """Puts up to ``left`` items into the bins of g, as many in each as fit; what stays open is shelved."""
         capacity, free, count, held = groups[g]
+        groups[g] = None
         each = free // size
         full = min(count, left // each)
         used = 0
@@ -68,16 +73,15 @@ def _pack(sizes: list[tuple[int, int]], opening: int, capacities: list[int], bin
             groups.append([capacity, free - each * size, full, [*held, (size, each, rank)]])
             shelve(len(groups) - 1)
             used = full * each
-        if full < count:
-            rest = min(left - used, each)
-            if rest and left - used < each:
-                groups.append([capacity, free - rest * size, 1, [*held, (size, rest, rank + used)]])
-                shelve(len(groups) - 1)
-                used, full = used + rest, full + 1
-            if full < count:
-                groups.append([capacity, free, count - full, held])
-                shelve(len(groups) - 1)
-        groups[g] = None
+        done = full
+        if done < count and 0 < left - used < each:
+            rest = left - used
+            groups.append([capacity, free - rest * size, 1, [*part(held, done), (size, rest, rank + used)]])
+            shelve(len(groups) - 1)
+            used, done = left, done + 1
+        if done < count:
+            groups.append([capacity, free, count - done, part(held, done)])
+            shelve(len(groups) - 1)
         return used
 
     for size, n in sorted(sizes, reverse=True):

@@ -53,11 +53,11 @@ class SetJoin:
             copies.select(F.col("class_id"), F.col("id").alias("id_2"), F.col("side").alias("side_2")), "class_id"
         )
         columns = ["id_1", "side_1", "id_2", "side_2"]
-        inside = inside.where("side_1 < side_2" if self.between else "id_1 < id_2")
-        both = across.select(columns).unionAll(inside.select(columns))
+        # a class is of one table, so between two tables its members don't pair
+        both = across.select(columns) if self.between else across.select(columns).unionAll(inside.where("id_1 < id_2").select(columns))
         if self.between:
             swap = F.col("side_1") > F.col("side_2")
-            return both.where("side_1 <> side_2").select(F.when(swap, F.col("id_2")).otherwise(F.col("id_1")).alias("id_a"), F.when(swap, F.col("id_1")).otherwise(F.col("id_2")).alias("id_b"))
+            return both.select(F.when(swap, F.col("id_2")).otherwise(F.col("id_1")).alias("id_a"), F.when(swap, F.col("id_1")).otherwise(F.col("id_2")).alias("id_b"))
         return both.select(F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))
 
     def links(self) -> DataFrame:
@@ -138,9 +138,9 @@ def similar_sets(
     big_rows = sized.where(F.col("n") >= large_size)
     big_ids = work.keep(big_rows.select("side", "id", "n").distinct().withColumn("sid", F.lit(1 << 62) + F.monotonically_increasing_id()))
 
-    # identical sets: only where every value is shared
-    whole = small.where("e = n").groupBy("tokens").agg(F.min("sid").alias("class_id"), F.count("*").alias("k")).where("k > 1")
-    classes = work.keep(small.where("e = n").join(whole, "tokens").select("sid", "class_id"))
+    # identical sets of one table: only where every value is shared
+    whole = small.where("e = n").groupBy("side", "tokens").agg(F.min("sid").alias("class_id"), F.count("*").alias("k")).where("k > 1")
+    classes = work.keep(small.where("e = n").join(whole, ["side", "tokens"]).select("sid", "class_id"))
     members = (
         small.join(classes, "sid", "left")
         .select(F.coalesce("class_id", "sid").alias("class_id"), F.col("class_id").isNotNull().alias("copies"), "side", "id")

@@ -69,6 +69,8 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[in
     rank = boundary_ranks(codes)
     room = limit - overlap
     at = np.arange(n + 1, dtype=np.int32 if n < 2**31 else np.int64)
+    torn = np.zeros(n + 1, dtype=bool)
+    torn[1:n] = (codes[:-1] == 13) & (codes[1:] == 10)
     last = {kind: np.maximum.accumulate(np.where(rank >= kind, at, 0)) for kind in (3, 2, 1)}
 
     def successors(start: np.ndarray, reach: int, least: int) -> np.ndarray:
@@ -76,11 +78,14 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[in
         best, found = far.copy(), far == n
         for kind in (3, 2, 1):
             there = last[kind][far]
-            half = ~found & (there >= start + (reach + 1) // 2)
+            half = ~found & (there >= start + max(least, (reach + 1) // 2))
             best[half], found[half] = there[half], True
         there = last[1][far]
         short = ~found & (there >= start + least)
-        best[short] = there[short]
+        best[short], found[short] = there[short], True
+        # cut anywhere, but not between a carriage return and its line feed
+        back = ~found & torn[far] & (far - 1 >= start + least)
+        best[back] -= 1
         return best
 
     # the first piece is long enough to lend the whole overlap
