@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.session import Workspace
+
 # fixed values: letters that look like a Latin letter in common fonts
 LOOK_ALIKES = {
     # Cyrillic
@@ -147,7 +149,8 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Equal texts are grouped first; pairs form between different texts of one form only, never within
     copies of one text. Repeated ids count once.
     """
-    keys = look_keys(df, id_col, text_col).distinct()
+    # read twice below, so the texts are brought to their form once and the digests are written
+    keys = Workspace(df.sparkSession).keep(look_keys(df, id_col, text_col)).distinct()
     forms = keys.groupBy("look_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("look_key")
     held = keys.join(forms, "look_key")
     one = held.select("look_key", F.col("id").alias("id_a"), F.col("text_key").alias("key_a"))
