@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.schemas import KEYS, SCHEMAS, conform, key_violations
+from quillon.session import Workspace
 
 
 class Warehouse:
@@ -74,7 +75,7 @@ class Warehouse:
 
     def append_new(self, name: str, df: DataFrame) -> DataFrame:
         """Appends rows whose key is not there yet; returns them."""
-        new = missing(conform(df, name), self.table(name), KEYS[name])
+        new = Workspace(self.spark).keep(missing(conform(df, name), self.table(name), KEYS[name]))
         new.write.mode("append").parquet(self.path(name))
         return new
 
