@@ -14,11 +14,15 @@ from quillon.session import Workspace
 class Warehouse:
     """Tables under one folder, as <name>.parquet; a table that isn't there is empty.
 
-    ``derived`` gives tables that are computed rather than stored, by name.
+    ``derived`` gives tables that are computed rather than stored, by name. Those in ``made_once`` are
+    written to the shared folder when they are first asked for, because several readers follow.
     """
 
+    made_once = ("sophistication_composite", "research_lines", "research_line_subclusters")
+
     def __init__(self, spark: SparkSession, folder: str, derived: dict[str, Callable[[Warehouse], DataFrame]] | None = None):
         self.spark, self.folder, self.derived = spark, folder.rstrip("/"), derived or {}
+        self._made: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -36,7 +40,11 @@ class Warehouse:
         if self.has(name):
             return self.spark.read.parquet(self.path(name))
         if name in self.derived:
-            return self.derived[name](self)
+            if name not in self.made_once:
+                return self.derived[name](self)
+            if name not in self._made:
+                self._made[name] = Workspace(self.spark).keep(self.derived[name](self))
+            return self._made[name]
         return self.spark.createDataFrame([], SCHEMAS[name])
 
     def register(self, prefix: str = "") -> None:
