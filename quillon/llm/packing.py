@@ -125,7 +125,7 @@ def plan_bins(histogram: dict[int, int], capacities: list[int], bin_cost: float
     return min((_pack(sizes, c, capacities, bin_cost) for c in reversed(capacities)), key=lambda plan: plan.cost)
 
 
-def pack_items(df: DataFrame, id_col: str, size_col: str, capacities: list[int], bin_cost: float = 0.0, spread: int = 256) -> DataFrame:
+def pack_items(df: DataFrame, id_col: str, size_col: str, capacities: list[int], bin_cost: float = 0.0, task_rows: int = 500_000) -> DataFrame:
     """(id, piece, first, length, bin_id, bin_capacity, bin_offset): where each part of each item goes.
 
     An item is whole in one bin (piece 0, first 0) unless it is larger than the largest capacity; then
@@ -133,7 +133,8 @@ def pack_items(df: DataFrame, id_col: str, size_col: str, capacities: list[int],
     the piece's place in the item, ``bin_offset`` its place in the bin, both in units of size. Items of
     size 0 or null or with a null id have no row, negative sizes raise. Repeated ids are items of their
     own. An empty table gives no rows. ``bin_capacity`` is the least permitted capacity that holds the
-    bin's contents. ``spread`` is into how many parts one size is split to number its items.
+    bin's contents. Items are numbered within parts of their size of about ``task_rows`` in all sizes
+    together, so a size that most items have is numbered by many tasks.
     """
     spark = df.sparkSession
     work = Workspace(spark)
@@ -142,7 +143,11 @@ def pack_items(df: DataFrame, id_col: str, size_col: str, capacities: list[int],
     size = F.when(F.col("size") < 0, F.raise_error(F.lit("a size is negative"))).otherwise(F.col("size"))
     pieces = items.select("id", size.alias("size")).select("id", "size", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {most} as int)"))).alias("piece"))
     pieces = pieces.select("id", "piece", (F.col("piece") * F.lit(most).cast("long")).alias("first"), F.least(F.lit(most).cast("long"), F.col("size") - F.col("piece") * F.lit(most).cast("long")).alias("length"))
-    pieces = work.keep(pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(spread)).cast("int")))
+    pieces = work.keep(pieces)
+    # one row for each size, so at most ``most`` rows
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = max(8, -(-sum(histogram.values()) // task_rows))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
 
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,8 +155,6 @@ def pack_items(df: DataFrame, id_col: str, size_col: str, capacities: list[int],
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece")) - 1
     ranked = pieces.select("*", rank.alias("nth")).join(starts, ["length", "part"]).select("id", "piece", "first", "length", (F.col("start") + F.col("nth")).alias("rank"))
 
-    # one row for each size, so at most ``most`` rows
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_bins(histogram, capacities, bin_cost)
     shared = spark.sparkContext.broadcast((plan.slots, plan.bins[:, :2]))
 

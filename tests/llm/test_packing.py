@@ -72,7 +72,7 @@ def test_operator(spark):
     rnd = random.Random(2)
     rows = [(i, rnd.choice([None, 0, 1, 1, 1, 3, 40, 64, 65, 200, 640]), "x", 1) for i in range(600)] + [(5, 7, None, None), (5, 7, None, None), (None, 9, "y", 2)]
     df = spark.createDataFrame(rows, SCHEMA)
-    out = pack_items(df, "doc", "n", [16, 64], spread=8).collect()
+    out = pack_items(df, "doc", "n", [16, 64], task_rows=40).collect()
     by_bin, by_item = defaultdict(list), defaultdict(int)
     for r in out:
         by_bin[r.bin_id].append(r)
