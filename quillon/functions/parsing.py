@@ -13,7 +13,7 @@ import yaml
 CANONICAL_DOCS = {"README.md": "README", "RESEARCH_PLAN.md": "RESEARCH_PLAN", "REPORT.md": "REPORT", "REVIEW.md": "REVIEW", "references.md": "references_md"}
 FRONT_MATTER, PREAMBLE = "__frontmatter__", "__preamble__"
 SKIPPED_TITLES = ["Reproduction", "Quick Links", "Code Quality", "Review Metadata", "Project Structure", "Dependencies", "Acknowledgments", "Data Availability"]
-MARKER = re.compile(r"^# atlas-generated v=")
+MARKER = re.compile(r"^# [a-z]+-generated v=")
 _FRONT = re.compile(r"\A---\n(.*?)\n---\n", re.DOTALL)
 _TITLE = re.compile(r"^#\s+(.+?)\s*$", re.MULTILINE)
 _HEADING = re.compile(r"^##\s+(.+?)\s*$", re.MULTILINE)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quillon.plans.views import ViewResult, provenance, summary_json
 
-MARKER = "# atlas-generated v=0.1"  # fixed value: first line of files that a scan must skip
+MARKER = "# quillon-generated v=0.1"  # fixed value: first line of files that a scan must skip
 
 
 def flat(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def files(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> Data
     out = raw.select(F.element_at(parts, 1).alias("project_id"), F.array_join(F.slice(parts, 2, F.size(parts)), "/").alias("rel"), F.element_at(parts, -1).alias("name"), parts.alias("parts"), "length", F.col("modificationTime").alias("modified"), "content").where(F.size("parts") > 1)
     out = out.where(~F.arrays_overlap("parts", F.array(*map(F.lit, IGNORED))) & ~F.col("project_id").startswith(".") & ~F.col("project_id").isin(list(exclude) or [""]))
     head = F.decode(F.substring("content", 1, 200), "UTF-8")
-    return out.where(~head.rlike("^# atlas-generated v=")).drop("parts")
+    return out.where(~head.rlike(P.MARKER.pattern)).drop("parts")
 
 
 def inventory(found: DataFrame, observed_at=None) -> DataFrame:

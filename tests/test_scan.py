@@ -36,7 +36,7 @@ def root(tmp_path_factory):
     put("project_b/REVIEW_2.md", "## Second\nx\n")
     put("project_b/REVIEW_10.md", "## Tenth\nx\n")
     put("project_c/README.md", "text without heading\n")
-    put("project_c/ghost.md", "# atlas-generated v=0.1\n## Ghost\n`project_a`\n")
+    put("project_c/ghost.md", "# quillon-generated v=0.1\n## Ghost\n`project_a`\n")
     put("project_c/.git/README.md", "## Hidden\nx\n")
     put(".dot/README.md", "## Hidden\nx\n")
     return base
