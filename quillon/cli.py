@@ -47,10 +47,12 @@ def scan(args) -> int:
     rejects = found.pop("rejects")
     counts = {name: w.replace(name, df).count() for name, df in found.items()}
     counts["rejected revisions"] = rejects.count()
-    for name in ("research_line_subclusters", "sophistication_composite", "research_lines"):
-        w.derived = DERIVED
-        df = DERIVED[name](w)
-        w.replace(name, df.select(*(c for c in df.columns)))
+    computed = ("research_line_subclusters", "sophistication_composite", "research_lines")
+    for name in computed:  # none of an earlier scan is read
+        w.drop(name)
+    fresh = Warehouse(spark, args.warehouse, DERIVED)
+    for name in computed:
+        counts[name] = w.replace(name, fresh.table(name)).count()
     result = checks.self_test(w, args.root, before)
     run = spark.createDataFrame([(uuid.uuid4().hex, now, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), args.root, counts["projects"], "ok" if all(result.values()) else "checks failed", None)], "run_id string, started_at timestamp_ntz, finished_at timestamp_ntz, projects_root string, project_count int, status string, notes string")
     run.write.mode("append").parquet(w.path("runs"))

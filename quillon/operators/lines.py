@@ -13,7 +13,7 @@ NO_DATE = "9999-99-99"  # fixed value: sorts undated projects last
 
 
 def memberships(citations: DataFrame, projects: DataFrame, min_members: int = 2) -> DataFrame:
-    """(line_id, project_id, place): members of each line by start date, undated last, then by id.
+    """(line_id, project_id, start): members of each line; they go by start date, undated last, then by id.
 
     The line is named after its first member.
     """
@@ -25,15 +25,15 @@ def memberships(citations: DataFrame, projects: DataFrame, min_members: int = 2)
     return member.join(first, "component").select(F.concat(F.lit("line-"), "first").alias("line_id"), "project_id", "start")
 
 
-def research_lines(projects: DataFrame, scores: DataFrame, reuse: DataFrame, project_authors: DataFrame, mentions: DataFrame, min_members: int = 2, min_cosine: float = 0.5, topics: bool = True) -> DataFrame:
+def research_lines(projects: DataFrame, scores: DataFrame, reuse: DataFrame, project_authors: DataFrame, mentions: DataFrame, min_members: int = 2, min_cosine: float = 0.5, topics: bool = True, member: DataFrame | None = None) -> DataFrame:
     """One row for each line with its members, authors, handoffs, means and sums.
 
     Topic edges are counted but do not connect. Edges are handoffs by the strict reading. Means leave
-    nulls out, sums count them as 0.
+    nulls out, sums count them as 0. ``member`` are the memberships if they are at hand.
     """
     citations = E.declared(reuse)
     authors = E.memberships(project_authors)
-    member = memberships(citations, projects, min_members)
+    member = memberships(citations, projects, min_members) if member is None else member
     attrs = projects.select("project_id", "start_date", "completion_date", F.coalesce("revision_depth", F.lit(0)).alias("revisions"), F.coalesce("notebook_count", F.lit(0)).alias("notebooks")).dropDuplicates(["project_id"])
     axes = ("depth", "breadth", "influence", "integration", "self_follow_on")
     marks = scores.select("project_id", *(f"{a}_score" for a in axes), "conclusion_count")
@@ -75,10 +75,10 @@ def thread_edges(citations: DataFrame, member: DataFrame, mentions: DataFrame, m
     return both.groupBy("line_id", "a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def sub_clusters(citations: DataFrame, projects: DataFrame, mentions: DataFrame, min_members: int = 5, resolution: float = 1.5, seed: int = 42, top: int = 5) -> DataFrame:
+def sub_clusters(citations: DataFrame, projects: DataFrame, mentions: DataFrame, min_members: int = 5, resolution: float = 1.5, seed: int = 42, top: int = 5, member: DataFrame | None = None) -> DataFrame:
     """(sub_id, line_id, sub_index, member_count, members, top_organisms, top_methods, top_databases):
     the communities of two or more projects in each large line, with their most mentioned entities."""
-    member = memberships(citations, projects)
+    member = memberships(citations, projects) if member is None else member
     parts = G.communities(thread_edges(citations, member, mentions, min_members), "line_id", resolution, seed)
     sized = parts.groupBy("line_id", "community").agg(F.count("*").alias("member_count"), F.sort_array(F.collect_list("member")).alias("members")).where("member_count >= 2")
     named = mentions.where(F.col("entity_kind").isin("organism", "method", "database") & matched(F.col("canonical_id"))).groupBy("project_id", "entity_kind", "canonical_id").agg(F.count("*").alias("n"))

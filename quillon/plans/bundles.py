@@ -18,8 +18,9 @@ def line_entities(w: Warehouse, lines: int = 10, top: int = 3) -> DataFrame:
     """(line_id, entity_kind, canonical_id, n): the most mentioned organisms and methods of the largest lines."""
     from quillon.operators.ranking import first_k
 
-    best = w.table("research_lines").orderBy(F.desc("member_count"), "line_id").limit(lines).select("line_id")
-    member = panels._line_members(w).join(best, "line_id", "left_semi").select("line_id", "project_id")
+    held = panels._line_members(w)
+    best = held.select("line_id", "member_count").distinct().orderBy(F.desc("member_count"), "line_id").limit(lines).select("line_id")
+    member = held.join(best, "line_id", "left_semi").select("line_id", "project_id")
     named = w.table("entity_mentions").where(F.col("entity_kind").isin("organism", "method") & matched(F.col("canonical_id")))
     counted = named.join(member, "project_id").groupBy("line_id", "entity_kind", "canonical_id").agg(F.count("*").alias("n"))
     return first_k(counted, ["line_id", "entity_kind"], [F.desc("n"), F.asc("canonical_id")], top)

@@ -28,14 +28,22 @@ def scores(w: Warehouse) -> DataFrame:
     return S.axis_scores(raw, w.table("entity_mentions"))
 
 
+def line_members(w: Warehouse) -> DataFrame:
+    """(line_id, project_id, start), from the stored lines if there are any."""
+    if w.has("research_lines"):
+        start = current_projects(w).groupBy("project_id").agg(F.min("start_date").alias("start"))
+        return w.table("research_lines").select("line_id", F.explode(F.from_json("member_ids", "array<string>")).alias("project_id")).join(start, "project_id", "left").select("line_id", "project_id", F.coalesce(F.col("start").cast("string"), F.lit(L.NO_DATE)).alias("start"))
+    return L.memberships(E.declared(w.table("reuse_edges")), current_projects(w))
+
+
 def lines(w: Warehouse) -> DataFrame:
-    built = L.research_lines(current_projects(w), w.table("sophistication_composite"), w.table("reuse_edges"), w.table("project_authors"), w.table("entity_mentions"))
+    built = L.research_lines(current_projects(w), w.table("sophistication_composite"), w.table("reuse_edges"), w.table("project_authors"), w.table("entity_mentions"), member=w.table("line_members"))
     threads = w.table("research_line_subclusters").groupBy("line_id").agg(F.count("*").alias("sub_cluster_count"))
     return built.join(threads, "line_id", "left").select("*", F.to_json("members").alias("member_ids"), F.to_json("authors").alias("distinct_author_ids")).withColumn("sub_cluster_count", F.coalesce("sub_cluster_count", F.lit(0)))
 
 
 def threads(w: Warehouse) -> DataFrame:
-    found = L.sub_clusters(E.declared(w.table("reuse_edges")), current_projects(w), w.table("entity_mentions"))
+    found = L.sub_clusters(E.declared(w.table("reuse_edges")), current_projects(w), w.table("entity_mentions"), member=w.table("line_members"))
     return found.select("sub_id", "line_id", "sub_index", "member_count", F.to_json("members").alias("member_ids"), *(F.to_json(c).alias(c) for c in ("top_organisms", "top_methods", "top_databases")))
 
 
@@ -102,6 +110,7 @@ def recommended(w: Warehouse) -> DataFrame:
 
 
 DERIVED = {
+    "line_members": line_members,
     "sophistication_composite": scores, "research_lines": lines, "research_line_subclusters": threads, "project_revisions": revisions, "notebooks": notebooks, "edge_classifications": classified_edges,
     "revision_kinds": classified_revisions, "combination_plausibility": plausibility, "findings": found, "recommendations": recommended,
 }

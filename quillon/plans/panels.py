@@ -72,8 +72,10 @@ def top_cited(w: Warehouse, limit: int = 10) -> DataFrame:
 
 
 def _line_members(w: Warehouse) -> DataFrame:
-    held = w.table("research_lines").select("line_id", "line_name", "member_count", "distinct_author_count", F.posexplode(F.from_json("member_ids", "array<string>")).alias("place", "project_id"))
-    return held
+    """(line_id, line_name, member_count, project_id); a line bears the name of its first member."""
+    held = w.table("line_members")
+    size = held.groupBy("line_id").agg(F.count("*").alias("member_count"))
+    return held.join(size, "line_id").select("line_id", F.substring("line_id", len("line-") + 1, 1 << 30).alias("line_name"), "member_count", "project_id")
 
 
 def top_authors(w: Warehouse, limit: int = 10) -> DataFrame:
@@ -82,7 +84,7 @@ def top_authors(w: Warehouse, limit: int = 10) -> DataFrame:
     authors = _authors(w)
     counted = authors.groupBy("aid").agg(F.count("*").alias("project_count")).join(_people(w), "aid").orderBy(F.desc("project_count"), "aid").limit(limit)
     inside = authors.join(_line_members(w).withColumnRenamed("project_id", "pid"), "pid").join(counted.select("aid"), "aid", "left_semi")
-    roles = inside.groupBy("aid", "line_id", "member_count").agg(F.when(F.min("place") == 0, "founder").otherwise("participant").alias("role"))
+    roles = inside.groupBy("aid", "line_id", "member_count").agg(F.when(F.max(F.col("pid") == F.col("line_name")), "founder").otherwise("participant").alias("role"))
     return counted.join(roles, "aid", "left").select(F.col("aid").alias("author_id"), "canonical_name", "orcid_id", "project_count", "line_id", "member_count", "role")
 
 

@@ -18,7 +18,7 @@ class Warehouse:
     written to the shared folder when they are first asked for, because several readers follow.
     """
 
-    made_once = ("sophistication_composite", "research_lines", "research_line_subclusters")
+    made_once = ("line_members", "sophistication_composite", "research_lines", "research_line_subclusters")
 
     def __init__(self, spark: SparkSession, folder: str, derived: dict[str, Callable[[Warehouse], DataFrame]] | None = None):
         self.spark, self.folder, self.derived = spark, folder.rstrip("/"), derived or {}
@@ -64,6 +64,10 @@ class Warehouse:
         if not fs.rename(new, at):
             raise OSError(f"{name} was not put in place")
 
+    def drop(self, name: str) -> None:
+        fs, at = self._fs(self.path(name))
+        fs.delete(at, True)
+
     def replace(self, name: str, df: DataFrame, check: bool = True) -> DataFrame:
         """The table is what the scan found now, nothing older. A null or repeated key raises."""
         df = conform(df, name)
