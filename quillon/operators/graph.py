@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from math import pi
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import matched
@@ -144,3 +145,11 @@ def communities(edges: DataFrame, group: str, resolution: float = 1.0, seed: int
         return pd.DataFrame(rows, columns=[group, "member", "community"])
 
     return edges.select(group, "a", "b", "weight").groupBy(group).applyInPandas(work, f"{group} {kind}, member string, community int")
+
+
+def ring_layout(nodes: DataFrame, node_col: str, radius: float = 1.0, most: int = 500) -> DataFrame:
+    """(node, x, y): the first ``most`` nodes by name evenly on a circle, for drawing."""
+    few = nodes.select(F.col(node_col).alias("node")).where("node is not null").distinct().orderBy("node").limit(most)
+    placed = few.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("i")).crossJoin(F.broadcast(few.agg(F.count("*").alias("n"))))
+    turn = F.lit(2 * pi) * F.col("i") / F.col("n")
+    return placed.select("node", (F.cos(turn) * radius).alias("x"), (F.sin(turn) * radius).alias("y"))

@@ -172,7 +172,7 @@ SQL = {
         SELECT DISTINCT drift_id, entity_kind, coalesce(a.c, b.c) canonical_match FROM drift_candidates d LEFT JOIN f a ON a.kind = entity_kind AND a.norm = {_FORM.format('llm_proposed_canonical')} LEFT JOIN f b ON b.kind = entity_kind AND b.norm = {_FORM.format('surface_form')} WHERE coalesce(a.c, b.c) IS NOT NULL""",
     "content_hashes": _CACHE,
     "chunk_counts": "SELECT DISTINCT sha256(content) digest, TRUE AS whole, TRUE AS within_limit FROM sections WHERE content IS NOT NULL",
-    "cache_split": f"WITH k AS ({_CACHE}), c AS (SELECT DISTINCT cache_key FROM k WHERE length(section_id) % 2 = 0 AND length(section_id) % 5 <> 0), ambiguous AS (SELECT cache_key FROM k GROUP BY 1 HAVING count(DISTINCT length(section_id)) > 1) SELECT DISTINCT CASE WHEN cache_key IN (SELECT cache_key FROM c) THEN 'hit' ELSE 'miss' END part, section_id, chunk_idx FROM k",
+    "cache_split": f"WITH k AS ({_CACHE}), c AS (SELECT DISTINCT cache_key FROM k WHERE length(section_id) % 2 = 0 AND length(section_id) % 5 <> 0) SELECT DISTINCT CASE WHEN cache_key IN (SELECT cache_key FROM c) THEN 'hit' ELSE 'miss' END part, section_id, chunk_idx FROM k",
     "drift_rolled": f"SELECT entity_kind, {_NORM.format('surface_form')} norm, first(surface_form ORDER BY drift_id) surface_form, count(*) occurrence_count, count(DISTINCT project_id) project_count, count(DISTINCT project_id || '/' || source_doc) file_count, first(llm_decision ORDER BY drift_id) FILTER (WHERE llm_decision <> '') llm_decision, list(DISTINCT project_id ORDER BY project_id)[1:5] sample_projects FROM drift_candidates WHERE surface_form IS NOT NULL AND entity_kind NOT IN ('extraction_error', 'parse_error') GROUP BY 1, 2 HAVING count(DISTINCT project_id || '/' || source_doc) >= 3 OR count(DISTINCT project_id) >= 3",
     "display_names": r"SELECT DISTINCT canonical_name, CASE WHEN coalesce(d, '') = '' THEN '(unknown)' ELSE d END display_name FROM (SELECT canonical_name, trim(regexp_replace(regexp_replace(regexp_replace(canonical_name, '\([^)]*\)', ' ', 'g'), '\s*(—|–|\s-\s|\|).*$', '', 'g'), '\s+', ' ', 'g')) d FROM authors)",
     "identifiers": _sql("rev", """SELECT DISTINCT kind, id FROM (SELECT 'edge' kind, src_project_id || '->' || concat_ws(':', dst_project_id, source_doc, source_section) id FROM reuse_edges WHERE src_project_id IS NOT NULL AND dst_project_id IS NOT NULL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     place = tempfile.mkdtemp(prefix="quillon-")
     atexit.register(shutil.rmtree, place, ignore_errors=True)

@@ -57,3 +57,11 @@ def canonicalise(df: DataFrame, kind_col: str, text_cols: list[str], forms: Data
         known = forms.select(F.col("kind").alias(f"_k{i}"), F.col("norm").alias(f"_n{i}"), F.col("canonical").alias(f"_c{i}"))
         out = out.join(known, (F.col(kind_col) == F.col(f"_k{i}")) & (normal_token(plain_markdown(F.col(c))) == F.col(f"_n{i}")), "left")
     return out.withColumn("canonical_match", F.coalesce(*(F.col(f"_c{i}") for i in range(len(text_cols))))).select(*df.columns, "canonical_match")
+
+
+def read_match_rules(folder: str | Path, name: str = "_match_rules.v1.yaml") -> dict:
+    """The rules file of a vocabulary folder, a mapping. Its absence is an error. Lookup doesn't depend on it."""
+    rules = yaml.safe_load((Path(folder) / name).read_text(encoding="utf-8"))
+    if not isinstance(rules, dict):
+        raise ValueError(f"{name} is no mapping")
+    return rules

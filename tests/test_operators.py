@@ -167,3 +167,40 @@ def test_enrich(spark):
     r = spark.createDataFrame([("a", "RESEARCH_PLAN", d(2026, 1, 1)), ("a", "RESEARCH_PLAN", d(2026, 2, 1)), ("a", "REPORT", d(2026, 3, 1)), ("b", "REPORT", d(2026, 4, 1))], "project_id string, source_doc string, version_date date")
     got = {x.project_id: tuple(x)[1:] for x in W.enrich_projects(p, r).collect()}
     assert got == {"a": (d(2026, 1, 1), d(2026, 2, 1), 2, d(2026, 3, 1)), "b": (None, None, None, d(2026, 4, 1))}
+
+
+class Lengths:
+    model_id = "m"
+
+    def label(self, texts):
+        if "boom" in texts:
+            raise RuntimeError("gone")
+        return [("deepening" if len(t) > 3 else "odd", 7, None) for t in texts]
+
+
+def test_labels(spark):
+    from quillon.operators import classify
+
+    rows = spark.createDataFrame([("e1", "long text"), ("e2", "abc"), ("e3", None), ("e4", "boom"), ("e5", "old")], "edge_id string, q string").coalesce(1)
+    known = spark.createDataFrame([("e5", "v1"), ("e1", "v0")], "edge_id string, prompt_version string")
+    todo = classify.unlabelled(rows, known, ["edge_id"], "v1")
+    got = {r.edge_id: (r.label, r.confidence, r.rationale) for r in classify.label_rows(todo, "q", ["edge_id"], ["deepening"], Lengths, "v1", batch_size=1).collect()}
+    assert got == {"e1": ("deepening", 1.0, None), "e2": ("other", 1.0, None), "e3": ("other", 1.0, None), "e4": ("other", 0.0, "gone")}
+
+
+def test_ring(spark):
+    nodes = spark.createDataFrame([("b",), ("a",), ("a",), (None,)], "n string")
+    assert [(r.node, round(r.x, 6), round(r.y, 6)) for r in G.ring_layout(nodes, "n").orderBy("node").collect()] == [("a", 1, 0), ("b", -1, 0)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quillon.session import shared_dir
+
+    def fake(master, place=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: place), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError):
+        shared_dir(fake("spark://host:7077"))
+    assert shared_dir(fake("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
