@@ -77,9 +77,10 @@ def documents(found: DataFrame) -> DataFrame:
 
 
 def sections(docs: DataFrame, observed_at=None) -> DataFrame:
+    """The sections table, contents whole: revisions, authors, references and the extraction read them."""
     fields = [SCHEMAS["sections"][n] for n in ("h1_text", "h2_text", "content", "start_offset", "end_offset")]
     out = expand(docs, ["project_id", "source_doc"], fields, lambda r: P.sections(r["text"]))
-    return conform(out.withColumns({"section_id": X.section_id(F.col("project_id"), F.col("source_doc"), F.col("h2_text"), F.col("start_offset")), "byte_size": F.octet_length("content").cast("int"), "content": F.substring("content", 1, 100_000), "observed_at": F.lit(observed_at)}), "sections")
+    return conform(out.withColumns({"section_id": X.section_id(F.col("project_id"), F.col("source_doc"), F.col("h2_text"), F.col("start_offset")), "byte_size": F.octet_length("content").cast("int"), "observed_at": F.lit(observed_at)}), "sections")
 
 
 def revisions(secs: DataFrame, observed_at=None) -> tuple[DataFrame, DataFrame]:

@@ -74,6 +74,24 @@ def test_people_and_edges(found):
     assert [(b.filename, b.goal_phrase) for b in books] == [("01_data.ipynb", "load data"), ("02_analysis.ipynb", None)]
 
 
+def test_long_sections_are_parsed_whole(spark, tmp_path):
+    fill = "word " * 25_000
+    docs = {
+        "project_a/RESEARCH_PLAN.md": f"## Approach\n`project_b` {fill}`project_b` and `project_c`\n\n## Revision History\n- **v1** (2026-03-01): {fill}\n- **v2** (2026-03-09): last\n\n## Authors\n- Ann Lee, {fill}\n- Bo Tan\n",
+        "project_b/README.md": "## Only\nx\n",
+        "project_c/README.md": "## Only\nx\n",
+    }
+    for path, text in docs.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    found = corpus.scan(spark, str(tmp_path), observed_at=dt.datetime(2026, 5, 1))
+    assert {(r.dst_project_id, r.occurrence_count) for r in found["reuse_edges"].collect()} == {("project_b", 2), ("project_c", 1)}
+    assert {r.version_label for r in found["project_revisions"].collect()} == {"v1", "v2"}
+    assert {r.canonical_name for r in found["authors"].collect()} == {"Ann Lee", "Bo Tan"}
+    texts = {r.h2_text: r for r in found["sections"].where("project_id = 'project_a'").collect()}
+    assert texts["Approach"].content.endswith("`project_c`") and all(len(r.content) == r.byte_size for r in texts.values())
+
+
 def test_commands(spark, root, tmp_path, capsys):
     wh, out = tmp_path / "wh", tmp_path / "out"
     wh.mkdir()
