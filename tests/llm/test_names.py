@@ -72,6 +72,16 @@ def test_edge_cases(spark):
     assert run(spark, []) == set()
 
 
+def test_every_neighbour_is_a_candidate(spark):
+    crowd = [(f"{k}{i}", f"{chr(97 + i)}x {name}", None, None) for k, name, n in (("e", "Jensen", 9), ("h", "Hansen", 6), ("j", "Jansen", 3)) for i in range(n)]
+    assert run(spark, [*crowd, ("1", "Petr Jansen", "Haskin", None), ("2", "Peter Kansen", "Haskin", None)]) == {("1", "2")}
+    assert run(spark, [*crowd, ("1", "Petr Jansen", "Haskin", A), ("2", "Peter Kansen", "Drusnil", A)]) == {("1", "2")}
+    # two edits, one of them a swap; places of three letters; a place between more frequent ones
+    sites = [(f"{p}{i}", f"Person{chr(97 + i)}{p} Of", p, None) for p, n in (("drusnal", 5), ("drusnel", 4)) for i in range(n)]
+    rows = [("1", "Jin Breomithav", "Haskin", None), ("2", "Jin Beromithaf", "Haskin", None), ("3", "Kofi Zekluple", "eth", None), ("4", "Kofi Zekluple", "ehh", None), ("5", "Ada Lovegrin", "drusnil", None), ("6", "Ada Lovegrin", "drusnol", None)]
+    assert run(spark, [*sites, *rows]) >= {("1", "2"), ("3", "4"), ("5", "6")}
+
+
 def test_organisations(spark):
     rows = [("1", "Genaista Deep Soil Consortium", None, None), ("2", "Deep Soil Consortium, Genaista", "Skiraivik (SCMR)", None), ("3", "Hukezo Deep Soil Consortium", None, None), ("4", "Genaista Deep Soil Cons.", "Skiraivik Centre for Microbial Research", None), ("5", "Genaista DSC", "Skiraivik (SCMR)", None)]
     assert run(spark, rows) == {(a, b) for i, a in enumerate("1245") for b in "1245"[i + 1 :]}
