@@ -90,6 +90,15 @@ def name_tokens(name: str | None) -> list[str]:
     return out
 
 
+def words_of(tokens: list[str]) -> list[str]:
+    return [w for t in tokens for w in t.split("-")]
+
+
+def is_short(tokens: list[str]) -> bool:
+    """No word of four letters or more: the name is known by whole words, without edits."""
+    return all(len(w) < 4 for w in words_of(tokens))
+
+
 def is_organisation(tokens: list[str]) -> bool:
     return any(t in ORGANISATION for t in tokens)
 
@@ -175,7 +184,8 @@ def align(a: list[str], b: list[str]) -> tuple[float, list[tuple[int, int]]]:
 def same_name(a: list[str], b: list[str]) -> bool:
     """May both be the name of one person or organisation?
 
-    A token of four letters or more agrees in full and one more token agrees. As many tokens agree in full
+    A token of four letters or more agrees in full and one more token agrees; of two names without any token
+    so long, one of two letters or three. As many tokens agree in full
     as the name with fewer full tokens has: an initial doesn't answer for a family name. And what is left
     over does not clash: only one of the names may have initials or middle names that the other lacks. A hyphenated
     token agrees by one of its parts. An organisation's shorter name agrees throughout.
@@ -184,11 +194,11 @@ def same_name(a: list[str], b: list[str]) -> bool:
         return False
     cost, pairs = align(a, b)
     full = [(i, j) for i, j in pairs if min(len(a[i]), len(b[j])) >= 4]
-    if not full or len(pairs) < 2 and not (len(a) == len(b) == 1):
+    words = sum(min(len(a[i]), len(b[j])) > 1 for i, j in pairs)
+    if not full and not (words and is_short(a) and is_short(b)) or len(pairs) < 2 and not (len(a) == len(b) == 1):
         return False
     if is_organisation(a) or is_organisation(b):
         return len(pairs) == min(len(a), len(b)) and len(pairs) >= 2 and abs(len(a) - len(b)) <= 1 and cost <= 0.6 + 0.4 * sum(min(len(a[i]), len(b[j])) == 1 for i, j in pairs)
-    words = sum(min(len(a[i]), len(b[j])) > 1 for i, j in pairs)
     if words < min(sum(len(t) > 1 for t in a), sum(len(t) > 1 for t in b)):
         return False
     return not (len(pairs) < len(a) and len(pairs) < len(b)) and cost <= 1.6
@@ -250,8 +260,9 @@ def link_names(df: DataFrame, id_col: str, name_col: str, place_col: str, code_c
     """(id, person): every row id with a name, and the least id of the rows that stand for the same
     person or organisation. Ids that are linked with nothing are their own person.
 
-    Null ids and names without a letter have no row. A null place or iD is no witness. Malformed iDs,
-    placeholders and wrong check digits count as null. Repeated rows count once; an id whose rows
+    Null ids and names without a letter have no row. Names whose words are all under four letters meet at
+    equal words of two letters or three; names of single letters alone, at none. A null place or iD is no
+    witness. Malformed iDs, placeholders and wrong check digits count as null. Repeated rows count once; an id whose rows
     differ takes part with each of them. An empty table gives no rows. Other columns are ignored.
     """
     spark = df.sparkSession
@@ -262,7 +273,10 @@ def link_names(df: DataFrame, id_col: str, name_col: str, place_col: str, code_c
     shapes = work.keep(rows.groupBy(what).agg(F.min("id").alias("pid"), F.count("*").alias("n")))
 
     words = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.split(t, "-"))))
-    spoken = shapes.withColumn("words", words).select("pid", *what, "words", F.explode(F.filter("words", lambda t: F.length(t) >= 4)).alias("token"))
+    # a person goes by the words of four letters or more, or if there are none by any of two letters or more,
+    # as organisations do
+    least = F.when(F.col("org") | ~F.exists("words", lambda t: F.length(t) >= 4), 2).otherwise(4)
+    spoken = shapes.withColumn("words", words).select("pid", *what, "words", F.explode(F.filter("words", lambda t: F.length(t) >= least)).alias("token"))
     near = work.keep(_neighbours(work, spoken.select("token")))
     # places of any length may be an edit apart
     near_place = work.keep(_neighbours(work, shapes.where("place is not null").select(F.col("place").alias("token")), least=1))
@@ -272,11 +286,13 @@ def link_names(df: DataFrame, id_col: str, name_col: str, place_col: str, code_c
     # the one's own key is the other's, so a pair never hangs on a third spelling
     # iD and a token: people who share an iD with someone else's name don't meet
     by_code = spoken.where("code is not null").select(F.concat_ws("|", F.lit("c"), "code", "word").alias("key"), "pid", (F.col("word") == F.col("token")).alias("own"))
+    # a short name of one word has no initial beside it
+    alone = F.when((F.size("words") == 1) & (F.length("token") < 4), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     initials = F.array_distinct(F.transform(F.filter("words", lambda t: t != F.col("token")), lambda t: F.substring(t, 1, 1)))
     nicks = F.create_map(*(x for short, full in _FULL.items() for x in (F.lit(short), F.array(*(F.lit(f[0]) for f in full)))))
     others = F.flatten(F.transform(F.filter("words", lambda t: (t != F.col("token")) & nicks[t].isNotNull()), lambda t: nicks[t]))
     at_place = spoken.where("place is not null").join(near_place.select(F.col("token").alias("place"), F.col("other").alias("site")), "place")
-    by_place = at_place.select(F.explode(F.array_union(initials, others)).alias("i"), "word", "site", "pid", ((F.col("word") == F.col("token")) & (F.col("site") == F.col("place"))).alias("own")).select(F.concat_ws("|", F.lit("p"), "site", "word", "i").alias("key"), "pid", "own")
+    by_place = at_place.select(F.explode(F.array_union(F.array_union(initials, others), alone)).alias("i"), "word", "site", "pid", ((F.col("word") == F.col("token")) & (F.col("site") == F.col("place"))).alias("own")).select(F.concat_ws("|", F.lit("p"), "site", "word", "i").alias("key"), "pid", "own")
     # an organisation goes by its two rarest words; the general ones say little and would gather a crowd
     worded = spoken.where("org").where(~F.col("token").isin(sorted(ORGANISATION)))
     rarest = worded.groupBy("pid").agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "token"))), 1, 2).alias("two"))

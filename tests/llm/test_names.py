@@ -82,6 +82,14 @@ def test_every_neighbour_is_a_candidate(spark):
     assert run(spark, [*sites, *rows]) >= {("1", "2"), ("3", "4"), ("5", "6")}
 
 
+def test_short_names(spark):
+    rows = [
+        ("1", "Wei Xu", "Haskin", A), ("2", "Xu, Wei", "Drusnil", A), ("3", "W. Xu", None, A), ("4", "Bo Li", "Haskin", B), ("5", "王伟", "Haskin", B), ("6", "王伟", "Drusnil", B), ("7", "Bo Li", "Drusnil", None),
+        ("8", "Ana Ng", "Gosask", None), ("9", "Ng, Ana", "Gosaks", None), ("a", "Ana Ni", "Gosask", None), ("b", "李明", "Gosask", None), ("c", "李明", "Gosaks", None), ("d", "Ark Team", None, None), ("e", "Ark Team", "Haskin", None), ("f", "Wei Xi", "Haskin", A),
+    ]
+    assert run(spark, rows) == {("1", "2"), ("1", "3"), ("2", "3"), ("5", "6"), ("8", "9"), ("b", "c"), ("d", "e")}
+
+
 def test_organisations(spark):
     rows = [("1", "Genaista Deep Soil Consortium", None, None), ("2", "Deep Soil Consortium, Genaista", "Skiraivik (SCMR)", None), ("3", "Hukezo Deep Soil Consortium", None, None), ("4", "Genaista Deep Soil Cons.", "Skiraivik Centre for Microbial Research", None), ("5", "Genaista DSC", "Skiraivik (SCMR)", None)]
     assert run(spark, rows) == {(a, b) for i, a in enumerate("1245") for b in "1245"[i + 1 :]}
