@@ -2,7 +2,7 @@
 
 1. Tokens: a symmetric-delete index over the distinct tokens finds all pairs a small edit apart.
 2. Candidates share a valid iD, or a family-like token, an initial and a place, typos bridged by the
-   index; organisations share a distinctive token.
+   index; organisations share a token that isn't general.
 3. A pair is aligned token by token by optimal assignment, which permits initials, abbreviations,
    nicknames and small edits, and needs a second witness: the same iD or the same place.
 4. Confirmed links are closed over to persons; pairs of a person's rows come out.
@@ -217,26 +217,26 @@ def _shorter(text):
 
 
 def _neighbours(work: Workspace, tokens: DataFrame, least: int = 4) -> DataFrame:
-    """(token, n, other): each distinct token with itself and with every neighbour.
+    """(token, other): each distinct token with itself and with every neighbour.
 
     Neighbours share what is left after symmetric deletion: of one letter from ``least`` letters on, of up
     to two from seven on. A token of more than LONG letters shares its first, its last or its inner ten
     letters with any that is two edits away, so these stand for its deletions. Two swapped letters are one
     edit to the alignment and two to levenshtein, so what swaps may explain stays; the alignment decides later.
     """
-    counts = work.keep(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    tokens = work.keep(tokens.select("token").distinct())
     size = F.length("token")
     one = _shorter(F.col("token"))
     ends = F.array(F.concat(F.lit("^"), F.substring("token", 1, 10)), F.concat(F.lit("$"), F.right(F.col("token"), F.lit(10))), *(F.concat(F.lit("~"), F.substring("token", 11 + shift, 10)) for shift in range(-2, 3)))
     near = F.when(size > LONG, F.array_union(F.array("token"), ends)).when(size >= 7, F.concat(F.array("token"), one, F.flatten(F.transform(one, _shorter)))).otherwise(F.concat(F.array("token"), one))
-    index = counts.where(size >= least).select("token", "n", F.explode(F.array_distinct(near)).alias("key"))
+    index = tokens.where(size >= least).select("token", F.explode(F.array_distinct(near)).alias("key"))
     met = index.join(index.select("key", F.col("token").alias("other")), "key").where("token < other").select("token", "other")
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     gap = F.levenshtein("token", "other", 4)
     swapped = (gap > 2) & (F.levenshtein(letters("token"), letters("other"), 2) >= 0)
     pairs = work.keep(met.where(F.when(F.least(size, F.length("other")) < 7, gap.between(0, 2)).otherwise(gap.between(0, 2) | swapped)).distinct())
     both = pairs.unionAll(pairs.select(F.col("other").alias("token"), F.col("token").alias("other")))
-    return counts.select("token", "n", F.col("token").alias("other")).unionAll(counts.join(both, "token").select("token", "n", "other"))
+    return tokens.select("token", F.col("token").alias("other")).unionAll(both)
 
 
 def _profiles(df: DataFrame, id_col: str, name_col: str, place_col: str, code_col: str) -> DataFrame:
@@ -280,7 +280,7 @@ def link_names(df: DataFrame, id_col: str, name_col: str, place_col: str, code_c
     near = work.keep(_neighbours(work, spoken.select("token")))
     # places of any length may be an edit apart
     near_place = work.keep(_neighbours(work, shapes.where("place is not null").select(F.col("place").alias("token")), least=1))
-    spoken = spoken.join(near, "token").select("pid", *what, "words", "token", "n", F.col("other").alias("word"))
+    spoken = spoken.join(near, "token").select("pid", "place", "code", "org", "words", "token", F.col("other").alias("word"))
 
     # each key is made of a row's own token and place, and of every neighbour of either; two rows meet where
     # the one's own key is the other's, so a pair never hangs on a third spelling
@@ -293,11 +293,9 @@ def link_names(df: DataFrame, id_col: str, name_col: str, place_col: str, code_c
     others = F.flatten(F.transform(F.filter("words", lambda t: (t != F.col("token")) & nicks[t].isNotNull()), lambda t: nicks[t]))
     at_place = spoken.where("place is not null").join(near_place.select(F.col("token").alias("place"), F.col("other").alias("site")), "place")
     by_place = at_place.select(F.explode(F.array_union(F.array_union(initials, others), alone)).alias("i"), "word", "site", "pid", ((F.col("word") == F.col("token")) & (F.col("site") == F.col("place"))).alias("own")).select(F.concat_ws("|", F.lit("p"), "site", "word", "i").alias("key"), "pid", "own")
-    # an organisation goes by its two rarest words; the general ones say little and would gather a crowd
-    worded = spoken.where("org").where(~F.col("token").isin(sorted(ORGANISATION)))
-    rarest = worded.groupBy("pid").agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "token"))), 1, 2).alias("two"))
-    rare = worded.join(rarest, "pid").where("exists(two, t -> t.token = token)").select(F.concat_ws("|", F.lit("o"), "word").alias("key"), "pid", (F.col("word") == F.col("token")).alias("own"))
-    keys = by_code.unionAll(by_place).unionAll(rare).distinct()
+    # an organisation goes by every word: the shared one may be common, where a rare one is extra or misspelt
+    worded = spoken.where("org").where(~F.col("token").isin(sorted(ORGANISATION))).select(F.concat_ws("|", F.lit("o"), "word").alias("key"), "pid", (F.col("word") == F.col("token")).alias("own"))
+    keys = by_code.unionAll(by_place).unionAll(worded).distinct()
 
     met = keys.select("key", F.col("pid").alias("a")).join(keys.where("own").select("key", F.col("pid").alias("b")), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda s: shapes.select(F.col("pid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in what))

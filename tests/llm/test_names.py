@@ -95,6 +95,12 @@ def test_organisations(spark):
     assert run(spark, rows) == {(a, b) for i, a in enumerate("1245") for b in "1245"[i + 1 :]}
 
 
+def test_organisations_meet_at_any_word(spark):
+    crowd = [(f"c{i}", f"{w} Soil Consortium", "Drusnil", None) for i, w in enumerate(("Hukezo Lake", "Skiraivik Dark", "Tovadrai Pond"))]
+    rows = [("1", "Genaista Deep Soil Consortium", None, None), ("2", "Haskin Genaista Deep Siol Consortium", None, None)]
+    assert run(spark, [*crowd, *rows]) == {("1", "2")}
+
+
 def test_everyone_has_a_person(spark):
     df = spark.createDataFrame([("b", "Jin Breomithav", "Haskin", None, None, None), ("a", "Kofi Zekluple", None, None, None, None)], SCHEMA)
     assert {tuple(r) for r in link_names(df, "author_id", "canonical_name", "affiliation", "orcid_id").collect()} == {("a", "a"), ("b", "b")}
