@@ -139,11 +139,44 @@ def _token_cost(a: str, b: str) -> float:
     return 9.0
 
 
+def _assign(costs: list[list[float]]) -> list[int]:
+    """The column of each row in the assignment of least total cost; rows are no more than columns. Each row
+    is added along the cheapest augmenting path under potentials (Hungarian method)."""
+    n, m = len(costs), len(costs[0])
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, before, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while row_of[j]:
+            done[j] = True
+            r, step, best = row_of[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not done[k]:
+                    if (gap := costs[r - 1][k - 1] - u[r] - v[k]) < least[k]:
+                        least[k], before[k] = gap, j
+                    if least[k] < step:
+                        step, best = least[k], k
+            for k in range(m + 1):
+                if done[k]:
+                    u[row_of[k]] += step
+                    v[k] -= step
+                else:
+                    least[k] -= step
+            j = best
+        while j:
+            row_of[j], j = row_of[before[j]], before[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if row_of[k]:
+            out[row_of[k] - 1] = k - 1
+    return out
+
+
 def align(a: list[str], b: list[str]) -> tuple[float, list[tuple[int, int]]]:
     """The assignment of tokens of most matches and then least cost.
 
     Equal tokens are paired first. The rest is optimal by subsets; where both names have more than ten
-    tokens left, the cheapest pairs are taken one after the other.
+    tokens left, by augmenting paths, as the subsets would grow out of hand.
     """
     if len(a) > len(b):
         cost, pairs = align(b, a)
@@ -160,12 +193,9 @@ def align(a: list[str], b: list[str]) -> tuple[float, list[tuple[int, int]]]:
             rest_b.remove(j)
     costs = {(i, j): c for i in rest_a for j in rest_b if (c := _token_cost(a[i], b[j])) < 9}
     if len(rest_a) > 10:
-        total, ia, jb = 0.0, set(), set()
-        for (i, j), c in sorted(costs.items(), key=lambda x: x[1]):
-            if i not in ia and j not in jb:
-                ia.add(i), jb.add(j), same.append((i, j))
-                total += c
-        return total, same
+        chosen = _assign([[costs.get((i, j), 1000.0) for j in rest_b] for i in rest_a])
+        found = [(i, rest_b[j]) for i, j in zip(rest_a, chosen) if (i, rest_b[j]) in costs]
+        return sum(costs[x] for x in found), [*same, *found]
     # rows are the tokens of the one name; a state is the set of the other's tokens that are taken
     states: dict[frozenset, tuple[int, float, tuple]] = {frozenset(): (0, 0.0, ())}
     for i in rest_a:
@@ -220,15 +250,18 @@ def _neighbours(work: Workspace, tokens: DataFrame, least: int = 4) -> DataFrame
     """(token, other): each distinct token with itself and with every neighbour.
 
     Neighbours share what is left after symmetric deletion: of one letter from ``least`` letters on, of up
-    to two from seven on. A token of more than LONG letters shares its first, its last or its inner ten
-    letters with any that is two edits away, so these stand for its deletions. Two swapped letters are one
+    to two from seven on. A token of more than LONG letters shares its first ten, its last ten or nine inner
+    letters with any that is two edits away, so these stand for its deletions; tokens of up to two letters
+    less have both. Two swapped letters are one
     edit to the alignment and two to levenshtein, so what swaps may explain stays; the alignment decides later.
     """
     tokens = work.keep(tokens.select("token").distinct())
     size = F.length("token")
     one = _shorter(F.col("token"))
-    ends = F.array(F.concat(F.lit("^"), F.substring("token", 1, 10)), F.concat(F.lit("$"), F.right(F.col("token"), F.lit(10))), *(F.concat(F.lit("~"), F.substring("token", 11 + shift, 10)) for shift in range(-2, 3)))
-    near = F.when(size > LONG, F.array_union(F.array("token"), ends)).when(size >= 7, F.concat(F.array("token"), one, F.flatten(F.transform(one, _shorter)))).otherwise(F.concat(F.array("token"), one))
+    # a letter lies between the parts, so that no swap touches two of them
+    ends = F.array(F.concat(F.lit("^"), F.substring("token", 1, 10)), F.concat(F.lit("$"), F.right(F.col("token"), F.lit(10))), *(F.concat(F.lit("~"), F.substring("token", 12 + shift, 9)) for shift in range(-2, 3)))
+    near = F.concat(F.array("token"), F.when(size > LONG, ends).when(size >= 7, F.concat(one, F.flatten(F.transform(one, _shorter)))).otherwise(one))
+    near = F.when(size.between(LONG - 1, LONG), F.concat(near, ends)).otherwise(near)
     index = tokens.where(size >= least).select("token", F.explode(F.array_distinct(near)).alias("key"))
     met = index.join(index.select("key", F.col("token").alias("other")), "key").where("token < other").select("token", "other")
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")

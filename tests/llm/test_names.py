@@ -36,6 +36,14 @@ def test_align_is_optimal():
     assert sorted(pairs) == [(1, 0), (2, 1)] and cost == 0
 
 
+def test_align_is_optimal_with_many_tokens():
+    rest = "efghijklm"
+    a = ["aaaaaaa", "ddaaaab", *(c * 7 for c in rest)]
+    b = ["aaaaaab", "aaaaacc", *(c * 6 + "z" for c in rest)]
+    for cost, pairs in (align(a, b), align(b, [*a, "qqqqqqq"])):
+        assert len(pairs) == 11 and cost == pytest.approx(0.6 + 0.6 + 9 * 0.3)
+
+
 SCHEMA = "author_id string, canonical_name string, affiliation string, orcid_id string, person string, token string"
 A, B = "0000-0002-1825-0097", "0000-0002-1694-233X"
 
@@ -82,6 +90,15 @@ def test_every_neighbour_is_a_candidate(spark):
     assert run(spark, [*sites, *rows]) >= {("1", "2"), ("3", "4"), ("5", "6")}
 
 
+def test_long_places_meet_across_the_bound(spark):
+    site = "qwertzuiopasdfghjklyxcvbnmqwertz"
+    assert len(site) == 32
+    rows = [("1", "Jin Breomithav", site, None), ("2", "Jin Breomithav", site[:20] + "x" + site[20:], None), ("3", "Jin Breomithav", site[:5] + site[6:], None), ("4", "Jin Zekluple", site, None)]
+    assert run(spark, rows) == {("1", "2"), ("1", "3"), ("2", "3")}
+    two = [("1", "Kofi Zekluple", site + "ab", None), ("2", "Kofi Zekluple", site[:9] + site[10] + site[9] + site[11:] + "ac", None)]
+    assert run(spark, two) == {("1", "2")}
+
+
 def test_short_names(spark):
     rows = [
         ("1", "Wei Xu", "Haskin", A), ("2", "Xu, Wei", "Drusnil", A), ("3", "W. Xu", None, A), ("4", "Bo Li", "Haskin", B), ("5", "王伟", "Haskin", B), ("6", "王伟", "Drusnil", B), ("7", "Bo Li", "Drusnil", None),
