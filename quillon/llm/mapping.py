@@ -132,7 +132,7 @@ class Matcher:
             hit = self.exact.get((kind, words, codes))
             if hit:
                 out[i] = [(e, 0) for e in sorted(hit)]
-            elif words and (root := self._root(kind, codes)) in self.trie.roots:
+            if words and (root := self._root(kind, codes)) in self.trie.roots:
                 asked.append((root, words)), limits.append(allowed(len(words))), where.append((i, kind, words, codes))
         who, value, gap = self.trie.search(self.automaton, asked, limits)
         best: dict[tuple[int, int], int] = {}
@@ -145,7 +145,9 @@ class Matcher:
         for (q, e), d in best.items():
             hits[q].append((e, d))
         for q, (i, kind, words, codes) in enumerate(where):
-            out[i] = sorted(hits[q], key=lambda x: (x[1], x[0])) or self._abbreviated(kind, words, codes)
+            exact = {e for e, _ in out[i]}
+            near = [x for x in hits[q] if x[0] not in exact]
+            out[i] = sorted([*out[i], *near], key=lambda x: (x[1], x[0])) or self._abbreviated(kind, words, codes)
         return out
 
     @staticmethod

@@ -50,6 +50,11 @@ def test_not_named(matcher, kind, text):
     assert matcher.match([(kind, text)]) == [[]]
 
 
+def test_an_exact_hit_leaves_the_near_entries_in():
+    near = Matcher([Entry(1, "method", ["plasmid modeling"]), Entry(2, "method", ["plasmid modelling"]), Entry(3, "method", ["plasmid mapping"])])
+    assert near.match([("method", "plasmid modeling")]) == [[(1, 0), (2, 1)]]
+
+
 def test_clean():
     assert clean("  **The Foo-Bar** v1.2 ") == ("foobar", ()) and clean("AB 12 x") == ("x", ("ab12",))
 
