@@ -28,20 +28,26 @@ def label_rows(rows: DataFrame, text_col: str, keep: list[str], labels: list[str
     """The kept columns with label, confidence, rationale, prompt_version and model_id.
 
     A label that isn't one of ``labels`` becomes ``fallback``; confidence is clamped to 0..1, null becomes
-    0; a batch that fails has the fallback with confidence 0 and the error as rationale, so the job goes on.
+    0. The rows of a batch that fails are labelled one by one; a row that fails by itself has the fallback with
+    confidence 0 and the error as rationale, so the job goes on.
     """
     names = ["label", "confidence", "rationale", "prompt_version", "model_id"]
     schema = T.StructType([*(rows.schema[k] for k in keep), *(T.StructField(n, T.DoubleType() if n == "confidence" else T.StringType()) for n in names)])
 
+    def answers(model: Labeller, texts: list[str]) -> list[tuple[str, float, str]]:
+        try:
+            return model.label(texts)
+        except Exception as e:
+            if len(texts) == 1:
+                return [(fallback, 0.0, str(e)[:500])]
+            return [x for t in texts for x in answers(model, [t])]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = labeller()
         for batch in batches:
             for start in range(0, len(batch), batch_size):
                 part = batch.iloc[start : start + batch_size]
-                try:
-                    got = model.label(part["_text"].fillna("").tolist())
-                except Exception as e:
-                    got = [(fallback, 0.0, str(e)[:500])] * len(part)
+                got = answers(model, part["_text"].fillna("").tolist())
                 out = part[keep].copy()
                 out["label"] = [g[0] if g[0] in labels else fallback for g in got]
                 out["confidence"] = [min(1.0, max(0.0, float(g[1] or 0))) for g in got]

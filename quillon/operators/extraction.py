@@ -95,22 +95,28 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 
 def ask(misses: DataFrame, scorer: Callable[[], Scorer], batch_size: int = 32) -> DataFrame:
     """``misses`` with response_content, finish_reason and error. An answer cut off is asked for once
-    more; an exception becomes an error and doesn't end the job."""
+    more. Where a batch raises, its rows are asked one by one: an exception becomes the error of its row alone."""
     schema = T.StructType([*misses.schema.fields, T.StructField("response_content", T.StringType()), T.StructField("finish_reason", T.StringType()), T.StructField("error", T.StringType())])
 
+    def answers(model: Scorer, prompts: list[str]) -> list[tuple[str | None, str | None, str | None]]:
+        try:
+            got = model.answer(prompts)
+            cut = [i for i, (_, why) in enumerate(got) if why == "length"]
+            for i, again in zip(cut, model.answer([prompts[i] for i in cut]) if cut else []):
+                got[i] = again
+            return [(*g, None) for g in got]
+        except Exception as e:
+            if len(prompts) == 1:
+                return [(None, None, str(e)[:500])]
+            return [x for p in prompts for x in answers(model, [p])]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = scorer()
         for batch in batches:
             for start in range(0, len(batch), batch_size):
                 part = batch.iloc[start : start + batch_size].copy()
-                try:
-                    got = model.answer(part["chunk"].tolist())
-                    cut = [i for i, (_, why) in enumerate(got) if why == "length"]
-                    for i, again in zip(cut, model.answer([part["chunk"].iloc[i] for i in cut]) if cut else []):
-                        got[i] = again
-                    part["response_content"], part["finish_reason"], part["error"] = [g[0] for g in got], [g[1] for g in got], None
-                except Exception as e:
-                    part["response_content"], part["finish_reason"], part["error"] = None, None, str(e)[:500]
+                got = answers(model, part["chunk"].tolist())
+                part["response_content"], part["finish_reason"], part["error"] = [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
                 yield part
 
     return misses.mapInPandas(work, schema)
@@ -119,12 +125,14 @@ def ask(misses: DataFrame, scorer: Callable[[], Scorer], batch_size: int = 32) -
 def parse_answers(answers: DataFrame) -> DataFrame:
     """(section_id, project_id, source_doc, h2_text, chunk_idx, seq, entity_kind, surface, proposed, quote,
     extra, note): one row for each item of an answer, and one of kind parse_error for an answer that
-    isn't JSON or no object. Null fields and items of another shape are passed over."""
+    isn't JSON or no object, or of kind extraction_error where ``error`` says that asking failed. Null fields and items of another shape are passed over."""
     keep = ["section_id", "project_id", "source_doc", "h2_text", "chunk_idx"]
     names = ["seq", "entity_kind", "surface", "proposed", "quote", "extra", "note"]
     schema = T.StructType([*(answers.schema[k] for k in keep), T.StructField("seq", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in names[1:])])
 
-    def items(text: str) -> list[tuple]:
+    def items(text: str, error: str | None) -> list[tuple]:
+        if error is not None:
+            return [(0, "extraction_error", None, None, None, None, error)]
         try:
             data = P.salvage_json(text or "")
             if not isinstance(data, dict):
@@ -150,10 +158,11 @@ def parse_answers(answers: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*(r[k] for k in keep), *item) for r in batch.to_dict("records") for item in items(r["response_content"])]
+            rows = [(*(r[k] for k in keep), *item) for r in batch.to_dict("records") for item in items(r["response_content"], r["error"])]
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return answers.select(*keep, "response_content").mapInPandas(work, schema)
+    error = F.col("error") if "error" in answers.columns else F.lit(None).cast("string").alias("error")
+    return answers.select(*keep, "response_content", error).mapInPandas(work, schema)
 
 
 def mentions_and_drift(items: DataFrame, forms: DataFrame, prompt_version: str, vocab_version: str, model_id: str) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +177,7 @@ def mentions_and_drift(items: DataFrame, forms: DataFrame, prompt_version: str,
     canonical = F.when(vocab_kind, F.coalesce("canonical_match", F.concat(F.lit(X.PROPOSED), "proposed"))).otherwise(F.col("proposed"))
     sure = F.when(F.col("entity_kind") == "conclusion", CLAIM_CONFIDENCE).when(F.col("entity_kind") == "question_type", QUESTION_CONFIDENCE).when(F.col("canonical_match").isNotNull(), MATCHED_CONFIDENCE).otherwise(PROPOSED_CONFIDENCE)
     base = named.withColumns({"canonical_id": canonical, "confidence": sure.cast("float"), "source_section": F.col("h2_text"), "surface_form": F.col("surface"), "source_quote": F.col("quote"), "prompt_version": F.lit(prompt_version), "vocab_version": F.lit(vocab_version), "model_id": F.lit(model_id)})
-    failed = F.col("entity_kind") == "parse_error"
+    failed = F.col("entity_kind").isin("parse_error", "extraction_error")
     said = once_per_section(base.where(~failed), ["entity_kind", "canonical_id", "surface_form"])
     said = numbered(said, "mention_id", ["section_id", "entity_kind", "canonical_id"]).withColumns({"extraction_source": F.when(vocab_kind & F.col("canonical_match").isNotNull(), "llm+vocab").otherwise("llm"), "extra_json": F.col("extra")})
     open_names = once_per_section(base.where((vocab_kind & F.col("canonical_match").isNull()) | failed), ["entity_kind", "surface_form"])

@@ -58,6 +58,26 @@ def test_asking(spark):
     assert got == {"a": ("stop", None), "b": ("stop", None), "c": (None, "gone")}
 
 
+def test_a_failure_stays_with_its_row(spark):
+    rows = [("s1", "p", "REPORT", "H", 0, "fine"), ("s2", "p", "REPORT", "H", 0, "boom"), ("s3", "p", "REPORT", "H", 0, "other")]
+    df = spark.createDataFrame(rows, "section_id string, project_id string, source_doc string, h2_text string, chunk_idx int, chunk string").coalesce(1)
+    asked = ex.ask(df, Flaky)
+    assert {r.section_id: r.error for r in asked.collect()} == {"s1": None, "s2": "gone", "s3": None}
+    assert [(r.section_id, r.entity_kind, r.note) for r in ex.parse_answers(asked).collect()] == [("s2", "extraction_error", "gone")]
+
+    class Label:
+        model_id = "label"
+
+        def label(self, texts):
+            if "boom" in texts:
+                raise RuntimeError("gone")
+            return [("yes", 1.0, None)] * len(texts)
+
+    from quillon.operators.classify import label_rows
+
+    assert {r.section_id: r.label for r in label_rows(df, "chunk", ["section_id"], ["yes"], Label, "v1").collect()} == {"s1": "yes", "s2": "other", "s3": "yes"}
+
+
 DRIFT = "drift_id string, project_id string, source_doc string, entity_kind string, surface_form string, llm_decision string, llm_proposed_canonical string, llm_notes string, llm_suggested_aliases string, source_quote string"
 
 
