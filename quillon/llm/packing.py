@@ -8,6 +8,7 @@ size, which is computed without bringing one size into one task.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +37,33 @@ class Plan:
         return int(self.bins[:, 2].sum()) if len(self.bins) else 0
 
 
-def _pack(sizes: list[tuple[int, int]], opening: int, capacities: list[int], bin_cost: float) -> Plan:
-    """Best fit, large sizes first, opening bins of ``opening`` or the least capacity that an item needs."""
+def _pack(sizes: list[tuple[int, int]], opening: int | None, capacities: list[int], bin_cost: float) -> Plan:
+    """Best fit, large sizes first. Without ``opening`` every bin opens at the capacity that costs least for
+    what it can be filled with; else at ``opening`` or the least capacity that an item needs."""
+    left_of = dict(sizes)
+    still = sorted(left_of)  # sizes that are not all placed
+
+    def least_cost(size: int) -> tuple[int, int]:
+        """The capacity whose bin, begun with ``size`` and filled from what is left, largest first, costs
+        least for each unit that it holds; and how many bins can be filled like that."""
+        best = None
+        for capacity in capacities:
+            if capacity < size:
+                continue
+            free, at, times = capacity, bisect_right(still, size), left_of[size]
+            while free and at:
+                at = min(at, bisect_right(still, free))
+                if at:
+                    each = min(left_of[still[at - 1]], free // still[at - 1])
+                    free -= each * still[at - 1]
+                    times = min(times, left_of[still[at - 1]] // each)
+                    at -= 1
+            held = capacity - free
+            price = (next(c for c in capacities if c >= held) + bin_cost) / held
+            if best is None or price <= best[0]:
+                best = (price, capacity, times)
+        return best[1:]
+
     groups: list[list] = []  # [capacity, free, count, [(size, items a bin, first rank)], contents]
     by_free: dict[int, list[int]] = {}
     frees: list[int] = []
@@ -91,10 +117,13 @@ def _pack(sizes: list[tuple[int, int]], opening: int, capacities: list[int], bin
             if at < len(frees):
                 used = fill(take(at), size, rank, left)
             else:
-                capacity = max(opening, next(c for c in capacities if c >= size))
-                groups.append([capacity, capacity, -(-left // (capacity // size)), []])
+                capacity, times = (max(opening, next(c for c in capacities if c >= size)), left) if opening else least_cost(size)
+                groups.append([capacity, capacity, min(times, -(-left // (capacity // size))), []])
                 used = fill(len(groups) - 1, size, rank, left)
             rank, left = rank + used, left - used
+            left_of[size] = left
+            if not left:
+                still.pop()
 
     slots, bins, first, cost = [], [], 0, 0.0
     for group in groups:
@@ -114,15 +143,18 @@ def _pack(sizes: list[tuple[int, int]], opening: int, capacities: list[int], bin
 
 
 def plan_bins(histogram: dict[int, int], capacities: list[int], bin_cost: float = 0.0) -> Plan:
-    """The plan of least cost among those that open each of the capacities; the cost of a bin is its
-    final capacity plus ``bin_cost``. Sizes are from 1 to the largest capacity."""
+    """The plan of least cost among the joint one, where each bin opens at its own capacity, and those that
+    open one capacity throughout; the cost of a bin is its final capacity plus ``bin_cost``. Sizes are from
+    1 to the largest capacity, fewer than 2^40 items of each."""
     capacities = sorted(set(capacities))
     if not capacities or capacities[0] < 1:
         raise ValueError("capacities are positive")
     sizes = [(s, n) for s, n in histogram.items() if n]
     if any(not 1 <= s <= capacities[-1] for s, _ in sizes):
         raise ValueError("a size is not in the range of the capacities")
-    return min((_pack(sizes, c, capacities, bin_cost) for c in reversed(capacities)), key=lambda plan: plan.cost)
+    if any(n >> RANK_BITS for _, n in sizes):
+        raise ValueError("more items of one size than ranks")
+    return min((_pack(sizes, c, capacities, bin_cost) for c in (None, *reversed(capacities))), key=lambda plan: plan.cost)
 
 
 def pack_items(df: DataFrame, id_col: str, size_col: str, capacities: list[int], bin_cost: float = 0.0, task_rows: int = 500_000) -> DataFrame:

@@ -1,21 +1,23 @@
 """Encoding of texts with a public byte-level BPE vocabulary.
 
-Forced-boundary splitting: a pair of bytes that is inside no vocabulary token can't be merged over, so
-a text may be cut there. A cut is certain if also the splitting pattern always ends a match there; that
-holds between a character that is no white space and an ASCII white space, because each alternative of
-the pattern has white space at its start only or is white space throughout. The fragments are encoded
-on their own, each distinct one once, and their ids are concatenated.
+Forced-boundary splitting: a pair of bytes that is inside no vocabulary token can't be merged over, so a
+text may be cut there, if the splitting pattern can't tell either. It can't between two characters of which
+the first is neither white space nor an apostrophe and the second no apostrophe: of two characters of
+different kinds the pattern ends a match between them, within a run of one kind a match goes on to the
+end of the run from wherever it starts, and white space only ever begins a match. A script without blanks
+is so cut as well. All cuts of a batch are found at once in its bytes; the fragments are encoded on their
+own, each distinct one once, and their ids are concatenated.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,7 @@ VOCAB = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMORY = 400_000  # fragments remembered by a worker; more only means encoding one again
 MEMORABLE = 64  # characters up to which a fragment is worth remembering
+PART_BYTES = 8 << 20  # text encoded at once
 
 
 def vocabulary_path(name: str = VOCAB, directory: str | None = None) -> str:
@@ -42,8 +45,13 @@ def forced_pairs(tokens: list[bytes]) -> np.ndarray:
     return forced
 
 
+#: white space beyond ASCII by its last bytes
+_WIDE_SPACES = np.array([int.from_bytes(chr(x).encode()) for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+APOSTROPHE = 39
+
+
 class ForcedBoundaryEncoder:
-    """Ids of a text by the vocabulary at ``path``, without special tokens."""
+    """Ids of texts by the vocabulary at ``path``, without special tokens."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -51,38 +59,73 @@ class ForcedBoundaryEncoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.whole = tiktoken.Encoding("forced", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.cuts = self._cut_pattern(forced_pairs(list(ranks)))
-        self.known: dict[str, list[int]] = {}
-
-    @staticmethod
-    def _cut_pattern(forced: np.ndarray) -> re.Pattern | None:
-        """Matches the empty place of each certain cut: before a blank or line end b, after any
-        character whose last byte never stands before b in a token."""
-        places = []
-        for blank in " \n\r\t":
-            free = forced[:, ord(blank)]
-            plain = "".join(chr(x) for x in range(33, 127) if free[x])
-            wide = free[0x80:0xC0].all()  # the last bytes of all other characters
-            if plain or wide:
-                before = f"[{re.escape(plain)}{'\u0080-\U0010ffff' if wide else ''}]"
-                places.append(rf"(?<={before})(?<=\S)(?={re.escape(blank)})")
-        return re.compile("|".join(places)) if places else None
+        forced = forced_pairs(list(ranks))
+        forced[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, APOSTROPHE], :] = False
+        forced[:, APOSTROPHE] = False
+        for contraction in (b"re", b"ve", b"ll"):  # the pattern's own pairs after an apostrophe
+            forced[contraction[0], contraction[1]] = False
+        # never inside a character: the second byte begins one
+        forced[:, 0x80:0xC0] = False
+        self.forced = forced.ravel()
+        self.known: dict[str, np.ndarray] = {}
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """The places between two bytes of UTF-8 ``data`` where a cut is certain, as a mask over all bytes:
+        True at the byte that begins the next fragment."""
+        out = np.zeros(len(data), dtype=bool)
+        if len(data) < 2:
+            return out
+        pairs = data[:-1].astype(np.uint16) << 8
+        pairs |= data[1:]
+        out[1:] = self.forced[pairs]
+        # not after white space of several bytes
+        wide = np.flatnonzero(out[3:] & (data[2:-1] >= 0x80)) + 3
+        last = data[wide - 3].astype(np.int64) << 16 | data[wide - 2].astype(np.int64) << 8 | data[wide - 1]
+        out[wide[np.isin(last, _WIDE_SPACES) | np.isin(last & 0xFFFF, _WIDE_SPACES[:2])]] = False
+        out[2:3] &= data[1:2] < 0x80
+        return out
+
+    def fragment_ids(self, part: str) -> np.ndarray:
+        found = self.known.get(part)
+        if found is None:
+            found = np.array(self.whole(part), dtype=np.int32)
+            if len(part) <= MEMORABLE:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                self.known[part] = found
+        return found
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The fragments of all texts one after the other, and how many belong to the texts before each."""
+        texts = texts.cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+        ends = ends - ends[0]
+        first = self.cuts(data)
+        first[ends[:-1][ends[:-1] < len(data)]] = True
+        starts = np.flatnonzero(first)
+        parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        return parts, np.searchsorted(starts, ends)
 
     def fragments(self, text: str) -> list[str]:
-        return self.cuts.split(text) if self.cuts else [text]
+        return self.split(pa.array([text], pa.large_string()))[0].to_pylist()
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
-        for part in self.fragments(text):
-            found = known.get(part)
-            if found is None:
-                found = self.whole(part)
-                if len(part) <= MEMORABLE:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[part] = found
-            ids += found
-        return ids
+        return self.encode_all(pa.array([text], pa.large_string()))[0].tolist()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's ids begin; one more for the end); null as empty."""
+        parts, at = self.split(texts.fill_null(""))
+        coded = parts.dictionary_encode()
+        each = [self.fragment_ids(x) for x in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        which = coded.indices.to_numpy()
+        lengths = size[which]
+        begin = np.append(0, np.cumsum(lengths))
+        flat = np.concatenate(each) if each else np.zeros(0, np.int32)
+        home = (np.cumsum(size) - size)[which] - begin[:-1]
+        return flat[np.repeat(home, lengths) + np.arange(begin[-1])], begin[at]
 
 
 _ENCODERS: dict[str, ForcedBoundaryEncoder] = {}
@@ -95,21 +138,23 @@ def encoder(path: str) -> ForcedBoundaryEncoder:
     return _ENCODERS[path]
 
 
-def _mapped(df: DataFrame, text_col: str, keep: list[str], out_col: str, kind: T.DataType, of_texts, path: str) -> DataFrame:
+def _mapped(df: DataFrame, text_col: str, keep: list[str], out_col: str, kind: T.DataType, column, path: str) -> DataFrame:
     if out_col in keep:
         raise ValueError(f"{out_col} is a column of the result")
     rows = df.select(*keep, F.col(text_col).alias(out_col))
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(out_col, kind)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        coder = encoder(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                coded = part.column(len(keep)).dictionary_encode()
-                done = of_texts(encode, coded.dictionary.to_pylist())
-                codes = coded.indices.fill_null(len(coded.dictionary))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], done.take(codes)], names=[*keep, out_col])
+            texts = batch.column(len(keep))
+            size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+            start = 0
+            while start < batch.num_rows:  # parts of bounded bytes, of one text at least
+                stop = max(start + 1, int(np.searchsorted(size, size[start] + PART_BYTES, side="right")) - 1)
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], column(*coder.encode_all(part.column(len(keep))))], names=[*keep, out_col])
+                start = stop
 
     return rows.mapInArrow(work, schema)
 
@@ -120,17 +165,9 @@ def encode_texts(df: DataFrame, text_col: str, keep: list[str], out_col: str = "
     A null text and an empty text have the empty list. The strings of special tokens are ordinary text.
     Repeated rows are kept. Decoding the ids gives the text back. Nothing is shuffled.
     """
-
-    def of_texts(encode, texts: list[str]) -> pa.Array:
-        ids = [encode(x) for x in texts]
-        offsets = np.zeros(len(ids) + 2, dtype=np.int32)
-        np.cumsum([*map(len, ids), 0], out=offsets[1:])
-        flat = np.fromiter((i for part in ids for i in part), dtype=np.int32, count=int(offsets[-1]))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-    return _mapped(df, text_col, keep, out_col, T.ArrayType(T.IntegerType(), True), of_texts, path or vocabulary_path())
+    return _mapped(df, text_col, keep, out_col, T.ArrayType(T.IntegerType(), True), lambda ids, begin: pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids)), path or vocabulary_path())
 
 
 def count_tokens(df: DataFrame, text_col: str, keep: list[str], out_col: str = "n_tokens", path: str | None = None) -> DataFrame:
     """The ``keep`` columns and ``out_col``, the number of ids that :func:`encode_texts` gives."""
-    return _mapped(df, text_col, keep, out_col, T.LongType(), lambda encode, texts: pa.array([*(len(encode(x)) for x in texts), 0], pa.int64()), path or vocabulary_path())
+    return _mapped(df, text_col, keep, out_col, T.LongType(), lambda ids, begin: pa.array(np.diff(begin).astype(np.int64)), path or vocabulary_path())

@@ -98,3 +98,17 @@ def test_empty_and_negative(spark):
     assert pack_items(spark.createDataFrame([], SCHEMA), "doc", "n", [8]).count() == 0
     with pytest.raises(PySparkException):
         pack_items(spark.createDataFrame([(1, -2, None, None)], SCHEMA), "doc", "n", [8]).count()
+
+
+def test_bins_open_at_their_own_capacity():
+    from quillon.llm.packing import _pack
+
+    capacities, rnd, least = [8, 12, 20], random.Random(3), 0
+    for _ in range(100):
+        sizes = [(s, rnd.randint(1, 4)) for s in rnd.sample(range(1, 21), 6)]
+        joint, single = _pack(sizes, None, capacities, 0.0).cost, min(_pack(sizes, c, capacities, 0.0).cost for c in capacities)
+        least += joint <= single
+        assert plan_bins(dict(sizes), capacities).cost == min(joint, single)
+    assert least >= 80
+    with pytest.raises(ValueError):
+        plan_bins({3: 1 << 40}, [8])

@@ -58,3 +58,13 @@ def test_round_trip():
     e = tokens.encoder(PATH)
     for t in ODD:
         assert enc.decode(e.encode(t or "")) == (t or "")
+
+
+def test_text_without_blanks_is_cut():
+    e = tokens.encoder(PATH)
+    text = "漢字かな交じり文は日本語の標準的な表記法である。" * 500
+    assert len(e.fragments(text)) > 1000 and e.encode(text) == e.whole(text)
+    rnd = random.Random(6)
+    for _ in range(4000):
+        text = "".join(chr(rnd.choice([rnd.randint(1, 0x2FF), rnd.randint(0x300, 0xD7FF), rnd.randint(0xE000, 0x1FFFF), 32, 39])) for _ in range(rnd.randint(0, 24)))
+        assert e.encode(text) == e.whole(text), repr(text)
