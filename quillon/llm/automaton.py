@@ -22,6 +22,14 @@ class Automaton:
         start = (tuple(o if o >= 0 else none for o in range(-k, k + 1)), (none,) * self.width)
         known, todo, rows = {start: 1}, [start], [[0] * (1 << self.window)]
         states = [((none,) * self.width, (none,) * self.width), start]
+        # where a word was left before its end, only the place itself counts: it was reached with so many edits
+        self.landed = [1]
+        for edits in range(1, k + 1):
+            state = (tuple(min(none, edits + o) if o >= 0 else none for o in range(-k, k + 1)), (none,) * self.width)
+            known[state] = len(states)
+            states.append(state)
+            todo.append(state)
+            self.landed.append(known[state])
         while todo:
             row, pend = todo.pop(0)
             out = []
@@ -83,13 +91,35 @@ class Trie:
         self.child = np.array([c for e in edges for c in e.values()], dtype=np.int32)
         self.sign = np.array([ord(s) for e in edges for s in e], dtype=np.int32)
         self.longest = max((len(form) for _, form, _ in forms), default=0)
+        #: letters since the word began, and the words before, at each node
+        self.letters, self.word = np.zeros(len(edges), dtype=np.int32), np.zeros(len(edges), dtype=np.int32)
+        for at, below in enumerate(edges):  # a node comes before those below it
+            for sign, nxt in below.items():
+                self.letters[nxt], self.word[nxt] = (0, self.word[at] + 1) if sign == " " else (self.letters[at] + 1, self.word[at])
+        self._ends: dict[int, list[int]] = {}
         self.end_first = np.append(0, np.cumsum([len(e) for e in ends]))
         self.values = np.array([v for e in ends for v in e], dtype=np.int64)
 
-    def search(self, automaton: Automaton, queries: list[tuple[str, str]], limits: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def word_ends(self, at: int) -> list[int]:
+        """The nodes below ``at`` where its word ends, ``at`` itself left out."""
+        if at not in self._ends:
+            found, todo = [], [at]
+            while todo:
+                node = todo.pop()
+                signs = self.sign[self.first[node] : self.first[node + 1]]
+                if node != at and (32 in signs or self.end_first[node + 1] > self.end_first[node]):
+                    found.append(node)
+                todo += self.child[self.first[node] : self.first[node + 1]][signs != 32].tolist()
+            self._ends[at] = found
+        return self._ends[at]
+
+    def search(self, automaton: Automaton, queries: list[tuple[str, str]], limits: list[int], shortened: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (query number, value, distance) with distance <= the query's limit.
 
-        ``queries``: (group, text); a group without forms finds nothing.
+        ``queries``: (group, text); a group without forms finds nothing. With ``shortened`` the matches are
+        those where a word of the text stands for a longer word of the form: where the text's word ends after
+        three letters or more, or after one letter in a later word, the walk goes on at every end of the word below.
+        One word at least is not shortened.
         """
         k = automaton.most
         known = [i for i, (group, text) in enumerate(queries) if group in self.roots and len(text) <= self.longest + limits[i]]
@@ -100,33 +130,55 @@ class Trie:
             text[i, k + 1 : k + 1 + len(q)] = np.frombuffer(q.encode("utf-32-le"), dtype=np.int32)
         length = np.array([len(q) for _, q in queries], dtype=np.int64)
         limit = np.array(limits, dtype=np.int8)
+        landed = np.array(automaton.landed)
         who = np.array(known, dtype=np.int64)
         node = np.array([self.roots[queries[i][0]] for i in known], dtype=np.int64)
         state = np.ones(len(known), dtype=np.int64)
-        weights = 1 << np.arange(automaton.window, dtype=np.int64)
+        at = np.zeros(len(known), dtype=np.int64)  # the text's place that goes with the node
+        # some word was shortened; some word was not; a shortened word ends here
+        short, whole, ended = (np.zeros(len(known), dtype=bool) for _ in range(3))
+        weights, window = 1 << np.arange(automaton.window, dtype=np.int64), np.arange(automaton.window)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        depth = 0
         while len(who):
-            offset = length[who] - depth
-            near = np.flatnonzero((np.abs(offset) <= k) & (self.end_first[node + 1] > self.end_first[node]))
+            if shortened:
+                sign = text[who, at + k + 1]
+                edits = automaton.rows[state, k]
+                letters = self.letters[node]
+                leave = np.flatnonzero(~ended & ((sign == 32) | (at == length[who])) & (edits <= limit[who]) & ((letters >= 3) | ((letters == 1) & (self.word[node] > 0))))
+                below = [self.word_ends(n) for n in node[leave].tolist()]
+                some = np.array([len(x) for x in below], dtype=np.int64)
+                if some.sum():
+                    origin = np.repeat(leave, some)
+                    node = np.concatenate([node, np.array([n for x in below for n in x], dtype=np.int64)])
+                    who, at, whole, state = np.append(who, who[origin]), np.append(at, at[origin]), np.append(whole, whole[origin]), np.append(state, landed[edits[origin]])
+                    short, ended = np.append(short, np.ones(len(origin), bool)), np.append(ended, np.ones(len(origin), bool))
+            offset = length[who] - at
+            near = (np.abs(offset) <= k) & (self.end_first[node + 1] > self.end_first[node])
+            if shortened:
+                near &= short & (whole | ~ended)
+            near = np.flatnonzero(near)
             if len(near):
                 gap = automaton.rows[state[near], offset[near] + k]
                 near, gap = near[gap <= limit[who[near]]], gap[gap <= limit[who[near]]]
                 some = self.end_first[node[near] + 1] - self.end_first[node[near]]
-                at = np.repeat(self.end_first[node[near]], some) + _within(some)
-                found.append((np.repeat(who[near], some), self.values[at], np.repeat(gap, some)))
+                place = np.repeat(self.end_first[node[near]], some) + _within(some)
+                found.append((np.repeat(who[near], some), self.values[place], np.repeat(gap, some)))
             some = self.first[node + 1] - self.first[node]
             # what is longer than its query by more than the limit can't match any more
             some[offset < -limit[who].astype(np.int64)] = 0
+            some[at + automaton.window > text.shape[1]] = 0
             edge = np.repeat(self.first[node], some) + _within(some)
-            who, state = np.repeat(who, some), np.repeat(state, some)
-            if depth + 2 * k + 3 > text.shape[1]:
-                break
-            bits = (text[who, depth : depth + automaton.window] == self.sign[edge, None]) @ weights
+            who, state, at = np.repeat(who, some), np.repeat(state, some), np.repeat(at, some)
+            bits = (text[who[:, None], at[:, None] + window] == self.sign[edge, None]) @ weights
             state = automaton.step[state, bits].astype(np.int64)
             alive = automaton.least[state] <= limit[who]
-            who, state, node = who[alive], state[alive], self.child[edge[alive]].astype(np.int64)
-            depth += 1
+            if shortened:
+                short, whole, ended = np.repeat(short, some), np.repeat(whole, some), np.repeat(ended, some)
+                blank = self.sign[edge] == 32
+                alive &= blank | ~ended
+                short, whole = short[alive], (whole | (blank & ~ended))[alive]
+                ended = np.zeros(len(short), dtype=bool)
+            who, state, node, at = who[alive], state[alive], self.child[edge[alive]].astype(np.int64), at[alive] + 1
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
         return tuple(np.concatenate(x) for x in zip(*found))

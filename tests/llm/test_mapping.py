@@ -35,6 +35,10 @@ NAMED = [
 OTHERS = [("organism", "Pukrucoccus laidaensis HVY8094"), ("organism", "Pukrucoccus laidaensis"), ("organism", "Gegremonas reostaiica JA341"), ("organism", "Glolobacter snigriii"), ("method", "Vipusk amplicon sequencing"), ("database", "Kligima Reaction Library"), ("database", "Vipusk barcoded phage sequencing"), ("organism", "this organism"), ("organism", ""), ("method", "the tool"), ("other", "Kligima Strain Catalog"), ("organism", "n/a")]
 
 
+# decoration as it would be learned
+BEFORE, AFTER = {"the", "strain"}, {"sp nov", "pipeline", "str", "strain"}
+
+
 @pytest.fixture(scope="module")
 def matcher():
     return Matcher(ENTRIES)
@@ -42,12 +46,12 @@ def matcher():
 
 @pytest.mark.parametrize("kind,text,entry", NAMED)
 def test_named(matcher, kind, text, entry):
-    assert [e for e, _ in matcher.match([(kind, text)])[0]] == [entry]
+    assert [e for e, _ in matcher.match([(kind, text)], [BEFORE], [AFTER])[0]] == [entry]
 
 
 @pytest.mark.parametrize("kind,text", OTHERS)
 def test_not_named(matcher, kind, text):
-    assert matcher.match([(kind, text)]) == [[]]
+    assert matcher.match([(kind, text)], [BEFORE], [AFTER]) == [[]]
 
 
 def test_an_exact_hit_leaves_the_near_entries_in():
@@ -56,7 +60,7 @@ def test_an_exact_hit_leaves_the_near_entries_in():
 
 
 def test_clean():
-    assert clean("  **The Foo-Bar** v1.2 ") == ("foobar", ()) and clean("AB 12 x") == ("x", ("ab12",))
+    assert clean("  **The Foo-Bar** v1.2 ") == ("the foobar", ()) and clean("AB 12 x") == ("x", ("ab12",))
 
 
 TEXTS = "record long, kind string, text string, entry_id string, name string"
@@ -79,7 +83,34 @@ def test_blocks_give_the_same(spark, monkeypatch):
     from quillon.llm import mapping
 
     v = spark.createDataFrame([(e.entry_id, e.kind, e.names[0], e.names[1:], None, None) for e in ENTRIES], VOCAB)
-    t = spark.createDataFrame([(i, k, x, None, None) for i, (k, x, _) in enumerate(NAMED)], TEXTS)
-    whole = {tuple(r) for r in match_texts(t, "kind", "text", v).collect()}
+    dressed = [(k, f"{b}{n}{a}", e) for e, k, n in [(x.entry_id, x.kind, x.names[0]) for x in ENTRIES] for b, a in (("strain ", ""), ("the ", ""), ("", " pipeline"), ("the ", " pipeline"), ("", " sp. nov."), ("", " str"))]
+    t = spark.createDataFrame([(i, k, x, None, None) for i, (k, x, _) in enumerate(NAMED + dressed)], TEXTS)
+    whole = {tuple(r) for r in match_texts(t, "kind", "text", v, beside=1).collect()}
     monkeypatch.setattr(mapping, "BLOCK", 3)
-    assert {tuple(r) for r in match_texts(t, "kind", "text", v).collect()} == whole and len(whole) == len({(k, x) for k, x, _ in NAMED})
+    assert {tuple(r) for r in match_texts(t, "kind", "text", v, beside=1).collect()} == whole and {r[:2] for r in whole} == {(k, x) for k, x, _ in NAMED + dressed}
+
+
+def test_decoration_is_learned(spark):
+    from quillon.llm.mapping import _cleaned, decorations
+
+    v = spark.createDataFrame([(i, "method", n, [], None, None) for i, n in enumerate(["plasmid mapping", "phage sorting", "colony imaging", "flux tracing"])], VOCAB)
+    said = ["the plasmid mapping", "the phage sorting", "the colony imaging", "the colony imaging kit", "plasmid mapping kit online", "phage sorting kit", "flux tracing kit", "old flux tracing", "old plasmid mapping", "mapping flux tracing", "mapping phage sorting", "mapping colony imaging"]
+    t = _cleaned(spark.createDataFrame([("method", x) for x in said], "kind string, text string"), "text")
+    listed = v.selectExpr("entry_id as id", "entity_kind as kind", "canonical as name", "aliases")
+    # old stands beside two names only, mapping is a word of a name, online never beside a whole name
+    assert {tuple(r) for r in decorations(t, listed).collect()} == {("method", "before", "the"), ("method", "after", "kit")}
+    assert decorations(t.where("false"), listed).count() == decorations(t, listed.where("false")).count() == 0
+    rows = spark.createDataFrame([(i, "method", x, None, None) for i, x in enumerate(["the fluxx tracing kit kit", "the kit", *said])], TEXTS)
+    found = {r.text: r.entry_id for r in match_texts(rows, "kind", "text", v).collect()}
+    assert found["the fluxx tracing kit kit"] == 3 and "the kit" not in found and found["the colony imaging kit"] == 2
+    plain = {r.text for r in match_texts(rows, "kind", "text", v, beside=None).collect()}
+    assert "the fluxx tracing kit kit" not in plain
+
+
+def test_shortened_words_are_walked_in_the_trie():
+    trie, automaton = Trie([("m", f, i) for i, f in enumerate(["barcoded phage sequencing", "barcoded plasmid sequencing", "phage", "annals of microbial ecology"])]), Automaton(2)
+    find = lambda text, limit=1: sorted(zip(*(x.tolist() for x in trie.search(automaton, [("m", text)], [limit], True)[1:])))
+    assert find("barco phage seque") == [(0, 0)] and find("barco phagee seque") == [(0, 1)]
+    assert find("barcoded p sequencing") == [(0, 0), (1, 0)] and find("b phage sequencing") == [] and find("ba phage sequencing") == []
+    assert find("barco pha seque") == [] and find("pha") == [] and find("annals of mic e") == [(3, 0)]
+    assert find("barcoded phage sequencing") == []  # nothing is shortened
