@@ -279,6 +279,38 @@ def match_texts(texts: DataFrame, kind_col: str, text_col: str, vocab: DataFrame
     return out
 
 
+def near_forms(texts: DataFrame, kind_col: str, text_col: str, forms: DataFrame) -> DataFrame:
+    """(kind, words, entry_id, distance): for each distinct kind and text all entries with a form within the
+    distance allowed for its length, the text and the forms taken as they are.
+
+    ``forms``: (entry_id, kind, form). Nulls and empty texts are left out. A form longer than any text allows
+    finds nothing. The forms go to the workers in blocks of BLOCK.
+    """
+    spark = texts.sparkSession
+    asked = Workspace(spark).keep(texts.select(F.col(kind_col).alias("kind"), F.col(text_col).alias("words")).where("kind is not null and words <> ''").distinct())
+    listed = forms.where("entry_id is not null and kind is not null and form <> ''").select("kind", "form", F.col("entry_id").cast("long").alias("entry_id")).distinct()
+    schema = T.StructType([*asked.schema.fields, T.StructField("entry_id", T.LongType()), T.StructField("distance", T.IntegerType())])
+    parts = max(1, -(-listed.count() // BLOCK))
+    out = None
+    for part in range(parts):
+        shared = spark.sparkContext.broadcast([tuple(r) for r in listed.where(F.pmod(F.xxhash64("entry_id"), F.lit(parts)) == part).collect()])
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            trie, automaton = Trie(sorted(shared.value)), Automaton(MOST)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 4000):
+                    rows = list(zip(*(c.to_pylist() for c in batch.slice(start, 4000).columns)))
+                    best: dict[tuple[int, int], int] = {}
+                    for q, e, d in zip(*(x.tolist() for x in trie.search(automaton, rows, [allowed(len(w)) for _, w in rows]))):
+                        best[q, e] = min(d, best.get((q, e), d))
+                    flat = [(*rows[q], e, d) for (q, e), d in best.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat) if flat else ([], [], [], []), (pa.string(), pa.string(), pa.int64(), pa.int32()))], names=schema.names)
+
+        found = asked.mapInArrow(work, schema)
+        out = found if out is None else out.unionAll(found)
+    return out.groupBy("kind", "words", "entry_id").agg(F.min("distance").alias("distance"))
+
+
 _MATCHERS: dict[str, Matcher] = {}
 
 

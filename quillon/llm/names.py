@@ -1,11 +1,15 @@
 """Linking the variants under which people and organisations are typed.
 
 1. Tokens: a symmetric-delete index over the distinct tokens finds all pairs a small edit apart.
-2. Candidates share a valid iD, or a family-like token, an initial and a place, typos bridged by the
-   index; organisations share a token that isn't general.
+2. Candidates share a valid iD or a place, and a token; organisations share a token. All full tokens of the
+   shorter name must agree, so it is enough to ask for its rarest one among all tokens of the other and all
+   that may stand for them; frequent tokens meet only those that ask for them.
 3. A pair is aligned token by token by optimal assignment, which permits initials, abbreviations,
    nicknames and small edits, and needs a second witness: the same iD or the same place.
 4. Confirmed links are closed over to persons; pairs of a person's rows come out.
+
+Which words of an affiliation name the place is learned from all affiliations: a word that is mostly beside a rarer
+one says what kind of place it is, not which.
 """
 
 from __future__ import annotations
@@ -33,21 +37,20 @@ NICKNAMES = {
     "richard": "rick dick", "james": "jim jimmy", "joseph": "joe", "daniel": "dan danny", "david": "dave", "edward": "ed ted ned", "matthew": "matt", "andrew": "andy drew", "stephen": "steve", "gregory": "greg", "lawrence": "larry",
     "maria": "mia", "jurgen": "jorg", "mariajose": "majo",
 }
-# fixed values: given names of two words that are one name
-COMPOUNDS = {("maria", "jose"), ("jean", "pierre"), ("jose", "maria"), ("anna", "maria")}
-# fixed values: words of titles and roles, of organisations, of kinds of institution
-TITLES = {"Dr", "DR", "dr", "Prof", "prof", "PhD", "PHD", "phd", "MSc", "Mr", "Mrs", "Ms", "lead", "The", "the", "THE"}
-ORGANISATION = {"team", "consortium", "initiative", "collective", "force", "group", "cons", "init", "commons", "society", "network", "alliance", "project", "committee"}
-PLACE_WORDS = {
-    "university", "univ", "institute", "inst", "of", "technology", "tech", "technical", "soil", "science", "sci", "centre", "center", "for", "microbial", "research", "marine", "station", "state", "national", "natl", "nat", "l", "lab", "laboratory",
-    "department", "dept", "microbiology", "school", "biology", "bioinformatics", "core", "genomics", "division", "the", "and",
-}
+# fixed values: common given names of two words that are one name
+COMPOUNDS = {("anna", "maria"), ("ana", "maria"), ("jean", "claude"), ("jean", "luc"), ("jean", "marie"), ("jean", "paul"), ("jean", "pierre"), ("jose", "luis"), ("jose", "maria"), ("juan", "carlos"), ("juan", "jose"), ("luis", "miguel"), ("maria", "jose"), ("maria", "luisa"), ("marie", "claire"), ("mary", "ann")}
+# fixed values: titles that are no part of a name
+TITLES = {"Dr", "DR", "dr", "Prof", "prof", "PhD", "PHD", "phd", "MSc", "Mr", "Mrs", "Ms", "The", "the", "THE"}
+# fixed values: English nouns for organisations of people
+ORGANISATION = {"team", "consortium", "initiative", "collective", "force", "group", "commons", "society", "network", "alliance", "project", "committee", "council", "association", "foundation", "federation"}
+# fixed values: English words that never tell one institution from another; the others are learned
+PLACE_WORDS = {"university", "institute", "department", "school", "college", "centre", "center", "laboratory", "of", "for", "the", "and", "at", "in"}
 _FULL = {n: [full for full, short in NICKNAMES.items() if n in short.split()] for names in NICKNAMES.values() for n in names.split()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ID = re.compile(r"(\d{4})[-‐–]?(\d{4})[-‐–]?(\d{4})[-‐–]?(\d{3}[\dXx])(?![\d])")
 
 
-LONG = 32  # letters up to which a token's deletions are listed
+LONG = 32  # letters up to which a token's deletions are listed, and up to which its beginning stands for it
 
 
 def plain(text: str) -> str:
@@ -100,15 +103,14 @@ def is_short(tokens: list[str]) -> bool:
 
 
 def is_organisation(tokens: list[str]) -> bool:
-    return any(t in ORGANISATION for t in tokens)
+    """A token is a word for organisations or four letters or more of its beginning."""
+    return any(t in ORGANISATION or (len(t) >= 4 and any(w.startswith(t) for w in ORGANISATION)) for t in tokens)
 
 
-def place_of(affiliation: str | None) -> str | None:
-    """The distinctive words of an affiliation, without department, kind of institution and acronym."""
+def place_words(affiliation: str | None) -> list[str]:
+    """The distinct words of an affiliation without what stands in brackets, in order."""
     text = re.sub(r"\([^)]*\)", " ", plain(affiliation or "")).lower().replace("'", "").replace("’", "")
-    words = [w for w in re.findall(r"[^\W\d_]+", text) if w not in PLACE_WORDS]
-    words = [w for w in words if not any(len(w) > 5 and abs(len(w) - len(k)) < 2 and edit_distance(w, k, 1) <= 1 for k in PLACE_WORDS if len(k) > 5)]
-    return " ".join(words) or None
+    return list(dict.fromkeys(re.findall(r"[^\W\d_]+", text)))
 
 
 @lru_cache(maxsize=200_000)
@@ -128,7 +130,7 @@ def _token_cost(a: str, b: str) -> float:
         gap = edit_distance(a, b, 2)
         if gap <= (2 if len(short) >= 7 else 1 if len(short) >= 4 else 0):
             return 0.3 * gap
-        if long.startswith(short) and len(short) >= 4 and len(long) - len(short) >= 2:
+        if long.startswith(short) and len(short) >= 4 and len(short) + 2 <= len(long) <= LONG:
             return 0.6
         # ae, oe, ue for an umlaut
         if re.sub("([aou])e", r"\1", a) == re.sub("([aou])e", r"\1", b):
@@ -234,10 +236,12 @@ def same_name(a: list[str], b: list[str]) -> bool:
     return not (len(pairs) < len(a) and len(pairs) < len(b)) and cost <= 1.6
 
 
-def same_place(a: str | None, b: str | None) -> bool:
-    if a is None or b is None:
+def same_place(a: list[str] | None, b: list[str] | None) -> bool:
+    """Every word of the place with fewer words is one of the other's, up to a small edit."""
+    if not a or not b:
         return False
-    return a == b or edit_distance(a, b, 2) <= (2 if min(len(a), len(b)) >= 7 else 1)
+    few, many = sorted((a, b), key=len)
+    return all(any(x == y or edit_distance(x, y, 2) <= (2 if min(len(x), len(y)) >= 7 else 1) for y in many) for x in few)
 
 
 def _shorter(text):
@@ -272,21 +276,61 @@ def _neighbours(work: Workspace, tokens: DataFrame, least: int = 4) -> DataFrame
     return tokens.select("token", F.col("token").alias("other")).unionAll(both)
 
 
-def _profiles(df: DataFrame, id_col: str, name_col: str, place_col: str, code_col: str) -> DataFrame:
+def _profiles(work: Workspace, df: DataFrame, id_col: str, name_col: str, place_col: str, code_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(name_col).alias("name"), F.col(place_col).alias("place"), F.col(code_col).alias("code")).where("id is not null").distinct()
     strings = T.ArrayType(T.StringType())
-    schema = T.StructType([rows.schema["id"], T.StructField("tokens", strings), T.StructField("place", T.StringType()), T.StructField("code", T.StringType()), T.StructField("org", T.BooleanType())])
+    schema = T.StructType([rows.schema["id"], T.StructField("tokens", strings), T.StructField("site", strings), T.StructField("code", T.StringType()), T.StructField("org", T.BooleanType())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, names, places, codes = (c.to_pylist() for c in batch.columns)
             tokens = [name_tokens(x) for x in names]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.list_(pa.string())), pa.array(list(map(place_of, places)), pa.string()), pa.array(list(map(valid_id, codes)), pa.string()), pa.array(list(map(is_organisation, tokens)), pa.bool_())],
+                [batch.column(0), pa.array(tokens, pa.list_(pa.string())), pa.array(list(map(place_words, places)), pa.list_(pa.string())), pa.array(list(map(valid_id, codes)), pa.string()), pa.array(list(map(is_organisation, tokens)), pa.bool_())],
                 names=schema.names,
             )
 
-    return rows.mapInArrow(work, schema).where("size(tokens) > 0")
+    parsed = work.keep(rows.mapInArrow(parse, schema).where("size(tokens) > 0"))
+    return parsed.join(_places(work, parsed.select("site").distinct()), "site", "left").select("id", "tokens", "place", "seat", "code", "org")
+
+
+def _places(work: Workspace, sites: DataFrame) -> DataFrame:
+    """(site, place, seat): the words of each distinct affiliation that tell which place it is, and the rarest of them.
+
+    A word is told apart by how many affiliations have it. One that in most of its affiliations stands beside a
+    rarer word is general, and so is a rarer word of six letters or more that is one edit from such a word.
+    """
+    each = work.keep(sites.select("site", F.posexplode("site").alias("at", "word")))
+    often = each.groupBy("word").agg(F.count("*").alias("n"))
+    counted = work.keep(each.join(often, "word"))
+    rare = counted.groupBy("site").agg(F.min("n").alias("least"))
+    marked = counted.join(rare, "site").groupBy("word").agg(F.first("n").alias("n"), F.avg((F.col("n") == F.col("least")).cast("int")).alias("own"))
+    general = work.keep(marked.where((F.col("own") < 0.5) | F.col("word").isin(sorted(PLACE_WORDS))).select("word", "n"))
+    # misspelt general words
+    index = lambda df, name: df.where(F.length("word") > 5).select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"), F.explode(F.array_distinct(F.concat(F.array("word"), _shorter(F.col("word"))))).alias("key"))
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    near = index(marked, "typed").join(index(general, "meant"), "key").where("n_typed < n_meant")
+    near = near.where((F.levenshtein("typed", "meant", 1) >= 0) | ((F.levenshtein("typed", "meant", 2) == 2) & (letters("typed") == letters("meant")))).select(F.col("typed").alias("word"))
+    telling = counted.join(general.select("word").unionAll(near).distinct(), "word", "left_anti")
+    return telling.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("place"), F.min(F.struct("n", "word"))["word"].alias("seat"))
+
+
+def _alike(work: Workspace, tokens: DataFrame) -> DataFrame:
+    """(token, other): each distinct token with itself and every token that may stand for it: a neighbour,
+    a nickname or full form or a neighbour of that, a spelling without the e of an umlaut, a beginning of four letters or
+    more of a word of up to LONG letters."""
+    nicks = tokens.sparkSession.createDataFrame([(n, f) for n, full in _FULL.items() for f in full], "token string, full string")
+    tokens = tokens.select("token").distinct()
+    used = work.keep(tokens.join(nicks, "token"))
+    near = _neighbours(work, tokens.unionAll(used.select(F.col("full").alias("token"))))
+    near = work.keep(near)
+    plain_form = F.regexp_replace("token", "([aou])e", "$1")
+    spelt = tokens.where(F.col("token") != plain_form).select("token", plain_form.alias("key"))
+    full = used.join(near.select(F.col("token").alias("full"), "other"), "full").select("token", "other").unionAll(used.join(used.select(F.col("token").alias("other"), "full"), "full").select("token", "other"))
+    begun = tokens.where(F.length("token").between(6, LONG)).select("token", F.explode(F.transform(F.sequence(F.lit(4), F.length("token") - 2), lambda n: F.substring("token", F.lit(1), n))).alias("other"))
+    known = tokens.select(F.col("token").alias("other"))
+    one = full.unionAll(begun.join(known, "other", "left_semi").select("token", "other")).unionAll(spelt.join(known, F.col("key") == F.col("other")).select("token", "other")).unionAll(spelt.join(spelt.select(F.col("token").alias("other"), "key"), "key").select("token", "other"))
+    return near.unionAll(one).unionAll(one.select(F.col("other").alias("token"), F.col("token").alias("other"))).distinct()
 
 
 def link_names(df: DataFrame, id_col: str, name_col: str, place_col: str, code_col: str) -> DataFrame:
@@ -298,39 +342,48 @@ def link_names(df: DataFrame, id_col: str, name_col: str, place_col: str, code_c
     witness. Malformed iDs, placeholders and wrong check digits count as null. Repeated rows count once; an id whose rows
     differ takes part with each of them. An empty table gives no rows. Other columns are ignored.
     """
-    spark = df.sparkSession
-    work = Workspace(spark)
-    rows = work.keep(_profiles(df, id_col, name_col, place_col, code_col))
+    work = Workspace(df.sparkSession)
+    rows = work.keep(_profiles(work, df, id_col, name_col, place_col, code_col))
     # rows with the same words are one profile, however many ids it has
-    what = ["tokens", "place", "code", "org"]
-    shapes = work.keep(rows.groupBy(what).agg(F.min("id").alias("pid"), F.count("*").alias("n")))
+    what = ["tokens", "place", "seat", "code", "org"]
+    shapes = work.keep(rows.groupBy(what).agg(F.min("id").alias("pid")))
 
     words = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.split(t, "-"))))
     # a person goes by the words of four letters or more, or if there are none by any of two letters or more,
     # as organisations do
     least = F.when(F.col("org") | ~F.exists("words", lambda t: F.length(t) >= 4), 2).otherwise(4)
-    spoken = shapes.withColumn("words", words).select("pid", *what, "words", F.explode(F.filter("words", lambda t: F.length(t) >= least)).alias("token"))
-    near = work.keep(_neighbours(work, spoken.select("token")))
+    # of an organisation's words those for organisations say nothing
+    plain_word = F.when(F.col("org"), ~F.col("token").isin(sorted(ORGANISATION))).otherwise(F.lit(True))
+    spoken = shapes.withColumn("words", words).select("pid", *what, "words", F.explode(F.filter("words", lambda t: F.length(t) >= least)).alias("token")).where(plain_word)
+    alike = work.keep(_alike(work, spoken.select("token")))
     # places of any length may be an edit apart
-    near_place = work.keep(_neighbours(work, shapes.where("place is not null").select(F.col("place").alias("token")), least=1))
-    spoken = spoken.join(near, "token").select("pid", "place", "code", "org", "words", "token", F.col("other").alias("word"))
-
-    # each key is made of a row's own token and place, and of every neighbour of either; two rows meet where
-    # the one's own key is the other's, so a pair never hangs on a third spelling
-    # iD and a token: people who share an iD with someone else's name don't meet
-    by_code = spoken.where("code is not null").select(F.concat_ws("|", F.lit("c"), "code", "word").alias("key"), "pid", (F.col("word") == F.col("token")).alias("own"))
-    # a short name of one word has no initial beside it
-    alone = F.when((F.size("words") == 1) & (F.length("token") < 4), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    initials = F.array_distinct(F.transform(F.filter("words", lambda t: t != F.col("token")), lambda t: F.substring(t, 1, 1)))
-    nicks = F.create_map(*(x for short, full in _FULL.items() for x in (F.lit(short), F.array(*(F.lit(f[0]) for f in full)))))
-    others = F.flatten(F.transform(F.filter("words", lambda t: (t != F.col("token")) & nicks[t].isNotNull()), lambda t: nicks[t]))
-    at_place = spoken.where("place is not null").join(near_place.select(F.col("token").alias("place"), F.col("other").alias("site")), "place")
-    by_place = at_place.select(F.explode(F.array_union(F.array_union(initials, others), alone)).alias("i"), "word", "site", "pid", ((F.col("word") == F.col("token")) & (F.col("site") == F.col("place"))).alias("own")).select(F.concat_ws("|", F.lit("p"), "site", "word", "i").alias("key"), "pid", "own")
-    # an organisation goes by every word: the shared one may be common, where a rare one is extra or misspelt
-    worded = spoken.where("org").where(~F.col("token").isin(sorted(ORGANISATION))).select(F.concat_ws("|", F.lit("o"), "word").alias("key"), "pid", (F.col("word") == F.col("token")).alias("own"))
-    keys = by_code.unionAll(by_place).unionAll(worded).distinct()
-
-    met = keys.select("key", F.col("pid").alias("a")).join(keys.where("own").select("key", F.col("pid").alias("b")), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sites = work.keep(_neighbours(work, shapes.where("place is not null").select(F.explode("place").alias("token")), least=1)).select(F.col("token").alias("seat"), F.col("other").alias("site"))
+
+    # what a row asks for: its rarest word; of an organisation the two rarest, as one of them may be an initial elsewhere
+    often = spoken.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = spoken.join(often, "token").groupBy("pid", "org").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    rarest = ranked.select("pid", F.transform(F.slice("t", F.lit(1), F.when(F.col("org"), 2).otherwise(1)), lambda x: x["token"]).alias("rare"))
+    # of a hyphenated token every part, as one of them may stand alone
+    parts = F.array_union("rare", F.flatten(F.filter(F.transform("tokens", lambda t: F.split(t, "-")), lambda p: F.arrays_overlap(p, F.col("rare")))))
+    asking = shapes.join(rarest, "pid").select("pid", *what, F.explode(parts).alias("word"))
+    # what it is found by: every word and all that may stand for it
+    finding = spoken.join(alike, "token").withColumnRenamed("other", "word")
+    single = ~F.col("org") & (F.size(F.filter("tokens", lambda t: F.length(t) > 1)) == 1) & (F.size("tokens") > 1)
+    key = lambda *parts: F.xxhash64(*parts).alias("key")
+    asked = (
+        # iD and a token: people who share an iD with someone else's name don't meet
+        asking.where("code is not null").select(key(F.lit("c"), "code", "word"), "pid")
+        .unionAll(asking.where("not org").join(sites, "seat").select(key(F.lit("p"), "site", "word"), "pid"))
+        .unionAll(asking.where("org").select(key(F.lit("o"), "word"), "pid"))
+        # a word and initials may stand for an organisation
+        .unionAll(asking.where(single).select(key(F.lit("s"), "word"), "pid"))
+    ).distinct()
+    found = (
+        finding.where("code is not null").select(key(F.lit("c"), "code", "word"), "pid")
+        .unionAll(finding.where("not org and place is not null").withColumn("site", F.explode("place")).select(key(F.lit("p"), "site", "word"), "pid"))
+        .unionAll(finding.where("org").select(F.explode(F.array(key(F.lit("o"), "word"), key(F.lit("s"), "word"))).alias("key"), "pid"))
+    ).distinct()
+    met = asked.select("key", F.col("pid").alias("a")).join(found.select("key", F.col("pid").alias("b")), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda s: shapes.select(F.col("pid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in what))
     links = work.keep(_confirm(met.join(side("a"), "a").join(side("b"), "b")))
 
@@ -345,7 +398,9 @@ def link_names(df: DataFrame, id_col: str, name_col: str, place_col: str, code_c
     named = groups.join(shapes.select(F.col("pid").alias("node")).join(bare, F.col("node") == F.col("a"), "left_anti"), "node").select(F.col("group_id").alias("ga")).distinct()
     votes = loose.join(bare, "a").join(ga, "a").join(gb, "b").where("ga <> gb").join(named, "ga", "left_anti")
     chosen = votes.groupBy("ga").agg(F.min("gb").alias("low"), F.max("gb").alias("high")).where("low = high").select(F.col("ga").alias("src"), F.col("low").alias("dst"))
-    joined = connected_groups(groups.select(F.col("node").alias("src"), F.col("group_id").alias("dst")).unionAll(chosen), "src", "dst")
+    # only the groups that join another are looked at again
+    moved = connected_groups(chosen, "src", "dst").select(F.col("node").alias("group_id"), F.col("group_id").alias("to"))
+    joined = groups.join(moved, "group_id", "left").select("node", F.coalesce("to", "group_id").alias("group_id"))
     found = rows.join(shapes.select(*(F.col(c).alias(f"s_{c}") for c in what), "pid"), [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in what]).select("id", "pid")
     by_id = found.join(joined.select(F.col("node").alias("pid"), F.col("group_id").alias("g")), "pid")
     # least id of all ids of the group, which may be less than any profile's least id

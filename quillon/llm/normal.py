@@ -136,11 +136,17 @@ def look_keys(df: DataFrame, id_col: str, text_col: str, fold_case: bool = False
     return rows.mapInArrow(work, schema)
 
 
-def same_look_classes(keys: DataFrame) -> DataFrame:
-    """(look_key, text_key, n) of the forms that at least two different texts have."""
-    texts = keys.groupBy("look_key", "text_key").agg(F.count("*").alias("n"))
-    several = texts.groupBy("look_key").agg(F.count("*").alias("k")).where("k > 1").select("look_key")
-    return texts.join(several, "look_key")
+def look_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, n_members, n_texts): each record whose text has a visible character, the least id of the
+    records that look the same, and how many records and different texts these are.
+
+    A null id has no row, repeated ids with one text count once. Counts are made by text before they are
+    shuffled, so copies of one text don't meet.
+    """
+    keys = Workspace(df.sparkSession).keep(look_keys(df, id_col, text_col).where("id is not null")).distinct()
+    texts = keys.groupBy("look_key", "text_key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    classes = texts.groupBy("look_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_members"), F.count("*").alias("n_texts"))
+    return keys.join(classes, "look_key").select("id", "class_id", "n_members", "n_texts")
 
 
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

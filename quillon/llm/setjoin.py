@@ -37,11 +37,11 @@ class SetJoin:
     """Result of :func:`similar_sets`.
 
     ``members``: (class_id, side, id); ``class_pairs``: (class_a, class_b) of different classes that
-    reach the threshold; ``pairs()`` expands both to pairs of ids.
+    reach the threshold; ``pairs()`` expands both to pairs of ids; ``everyone``: (side, id) of all records with a value.
     """
 
-    def __init__(self, members: DataFrame, class_pairs: DataFrame, between: bool):
-        self.members, self.class_pairs, self.between = members, class_pairs, between
+    def __init__(self, members: DataFrame, class_pairs: DataFrame, between: bool, everyone: DataFrame):
+        self.members, self.class_pairs, self.between, self.everyone = members, class_pairs, between, everyone
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b); within one table id_a < id_b, between two id_a is of the first."""
@@ -61,15 +61,19 @@ class SetJoin:
         return both.select(F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))
 
     def links(self) -> DataFrame:
-        """(side, id, class_id, n_links): for each record its class and how many records it pairs with."""
-        size = self.members.groupBy("class_id", "side").agg(F.count("*").alias("n"))
+        """(side, id, class_id, n_links): for each record with a value its class, named by the least id of the
+        identical sets of its table, and how many records it pairs with."""
+        size = self.members.groupBy("class_id", "side").agg(F.count("*").alias("n"), F.min("id").alias("least"))
         ends = self.class_pairs.select("class_a", "class_b").unionAll(self.class_pairs.select("class_b", "class_a"))
         other = ends.join(size.select(F.col("class_id").alias("class_b"), F.col("side").alias("side_b"), "n"), "class_b")
         same = size.select(F.col("class_id").alias("class_a"), F.col("side").alias("side_b"), "n")
         reach = other.select("class_a", "side_b", "n").unionAll(same).groupBy("class_a", "side_b").agg(F.sum("n").alias("n"))
-        held = self.members.join(reach, F.col("class_id") == F.col("class_a"), "left")
-        counts = F.col("n") - (F.col("side") == F.col("side_b")).cast("long") if not self.between else F.when(F.col("side") != F.col("side_b"), F.col("n"))
-        return held.groupBy("side", "id", "class_id").agg(F.coalesce(F.sum(counts), F.lit(0)).alias("n_links"))
+        # counted for the class, whose members are of one table
+        mine = F.col("side") == F.col("side_b")
+        count = F.col("n") - mine.cast("long") if not self.between else F.when(~mine, F.col("n"))
+        linked = size.select("class_id", "side", "least").join(reach, F.col("class_id") == F.col("class_a")).groupBy("class_id", "side", "least").agg(F.coalesce(F.sum(count), F.lit(0)).alias("n_links"))
+        known = self.members.select("side", "id", "class_id").join(linked.select("class_id", "least", "n_links"), "class_id").select("side", "id", "least", "n_links")
+        return self.everyone.join(known, ["side", "id"], "left").select("side", "id", F.coalesce("least", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _subsets(tokens: Column, size: int) -> Column:
@@ -92,7 +96,7 @@ def similar_sets(
     right: DataFrame | None = None,
     right_id_col: str | None = None,
     right_value_col: str | None = None,
-    large_size: int = 256,
+    large_size: int = 128,
 ) -> SetJoin:
     """Join records whose sets of distinct values have |A∩B| / sqrt(|A|·|B|) >= threshold.
 
@@ -151,7 +155,7 @@ def similar_sets(
     pairs = _small_pairs(reps, p, q, between)
     if not big_ids.isEmpty():
         pairs = pairs.unionAll(_large_pairs(big_rows, big_ids, reps, p, q, large_size, between))
-    return SetJoin(members, pairs, between)
+    return SetJoin(members, pairs, between, sizes.select("side", "id"))
 
 
 def _reaches(k: Column, n_a: Column, n_b: Column, p: int, q: int) -> Column:

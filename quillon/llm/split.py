@@ -1,8 +1,9 @@
 """Cutting oversized texts at natural boundaries, with an overlap between the pieces.
 
-For each text the legal cut points and the farthest legal successor of each one are arrays; squaring
-the successor array (pointer doubling) gives all cuts that the greedy walk from the start would make
-in about log2(pieces) steps. Positions count code points.
+For each text the boundaries are a table and each is joined with its farthest legal successor; squaring
+the table of successors (pointer doubling) gives all cuts that the greedy walk from the start would make
+in about log2(pieces) steps. The tables are arrays beside their text, so nothing is shuffled. Positions
+count code points.
 """
 
 from __future__ import annotations
@@ -68,39 +69,43 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[in
         return [0, n]
     rank = boundary_ranks(codes)
     room = limit - overlap
-    at = np.arange(n + 1, dtype=np.int32 if n < 2**31 else np.int64)
-    torn = np.zeros(n + 1, dtype=bool)
-    torn[1:n] = (codes[:-1] == 13) & (codes[1:] == 10)
-    last = {kind: np.maximum.accumulate(np.where(rank >= kind, at, 0)) for kind in (3, 2, 1)}
+    places = np.flatnonzero(rank)
+    of_kind = {kind: np.append(0, places[rank[places] >= kind]) for kind in (3, 2, 1)}
+    torn = lambda at: (at > 0) & (at < n) & (codes[np.maximum(at, 1) - 1] == 13) & (codes[np.minimum(at, n - 1)] == 10)
 
     def successors(start: np.ndarray, reach: int, least: int) -> np.ndarray:
+        """Joins each start with the farthest legal cut in its reach."""
         far = np.minimum(start + reach, n)
         best, found = far.copy(), far == n
+        last = {kind: at[np.searchsorted(at, far, side="right") - 1] for kind, at in of_kind.items()}
         for kind in (3, 2, 1):
-            there = last[kind][far]
-            half = ~found & (there >= start + max(least, (reach + 1) // 2))
-            best[half], found[half] = there[half], True
-        there = last[1][far]
-        short = ~found & (there >= start + least)
-        best[short], found[short] = there[short], True
+            half = ~found & (last[kind] >= start + max(least, (reach + 1) // 2))
+            best[half], found[half] = last[kind][half], True
+        short = ~found & (last[1] >= start + least)
+        best[short], found[short] = last[1][short], True
         # cut anywhere, but not between a carriage return and its line feed
-        back = ~found & torn[far] & (far - 1 >= start + least)
+        back = ~found & torn(far) & (far - 1 >= start + least)
         best[back] -= 1
         return best
 
+    # every boundary is a row of the table; a cut elsewhere lies in a stretch of a piece's length without any, so
+    # of such stretches, if there are any, every place is a row
+    ends = np.concatenate([[0], places, [n]])
+    bare = np.flatnonzero(np.diff(ends) >= room)
+    at = np.unique(np.concatenate([ends, *(np.arange(ends[i], ends[i + 1]) for i in bare)]))
     # the first piece is long enough to lend the whole overlap
     first = int(successors(at[:1], limit, max(1, overlap))[0])
-    jump = successors(at, room, 1)
-    # squaring: after each step ``hit`` holds all points that the walk from the first cut reaches
-    hit = np.zeros(n + 1, dtype=bool)
-    hit[first] = True
+    jump = np.searchsorted(at, successors(at, room, 1))
+    # squaring: after each step ``hit`` holds all rows that the walk from the first cut reaches
+    hit = np.zeros(len(at), dtype=bool)
+    hit[np.searchsorted(at, first)] = True
     while True:
         grown = hit.copy()
         grown[jump[hit]] = True
         if (grown == hit).all():
             break
         hit, jump = grown, jump[jump]
-    return [0, *np.flatnonzero(hit).tolist()]
+    return [0, *at[hit].tolist()]
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[str]:

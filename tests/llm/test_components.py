@@ -49,3 +49,9 @@ def test_random_graphs(spark):
     for n, m in ((40, 25), (60, 80), (30, 200)):
         pairs = [(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(m)]
         assert run(spark, pairs) == brute(pairs)
+
+
+def test_a_hub_of_a_tenth_of_the_edges(spark):
+    rnd = random.Random(8)
+    pairs = [("hub", f"n{rnd.randrange(4000)}") for _ in range(1000)] + [(f"n{rnd.randrange(4000)}", f"n{rnd.randrange(4000)}") for _ in range(1500)]
+    assert run(spark, pairs) == brute(pairs)

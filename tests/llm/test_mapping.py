@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from quillon.llm import mapping
 from quillon.llm.automaton import Automaton, Trie, edit_distance
 from quillon.llm.mapping import Entry, Matcher, best_entries, clean, match_texts
 
@@ -80,10 +81,8 @@ def test_operator(spark):
 
 
 def test_blocks_give_the_same(spark, monkeypatch):
-    from quillon.llm import mapping
-
     v = spark.createDataFrame([(e.entry_id, e.kind, e.names[0], e.names[1:], None, None) for e in ENTRIES], VOCAB)
-    dressed = [(k, f"{b}{n}{a}", e) for e, k, n in [(x.entry_id, x.kind, x.names[0]) for x in ENTRIES] for b, a in (("strain ", ""), ("the ", ""), ("", " pipeline"), ("the ", " pipeline"), ("", " sp. nov."), ("", " str"))]
+    dressed = [(k, f"{b}{n}{a}", e) for e, k, n in [(x.entry_id, x.kind, x.names[0]) for x in ENTRIES] for b, a in (("strain ", ""), ("the ", ""), ("", " pipeline"), ("the ", " pipeline"), ("", " sp. nov."), ("", " str")) if (k, b) != ("database", "strain ")]  # a word of a name there
     t = spark.createDataFrame([(i, k, x, None, None) for i, (k, x, _) in enumerate(NAMED + dressed)], TEXTS)
     whole = {tuple(r) for r in match_texts(t, "kind", "text", v, beside=1).collect()}
     monkeypatch.setattr(mapping, "BLOCK", 3)
@@ -114,3 +113,18 @@ def test_shortened_words_are_walked_in_the_trie():
     assert find("barcoded p sequencing") == [(0, 0), (1, 0)] and find("b phage sequencing") == [] and find("ba phage sequencing") == []
     assert find("barco pha seque") == [] and find("pha") == [] and find("annals of mic e") == [(3, 0)]
     assert find("barcoded phage sequencing") == []  # nothing is shortened
+
+
+def test_near_forms_equal_brute_force(spark):
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("ab c") for _ in range(rnd.randint(1, n))).strip()
+    texts, forms = [(rnd.choice("XY"), word(12)) for _ in range(150)], [(i % 40, rnd.choice("XYZ"), word(12)) for i in range(120)]
+    t = spark.createDataFrame([*texts, (None, "a"), ("X", None), ("X", "")], "kind string, words string")
+    f = spark.createDataFrame([*forms, (None, "X", "a"), (1, None, "a"), (1, "X", None)], "entry_id long, kind string, form string")
+    want = {}
+    for k, w in texts:
+        for e, h, form in forms:
+            if w and form and k == h and (d := edit_distance(w, form)) <= mapping.allowed(len(w)):
+                want[k, w, e] = min(d, want.get((k, w, e), d))
+    assert {tuple(r) for r in mapping.near_forms(t, "kind", "words", f).collect()} == {(*k, d) for k, d in want.items()}
+    assert mapping.near_forms(t.where("false"), "kind", "words", f).count() == mapping.near_forms(t, "kind", "words", f.where("false")).count() == 0

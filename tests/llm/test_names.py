@@ -1,6 +1,6 @@
 import pytest
 
-from quillon.llm.names import align, link_names, name_pairs, name_tokens, place_of, same_name, same_place, valid_id
+from quillon.llm.names import align, link_names, name_pairs, name_tokens, place_words, same_name, same_place, valid_id
 
 SAME = [
     ("Katya Gratrokai", "Ekaterina T. Gratrokai"), ("GRATROKAI, Ekaterina", "Ekaterina Gratrokai"), ("Gavreopuv KE", "Katherine E. Gavreopuv"), ("Koposhuv MR", "Maria José R. Koposhuv"), ("**Yuki Datreozherk**", "Yuki Datreozherk, PhD (lead)"), ("Jennifer Steoeklitold", "Jennifer Steöklitold"),
@@ -27,8 +27,22 @@ def test_ids():
 
 
 def test_places():
-    assert place_of("Dept. of Microbiology, Haskin Institute of Technology") == place_of("HASKIN (HIT)") == "haskin" and place_of(None) is None
-    assert same_place("thainivik", "thaiivik") and not same_place("haskin", "drusnil") and not same_place(None, "haskin")
+    assert place_words("HASKIN (HIT)") == ["haskin"] and place_words("Dépt. of Microbiology, Haskin, of") == ["dept", "of", "microbiology", "haskin"] and place_words(None) == []
+    assert same_place(["thainivik"], ["thaiivik"]) and not same_place(["haskin"], ["drusnil"]) and not same_place(None, ["haskin"]) and not same_place([], [])
+    assert same_place(["haskin"], ["haskni", "bay"]) and not same_place(["haskin", "lake"], ["haskin", "bay", "town"])
+
+
+def test_general_words_of_places_are_learned(spark):
+    from quillon.llm.names import _places
+    from quillon.session import Workspace
+
+    towns = ["Haskin", "Drusnil", "Gosask", "Faikeoton", "Statreoby", "Draiplol", "Skiraivik", "Thainivik", "Pluskisk", "Zomeby"]
+    typed = [f"{a} {b}" for a in towns for b in ("Marine Station", "Univ.")] + [f"Genomics Core, {a} Univ." for a in towns[:6]] + ["Haskin Marnie Station", "Univ. Drusnil Marine Sattion"]
+    sites = spark.createDataFrame([(place_words(x),) for x in typed] + [([],)], "site array<string>")
+    got = {tuple(r.site): (r.place, r.seat) for r in _places(Workspace(spark), sites).collect()}
+    assert len(got) == len(typed) and all(place == [seat] for place, seat in got.values())
+    assert {seat for _, seat in got.values()} == {x.lower() for x in towns}
+    assert _places(Workspace(spark), sites.where("false")).count() == 0
 
 
 def test_align_is_optimal():

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillon.llm.normal import consistent_form, normalise_texts, same_look_classes, look_keys, same_look_pairs
+from quillon.llm.normal import consistent_form, look_classes, normalise_texts, same_look_pairs
 
 SAME = [
     ("abc", "ａｂｃ"), ("abc", "a​b­c﻿"), ("a b", "a b"), ("a b", "a　b"), ("é", "é"), ("Cell", "Сеll"), ("oxygen", "οхуɡеn"), ("fit", "ﬁt"), ("a-b", "a‑b"), ("µ", "μ"), ("K", "K"),
@@ -40,7 +40,9 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {tuple(r) for r in same_look_pairs(df, "doc_id", "text").collect()} == {(1, 2), (2, 3), (10, 11)}
     assert same_look_pairs(df.where("false"), "doc_id", "text").count() == 0
-    assert same_look_classes(look_keys(df, "doc_id", "text")).count() == 5
+    classes = {r.id: (r.class_id, r.n_members, r.n_texts) for r in look_classes(df, "doc_id", "text").collect()}
+    assert classes == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 2), 4: (4, 1, 1), 10: (10, 2, 2), 11: (10, 2, 2)}
+    assert look_classes(df.where("false"), "doc_id", "text").count() == 0
 
 
 def test_column(spark):

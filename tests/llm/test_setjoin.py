@@ -61,7 +61,8 @@ def test_copies_are_one_class_and_counted(spark):
     assert join.class_pairs.count() == 1
     assert found(join) == brute(sets, 0.6)
     links = {r["id"]: r["n_links"] for r in join.links().collect()}
-    assert links["c0"] == 5 and links["n"] == 5 and links.get("m", 0) == 0
+    assert links == {**{f"c{i}": 5 for i in range(5)}, "n": 5, "m": 0}
+    assert {r["id"]: r["class_id"] for r in join.links().collect()} == {**{f"c{i}": "c0" for i in range(5)}, "n": "n", "m": "m"}
 
 
 def test_between_two_tables(spark):
