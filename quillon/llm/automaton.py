@@ -141,17 +141,18 @@ class Trie:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(who):
             if shortened:
-                sign = text[who, at + k + 1]
-                edits = automaton.rows[state, k]
-                letters = self.letters[node]
-                leave = np.flatnonzero(~ended & ((sign == 32) | (at == length[who])) & (edits <= limit[who]) & ((letters >= 3) | ((letters == 1) & (self.word[node] > 0))))
-                below = [self.word_ends(n) for n in node[leave].tolist()]
-                some = np.array([len(x) for x in below], dtype=np.int64)
-                if some.sum():
-                    origin = np.repeat(leave, some)
-                    node = np.concatenate([node, np.array([n for x in below for n in x], dtype=np.int64)])
-                    who, at, whole, state = np.append(who, who[origin]), np.append(at, at[origin]), np.append(whole, whole[origin]), np.append(state, landed[edits[origin]])
-                    short, ended = np.append(short, np.ones(len(origin), bool)), np.append(ended, np.ones(len(origin), bool))
+                n, letters = len(who), self.letters[node]
+                for shift in range(-k, k + 1):  # the text may be ahead of the node or behind it
+                    edits, there = automaton.rows[state[:n], k + shift], at[:n] + shift
+                    sign = text[who[:n], np.maximum(there, 0) + k + 1]
+                    leave = np.flatnonzero(~ended[:n] & (there > 0) & ((sign == 32) | (there == length[who[:n]])) & (edits <= limit[who[:n]]) & (((letters >= 3) & (letters + shift >= 3)) | ((letters == 1) & (self.word[node[:n]] > 0))))
+                    below = [self.word_ends(x) for x in node[leave].tolist()]
+                    some = np.array([len(x) for x in below], dtype=np.int64)
+                    if some.sum():
+                        origin = np.repeat(leave, some)
+                        node = np.append(node, np.array([x for each in below for x in each], dtype=np.int64))
+                        who, at, whole, state = np.append(who, who[origin]), np.append(at, there[origin]), np.append(whole, whole[origin]), np.append(state, landed[edits[origin]])
+                        short, ended = np.append(short, np.ones(len(origin), bool)), np.append(ended, np.ones(len(origin), bool))
             offset = length[who] - at
             near = (np.abs(offset) <= k) & (self.end_first[node + 1] > self.end_first[node])
             if shortened:
