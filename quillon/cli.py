@@ -1,22 +1,24 @@
-"""Commands: scan | metrics | report."""
+"""Commands: scan | extract | metrics | report."""
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
+import importlib
+import json
 import sys
 import uuid
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from quillon.operators import checks
+from quillon.operators import checks, extraction
 from quillon.plans import bundles, panels
 from quillon.plans.derived import DERIVED
 from quillon.plans.views import VIEWS, run_all
 from quillon.session import get_session
 from quillon.sinks import export
-from quillon.sources import corpus
+from quillon.sources import corpus, vocab
 from quillon.sources.warehouse import Warehouse
 
 
@@ -27,10 +29,15 @@ def _parser() -> argparse.ArgumentParser:
     scan.add_argument("root")
     scan.add_argument("--exclude", action="append", default=[])
     scan.add_argument("--allow-failed-checks", action="store_true")
+    extract = sub.add_parser("extract", help="read the stored sections with a model")
+    extract.add_argument("--scorer", default="quillon.operators.extraction:StubScorer", help="module:name of the scorer")
+    extract.add_argument("--prompt-version", default="v1")
+    extract.add_argument("--vocab-version", default="v1")
+    extract.add_argument("--vocab", action="append", default=[], help="kind=file, may be repeated")
     metrics = sub.add_parser("metrics", help="run every view and export it")
     report = sub.add_parser("report", help="write the panels as JSON and a page")
     report.add_argument("--sampled", action="store_true", help="the extraction is known to be a sample")
-    for x in (scan, metrics, report):
+    for x in (scan, extract, metrics, report):
         x.add_argument("--warehouse", required=True)
         x.add_argument("--master")
     for x in (metrics, report):
@@ -62,6 +69,18 @@ def scan(args) -> int:
     return 0 if all(result.values()) or args.allow_failed_checks else 1
 
 
+def extract(args) -> int:
+    spark = get_session(master=args.master)
+    module, _, name = args.scorer.partition(":")
+    scorer = getattr(importlib.import_module(module), name)
+    entries = spark.createDataFrame([], vocab.SCHEMA)
+    for each in args.vocab:
+        kind, _, path = each.partition("=")
+        entries = entries.unionByName(vocab.load_vocab(spark, path, kind))
+    print(json.dumps(extraction.extract(Warehouse(spark, args.warehouse), vocab.lookup(entries), scorer, args.prompt_version, args.vocab_version)))
+    return 0
+
+
 def metrics(args) -> int:
     w = Warehouse(get_session(master=args.master), args.warehouse, DERIVED)
     results = run_all(w)
@@ -88,7 +107,7 @@ def report(args) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
-    return {"scan": scan, "metrics": metrics, "report": report}[args.command](args)
+    return {"scan": scan, "extract": extract, "metrics": metrics, "report": report}[args.command](args)
 
 
 if __name__ == "__main__":

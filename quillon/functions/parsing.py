@@ -13,8 +13,9 @@ import yaml
 CANONICAL_DOCS = {"README.md": "README", "RESEARCH_PLAN.md": "RESEARCH_PLAN", "REPORT.md": "REPORT", "REVIEW.md": "REVIEW", "references.md": "references_md"}
 FRONT_MATTER, PREAMBLE = "__frontmatter__", "__preamble__"
 SKIPPED_TITLES = ["Reproduction", "Quick Links", "Code Quality", "Review Metadata", "Project Structure", "Dependencies", "Acknowledgments", "Data Availability"]
-MARKER = re.compile(r"^# [a-z]+-generated v=")
-_FRONT = re.compile(r"\A---\n(.*?)\n---\n", re.DOTALL)
+#: how the first line of this engine's own files begins
+MARKER = re.compile(r"^(?:<!-- )?# quillon-generated v=")
+_FRONT = re.compile(r"\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)", re.DOTALL)
 _TITLE = re.compile(r"^#\s+(.+?)\s*$", re.MULTILINE)
 _HEADING = re.compile(r"^##\s+(.+?)\s*$", re.MULTILINE)
 _REVISION = re.compile(r"^[-*]\s*\*\*(v\d+(?:\.\d+)?)\*\*\s*\((\d{4}-\d{2}(?:-\d{2})?)\)\s*:\s*(.*?)$", re.MULTILINE)
@@ -160,9 +161,26 @@ def chunks(content: str, limit: int = CHUNK_LIMIT) -> list[str]:
     return packed
 
 
+_LOOSE = re.compile(r"""("(?:[^"\\]|\\.)*")|'((?:[^'\\]|\\.)*)'|(//[^\n]*|/\*.*?\*/)|,(?=\s*[}\]])|([A-Za-z_$][\w$]*)(?=\s*:)""", re.DOTALL)
+
+
+def strict_json(text: str) -> str:
+    """Looser JSON made strict: comments and trailing commas go, single quotes become double ones and bare keys are
+    quoted; nothing inside a string is touched."""
+
+    def one(m: re.Match) -> str:
+        if m.group(1) is not None:
+            return m.group(1)
+        if m.group(2) is not None:
+            return '"' + re.sub(r'(?<!\\)"', r'\"', m.group(2).replace("\\'", "'")) + '"'
+        return f'"{m.group(4)}"' if m.group(4) else ""
+
+    return _LOOSE.sub(one, text)
+
+
 def salvage_json(text: str) -> Any:
-    """JSON out of a model's answer: as it is, in a fence, between the outermost brackets, and at last with
-    trailing commas dropped. Raises ValueError if nothing parses."""
+    """JSON out of a model's answer: as it is, in a fence, between the outermost brackets, and at last
+    read loosely. Raises ValueError if nothing parses."""
     text = text.strip()
     tries = [text, *(m.strip() for m in _FENCE.findall(text))]
     for a, b in ("{}", "[]"):
@@ -171,7 +189,7 @@ def salvage_json(text: str) -> Any:
     for loose in (False, True):
         for t in tries:
             try:
-                return json.loads(re.sub(r",(\s*[}\]])", r"\1", t) if loose else t)
+                return json.loads(strict_json(t) if loose else t)
             except ValueError:
                 continue
     raise ValueError(f"no JSON in {text[:200]!r}")

@@ -26,7 +26,7 @@ def self_test(w: Warehouse, root: str, before: dict[str, float]) -> dict[str, bo
     sections, edges, projects = w.table("sections"), w.table("reuse_edges"), w.table("projects")
     none = lambda df: df.isEmpty()
     return {
-        "no section of a file the engine wrote": none(sections.where(F.col("content").rlike(MARKER.pattern.removeprefix("^")) & F.col("start_offset").eqNullSafe(0))),
+        "no section of a file the engine wrote": none(sections.where(F.col("content").rlike(MARKER.pattern) & F.col("start_offset").eqNullSafe(0))),
         "no project from a hidden or ignored folder": none(projects.where(F.col("project_id").startswith("."))),
         "the corpus is as it was": snapshot(root) == before,
         "every edge ends at a known project": none(edges.join(projects.select(F.col("project_id").alias("dst_project_id")), "dst_project_id", "left_anti")),

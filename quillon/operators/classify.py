@@ -29,7 +29,8 @@ def label_rows(rows: DataFrame, text_col: str, keep: list[str], labels: list[str
 
     A label that isn't one of ``labels`` becomes ``fallback``; confidence is clamped to 0..1, null becomes
     0. The rows of a batch that fails are labelled one by one; a row that fails by itself has the fallback with
-    confidence 0 and the error as rationale, so the job goes on.
+    confidence 0, the error as rationale and no prompt version, so the job goes on, and the row counts as
+    unlabelled and is asked for again.
     """
     names = ["label", "confidence", "rationale", "prompt_version", "model_id"]
     schema = T.StructType([*(rows.schema[k] for k in keep), *(T.StructField(n, T.DoubleType() if n == "confidence" else T.StringType()) for n in names)])
@@ -39,7 +40,7 @@ def label_rows(rows: DataFrame, text_col: str, keep: list[str], labels: list[str
             return model.label(texts)
         except Exception as e:
             if len(texts) == 1:
-                return [(fallback, 0.0, str(e)[:500])]
+                return [(None, 0.0, str(e)[:500])]
             return [x for t in texts for x in answers(model, [t])]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,7 +53,8 @@ def label_rows(rows: DataFrame, text_col: str, keep: list[str], labels: list[str
                 out["label"] = [g[0] if g[0] in labels else fallback for g in got]
                 out["confidence"] = [min(1.0, max(0.0, float(g[1] or 0))) for g in got]
                 out["rationale"] = [g[2] for g in got]
-                out["prompt_version"], out["model_id"] = prompt_version, model.model_id
+                out["prompt_version"] = [None if g[0] is None else prompt_version for g in got]
+                out["model_id"] = model.model_id
                 yield out
 
     return rows.select(*keep, F.col(text_col).alias("_text")).mapInPandas(work, schema)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quillon.functions import parsing as P
 from quillon.functions import text as X
 from quillon.schemas import conform
+from quillon.session import Workspace
 from quillon.sources.vocab import canonicalise
 
 # fixed values: the arrays of an answer and the kind of entity in each
@@ -29,7 +30,8 @@ class Scorer(Protocol):
     model_id: str
 
     def answer(self, prompts: list[str]) -> list[tuple[str, str]]:
-        """(content, finish_reason) for each prompt."""
+        """(content, finish_reason) for each prompt. A scorer may have ``answer_long`` besides, the same with
+        a higher limit of tokens, for what was cut off."""
 
 
 class StubScorer:
@@ -95,14 +97,15 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 
 def ask(misses: DataFrame, scorer: Callable[[], Scorer], batch_size: int = 32) -> DataFrame:
     """``misses`` with response_content, finish_reason and error. An answer cut off is asked for once
-    more. Where a batch raises, its rows are asked one by one: an exception becomes the error of its row alone."""
+    more, with the higher limit if the scorer has one. Where a batch raises, its rows are asked one by one: an exception becomes the error of its row alone."""
     schema = T.StructType([*misses.schema.fields, T.StructField("response_content", T.StringType()), T.StructField("finish_reason", T.StringType()), T.StructField("error", T.StringType())])
 
     def answers(model: Scorer, prompts: list[str]) -> list[tuple[str | None, str | None, str | None]]:
         try:
             got = model.answer(prompts)
             cut = [i for i, (_, why) in enumerate(got) if why == "length"]
-            for i, again in zip(cut, model.answer([prompts[i] for i in cut]) if cut else []):
+            longer = getattr(model, "answer_long", model.answer)
+            for i, again in zip(cut, longer([prompts[i] for i in cut]) if cut else []):
                 got[i] = again
             return [(*g, None) for g in got]
         except Exception as e:
@@ -203,6 +206,30 @@ def numbered(rows: DataFrame, name: str, parts: list[str]) -> DataFrame:
     return rows.withColumn(name, F.when(k == 0, base).otherwise(F.concat(base, F.lit("#"), k)))
 
 
+def extract(w, forms: DataFrame, scorer: Callable[[], Scorer], prompt_version: str, vocab_version: str) -> dict[str, int]:
+    """The whole extraction over the stored sections: cached answers are taken, the others asked for and kept
+    in the cache unless they failed or were cut off, and mentions and drift candidates replace those stored,
+    unless there are none. Returns counts."""
+    model = scorer().model_id
+    work = Workspace(w.spark)
+    keyed = work.keep(with_cache_key(to_extract(w.table("sections")), prompt_version, vocab_version, model))
+    hits, misses = cache_split(keyed, w.table("extraction_cache"))
+    # both read the cache, which is about to change
+    hits, misses = work.keep(hits), work.keep(misses)
+    # equal chunks are asked for once
+    once = misses.select("cache_key", "content_hash", "chunk").dropDuplicates(["cache_key"])
+    asked = work.keep(ask(once, scorer))
+    good = asked.where("error is null").select("cache_key", "content_hash", F.lit(prompt_version).alias("prompt_version"), F.lit(vocab_version).alias("vocab_version"), F.lit(model).alias("model_id"), "response_content", F.to_json(F.struct("finish_reason")).alias("response_metadata"), F.current_timestamp().cast("timestamp_ntz").alias("cached_at"))
+    w.upsert("extraction_cache", good)
+    answered = misses.join(asked.select("cache_key", "response_content", "error"), "cache_key")
+    columns = ["section_id", "project_id", "source_doc", "h2_text", "chunk_idx", "response_content"]
+    items = work.keep(parse_answers(hits.select(*columns, F.lit(None).cast("string").alias("error")).unionAll(answered.select(*columns, "error"))))
+    said, drift = mentions_and_drift(items, forms, prompt_version, vocab_version, model)
+    for name, rows in (("entity_mentions", said), ("drift_candidates", drift)):
+        w.replace_if_any(name, rows)
+    return {"chunks": keyed.count(), "asked": asked.count(), "failed": asked.where("error is not null").count(), "mentions": w.table("entity_mentions").count(), "drift": w.table("drift_candidates").count()}
+
+
 def drift_rollup(candidates: DataFrame, new_projects: int, min_sources: int = 3, min_percent: float = 5.0) -> DataFrame:
     """One row for each kind and normal form seen in enough files or enough projects.
 

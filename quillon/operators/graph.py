@@ -23,10 +23,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     label names as well (hooking), and then takes the label of its label (jumping). Trees of labels so
     join and flatten in about log n rounds, also along chains. Each round is written to the shared
     folder. Ends when no label changes; raises if that takes MAX_ROUNDS rounds. Edges with a null end
-    are left out.
+    are left out. Nodes are numbered in their order first, so the rounds move numbers.
     """
     work = Workspace(edges.sparkSession)
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    named = work.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct())
+    known = work.keep(named.select(F.col("s").alias("name")).union(named.select("d")).distinct().orderBy("name").select("name", F.monotonically_increasing_id().alias("id")))
+    pairs = named.join(known.select(F.col("name").alias("s"), F.col("id").alias("a")), "s").join(known.select(F.col("name").alias("d"), F.col("id").alias("b")), "d").select("a", "b")
     both = work.keep(pairs.unionAll(pairs.select(F.col("b"), F.col("a"))).distinct())
     labels = work.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     for _ in range(MAX_ROUNDS):
@@ -45,7 +47,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         work.drop(hooked)
         labels = new
         if not moved:
-            return labels.withColumnRenamed("label", "component")
+            of = known.select(F.col("id").alias("label"), F.col("name").alias("component"))
+            return labels.join(of, "label").join(known.select(F.col("id").alias("node"), "name"), "node").select(F.col("name").alias("node"), "component")
     raise RuntimeError("the components did not settle")
 
 

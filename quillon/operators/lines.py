@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import matched
 from quillon.operators import edges as E
 from quillon.operators import graph as G
+from quillon.operators.ranking import first_k
 
 NO_DATE = "9999-99-99"  # fixed value: sorts undated projects last
 
@@ -83,6 +84,8 @@ def sub_clusters(citations: DataFrame, projects: DataFrame, mentions: DataFrame,
     sized = parts.groupBy("line_id", "community").agg(F.count("*").alias("member_count"), F.sort_array(F.collect_list("member")).alias("members")).where("member_count >= 2")
     named = mentions.where(F.col("entity_kind").isin("organism", "method", "database") & matched(F.col("canonical_id"))).groupBy("project_id", "entity_kind", "canonical_id").agg(F.count("*").alias("n"))
     held = parts.join(named, F.col("member") == F.col("project_id")).groupBy("line_id", "community", "entity_kind", "canonical_id").agg(F.sum("n").alias("n"))
-    best = lambda k: F.slice(F.sort_array(F.collect_list(F.when(F.col("entity_kind") == k, F.struct((-F.col("n")).alias("neg"), "canonical_id")))), 1, top)
+    # cut to the few before they are collected
+    held = first_k(held, ["line_id", "community", "entity_kind"], [F.desc("n"), F.asc("canonical_id")], top)
+    best = lambda k: F.sort_array(F.collect_list(F.when(F.col("entity_kind") == k, F.struct((-F.col("n")).alias("neg"), "canonical_id"))))
     tops = held.groupBy("line_id", "community").agg(*(F.transform(best(k), lambda x: F.struct(x["canonical_id"].alias("canonical_id"), (-x["neg"]).alias("n"))).alias(f"top_{k}s") for k in ("organism", "method", "database")))
     return sized.join(tops, ["line_id", "community"], "left").select(F.concat("line_id", F.lit("#sub-"), "community").alias("sub_id"), "line_id", F.col("community").alias("sub_index"), "member_count", "members", "top_organisms", "top_methods", "top_databases")

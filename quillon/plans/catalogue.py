@@ -27,7 +27,7 @@ PANELS = {
     "panel_research_lines": lambda spark, sf: panels.research_lines(delivered(spark, sf)).drop("sub_cluster_count").withColumnRenamed("authors", "_a").drop("_a"), "panel_line_threads": _panel(panels.line_threads),
     **{f"panel_top_{k}s": _panel(panels.top_names, k) for k in ("organism", "method", "journal", "function", "database")},
     "panel_database_matrix": _panel(panels.database_matrix), "panel_question_grid": _panel(panels.question_grid), "panel_question_pairs": _panel(panels.question_pairs), "panel_discoveries_timeline": _panel(panels.discoveries_timeline), "panel_topic_trends": _panel(panels.topic_trends),
-    "panel_claims_by_month": _panel(panels.claims_by_month), "panel_dark_matter": _panel(panels.dark_matter), "panel_gantt": _panel(panels.gantt), "panel_gantt_blocks": _panel(panels.gantt_blocks), "panel_underexplored": _panel(panels.underexplored), "panel_thread_links": _panel(panels.thread_links),
+    "panel_claims_by_month": _panel(panels.claims_by_month), "panel_dark_matter": _panel(panels.dark_matter), "panel_gantt": _panel(panels.gantt), "panel_gantt_blocks": _panel(panels.gantt_blocks), "panel_gantt_bars": _panel(panels.gantt_bars), "panel_ring": _panel(panels.ring), "panel_underexplored": _panel(panels.underexplored), "panel_thread_links": _panel(panels.thread_links),
     "panel_topic_neighbourhoods": _panel(panels.topic_neighbourhoods), "panel_author_links": _panel(panels.author_links), "panel_author_nodes": _panel(panels.author_nodes), "panel_edge_types": _panel(panels.edge_types), "panel_edge_type_samples": _panel(panels.edge_type_samples),
     "panel_revision_kinds": _panel(panels.revision_kind_counts), "panel_revision_kind_trend": _panel(panels.revision_kind_trend), "panel_plausible": _panel(panels.plausible), "panel_findings": _panel(panels.findings), "panel_recommendations": _panel(panels.recommendations),
     "panel_metrics_to_watch": _panel(panels.metrics_to_watch), "panel_cohort_slope": _panel(panels.cohort_slope), "panel_cohort_trends": _panel(panels.cohort_trends),

@@ -212,3 +212,47 @@ PANELS = {
 PANELS["panel_topic_links"] = _with("have", _CO.format(k=_K3), "SELECT a, b, weight FROM co")
 PANELS["panel_topic_cosine"] = _sql("cos", "SELECT a, b, cosine FROM cos")
 PANELS["panel_components"] = _sql("wcc", "SELECT node, component FROM wcc")
+
+_DOMAINS, _MODES = "['biochemistry-metabolism', 'physiology-phenotype', 'ecology-environment', 'evolution-comparative-genomics', 'biotechnology-application', 'methodology-tools']", "['discovery', 'characterization', 'mechanism', 'prediction', 'synthesis']"
+_SHOWN = r"CASE WHEN coalesce(d, '') = '' THEN '(unknown)' ELSE d END"
+_CUT = r"trim(regexp_replace(regexp_replace(regexp_replace(canonical_name, '\([^)]*\)', ' ', 'g'), '\s*(—|–|\s-\s|\|).*$', '', 'g'), '\s+', ' ', 'g'))"
+_FOUND = _sql("named", """SELECT (row_number() OVER (ORDER BY sure DESC, claim) - 1)::INTEGER finding_index, claim, CASE WHEN length(canonical_id) % 2 = 0 THEN 'action_indicated' ELSE 'watch_for_change' END so_what, sure confidence, '{}' evidence_json, 'v1' prompt_version, 'stand-in' model_id, CAST(NULL AS TIMESTAMP) observed_at
+    FROM (SELECT canonical_id, canonical_id || ' recurs' claim, least(1.0::DOUBLE, count(*) / 100.0::DOUBLE) sure FROM named WHERE entity_kind = 'organism' GROUP BY 1) ORDER BY sure DESC, claim LIMIT 5""")
+_ADVISED = _sql("named", """SELECT rec_index::INTEGER rec_index, title, '' rationale, CASE WHEN r = 0 AND rec_index < 3 THEN 'high' WHEN r = 2 THEN 'low' ELSE 'medium' END priority, 'other' gap_type, '{}' evidence_json, 'medium' estimated_effort, least(1.0::DOUBLE, n / 10.0::DOUBLE) plausibility, 'v1' prompt_version, 'stand-in' model_id, CAST(NULL AS TIMESTAMP) observed_at
+    FROM (SELECT *, row_number() OVER (ORDER BY r, title) - 1 rec_index FROM (SELECT 'Try ' || canonical_id title, count(*) n, count(*) % 3 r FROM named WHERE entity_kind = 'method' GROUP BY canonical_id)) WHERE rec_index < 8""")
+VIEWS["findings"], VIEWS["recommendations"] = _FOUND, _ADVISED
+_SLOPE = "SELECT CASE WHEN count(*) > 1 THEN regr_slope(m, x) END slope FROM (SELECT avg(depth_score) m, (row_number() OVER (ORDER BY strftime(c.completion_date, '%Y-%m')) - 1)::DOUBLE x FROM cur c JOIN sc USING (project_id) WHERE NOT too_early AND c.completion_date IS NOT NULL GROUP BY strftime(c.completion_date, '%Y-%m') HAVING count(*) > 2)"
+_WATCHED = {
+    "01 research lines": "SELECT count(DISTINCT line_id) FROM lm", "01 projects in lines": "SELECT count(DISTINCT project_id) FROM lm", "02 authors": "SELECT count(*) FROM (SELECT DISTINCT author_id FROM authors)",
+    "03 depth of 1 sigma, %": "SELECT avg(CASE WHEN depth_score >= 1 THEN 100.0::DOUBLE ELSE 0 END) FROM sc WHERE NOT too_early",
+    "04 depth and breadth for each revision": "SELECT avg(coalesce(depth_score, 0) + coalesce(breadth_score, 0)) / 2 / nullif(avg(c.revision_depth), 0) FROM sc JOIN cur c USING (project_id) WHERE NOT too_early AND c.revision_depth >= 1",
+    "05 self follow-on of 1 sigma, %": "SELECT avg(CASE WHEN self_follow_on_score >= 1 THEN 100.0::DOUBLE ELSE 0 END) FROM sc WHERE NOT too_early",
+    "06 projects with references": "SELECT count(DISTINCT project_id) FROM sections WHERE source_doc = 'references_md'", "06 pairs of citation": "SELECT count(*) FROM dec",
+    "07 cited from outside, %": "SELECT avg(CASE WHEN in_degree >= 1 THEN 100.0::DOUBLE ELSE 0 END) FROM sc WHERE NOT too_early", "07 mean downstream authors": "SELECT avg(cross_author_downstream) FROM sc WHERE NOT too_early AND cross_author_downstream > 0",
+    "08 exploratory citations, %": "SELECT avg(CASE WHEN edge_type IN ('deepening', 'branching') THEN 100.0::DOUBLE ELSE 0 END) FROM ec", "09 cohort slope": _SLOPE,
+    "10 databases used": "SELECT count(DISTINCT name) FROM have WHERE kind = 'database'", "11 pairs of databases": "SELECT count(DISTINCT (a.name, b.name)) FROM have a JOIN have b USING (pid) WHERE a.kind = 'database' AND b.kind = 'database' AND a.name < b.name",
+    "12 names pending": "SELECT count(*) FROM (SELECT DISTINCT entity_kind, surface_form FROM drift_candidates WHERE llm_decision = 'proposed')",
+}
+PANELS |= {
+    "panel_question_grid": f"""WITH s AS (SELECT DISTINCT project_id, json_extract_string(extra_json, '$.axis') axis, substr(canonical_id, instr(canonical_id, ':') + 1) x FROM entity_mentions WHERE entity_kind = 'question_type'),
+        k AS (SELECT a.x a, b.x b, count(*) n FROM s a JOIN s b USING (project_id) WHERE a.axis = 'domain' AND b.axis = 'mode' GROUP BY 1, 2)
+        SELECT d.x AS domain, m.x AS mode, coalesce(n, 0) projects FROM (SELECT unnest({_DOMAINS}) x) d CROSS JOIN (SELECT unnest({_MODES}) x) m LEFT JOIN k ON k.a = d.x AND k.b = m.x""",
+    "panel_author_nodes": _with("cls ppl", "near AS (SELECT DISTINCT unnest([x.aid, y.aid]) aid FROM cls JOIN mem x ON x.pid = src JOIN mem y ON y.pid = dst WHERE NOT shared)", f"SELECT aid author_id, {_SHOWN} display_name, n projects, aid IN (SELECT aid FROM near) linked FROM (SELECT aid, count(*) n FROM mem GROUP BY 1) JOIN (SELECT aid, {_CUT} d FROM ppl) USING (aid) WHERE n >= 2 OR aid IN (SELECT aid FROM near)"),
+    "panel_top_authors": _with("lm mem ppl", "best AS (SELECT aid, canonical_name, orcid_id, n FROM (SELECT aid, count(*) n FROM mem GROUP BY 1) JOIN ppl USING (aid) ORDER BY n DESC, aid LIMIT 10)", """SELECT aid author_id, canonical_name, orcid_id, n project_count, line_id, member_count, \"role\" FROM best LEFT JOIN
+        (SELECT aid, l.line_id, any_value(k) member_count, CASE WHEN bool_or(pid = substr(l.line_id, 6)) THEN 'founder' ELSE 'participant' END AS \"role\" FROM mem JOIN lm l ON project_id = pid JOIN (SELECT line_id, count(*) k FROM lm GROUP BY 1) USING (line_id) GROUP BY 1, 2) USING (aid)""".replace("", "")),
+    "panel_plausible": VIEWS["combination_plausibility"],
+    "panel_findings": f"SELECT finding_index, claim, so_what, confidence, '' so_what_detail FROM ({_FOUND})",
+    "panel_recommendations": f"SELECT rec_index, title, priority, gap_type, estimated_effort, plausibility FROM ({_ADVISED})",
+    "panel_metrics_to_watch": _sql("lm sc dec ec have", " UNION ALL ".join(f"SELECT '{k}' metric, ({v})::DOUBLE AS value" for k, v in _WATCHED.items())),
+    # as few rows as possible: as many as intervals lie over one start
+    "panel_gantt_blocks": _with("cur mem", f"""bar AS (SELECT aid, project_id, start_date s, coalesce(effective_completion_date, completion_date, start_date) e FROM mem JOIN cur ON pid = project_id WHERE start_date IS NOT NULL AND aid IN (SELECT aid FROM mem GROUP BY 1 ORDER BY count(*) DESC, aid LIMIT 10)),
+        high AS (SELECT aid, max(k)::INTEGER height FROM (SELECT x.aid, x.project_id, count(*) k FROM bar x JOIN bar y ON y.aid = x.aid AND y.s <= x.s AND y.e >= x.s GROUP BY 1, 2) GROUP BY 1)""", "SELECT aid author_id, height, coalesce(sum(height) OVER (ORDER BY aid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM high".replace("", "")),
+    "panel_gantt_bars": _with("cur mem", "best AS (SELECT aid FROM mem GROUP BY 1 ORDER BY count(*) DESC, aid LIMIT 10)", "SELECT aid author_id, project_id, start_date AS start, coalesce(effective_completion_date, completion_date, start_date) AS \"end\", 0 AS clashes FROM mem JOIN best USING (aid) JOIN cur ON pid = project_id WHERE start_date IS NOT NULL".replace("", "")),
+    "panel_ring": _sql("cur", "SELECT node, cos(2 * pi() * i / n) x, sin(2 * pi() * i / n) y FROM (SELECT project_id node, row_number() OVER (ORDER BY project_id) - 1 i, count(*) OVER () n FROM (SELECT DISTINCT project_id FROM cur WHERE project_id IS NOT NULL ORDER BY 1 LIMIT 500))"),
+    "panel_entity_details": _sql("named mem", """SELECT canonical_id, entity_kind, mentions, projects, coalesce(n, 0) authors, sections FROM (SELECT canonical_id, min(entity_kind) entity_kind, count(*) mentions, count(DISTINCT project_id) projects FROM named WHERE entity_kind IN ('organism', 'method', 'database', 'journal', 'function') GROUP BY 1)
+        LEFT JOIN (SELECT canonical_id, count(DISTINCT aid) n FROM named JOIN mem ON pid = project_id WHERE entity_kind IN ('organism', 'method', 'database', 'journal', 'function') GROUP BY 1) USING (canonical_id)
+        LEFT JOIN (SELECT canonical_id, list(t ORDER BY i) sections FROM (SELECT canonical_id, concat_ws(' / ', project_id, source_doc, source_section) t, row_number() OVER (PARTITION BY canonical_id ORDER BY project_id NULLS LAST, source_doc NULLS LAST, source_section NULLS LAST) i FROM (SELECT DISTINCT canonical_id, project_id, source_doc, source_section FROM named WHERE entity_kind IN ('organism', 'method', 'database', 'journal', 'function'))) WHERE i <= 20 GROUP BY 1) USING (canonical_id)"""),
+    "panel_author_details": _sql("lm mem ppl", f"""SELECT aid author_id, {_SHOWN} display_name, n.n projects, coalesce(k.m, 0) mentions, coalesce(k.k, []) kinds, coalesce(i.l, []) AS lines, n.n - coalesce(i.p, 0) projects_outside_lines
+        FROM (SELECT aid, count(*) n FROM mem GROUP BY 1) n LEFT JOIN (SELECT aid, {_CUT} d FROM ppl) p USING (aid)
+        LEFT JOIN (SELECT aid, sum(n)::BIGINT m, list(entity_kind || ': ' || n ORDER BY entity_kind) k FROM (SELECT aid, entity_kind, count(*) n FROM mem JOIN entity_mentions ON project_id = pid GROUP BY 1, 2) GROUP BY 1) k USING (aid) LEFT JOIN (SELECT aid, list(DISTINCT line_id ORDER BY line_id) l, count(DISTINCT pid) p FROM mem JOIN lm ON project_id = pid GROUP BY 1) i USING (aid)"""),
+}

@@ -196,6 +196,18 @@ def gantt(w: Warehouse, top: int = 10) -> DataFrame:
     return intervals.sub_rows(spans, "author_id", "project_id")
 
 
+def gantt_bars(w: Warehouse) -> DataFrame:
+    """The bars with the number of others in their row that they touch."""
+    placed = gantt(w)
+    other = placed.select("author_id", "sub_row", F.col("project_id").alias("p"), F.col("start").alias("s"), F.col("end").alias("e"))
+    met = placed.join(other, ["author_id", "sub_row"], "left").where("p <> project_id and s <= end and e >= start").groupBy("author_id", "project_id").agg(F.count("*").cast("int").alias("clashes"))
+    return placed.join(met, ["author_id", "project_id"], "left").select("author_id", "project_id", "start", "end", F.coalesce("clashes", F.lit(0)).alias("clashes"))
+
+
+def ring(w: Warehouse) -> DataFrame:
+    return G.ring_layout(current_projects(w), "project_id")
+
+
 def gantt_blocks(w: Warehouse) -> DataFrame:
     return intervals.row_blocks(gantt(w), "author_id")
 
@@ -400,19 +412,20 @@ def entity_details(w: Warehouse, k: int = 20) -> DataFrame:
     named = w.table("entity_mentions").where(matched(F.col("canonical_id")) & F.col("entity_kind").isin("organism", "method", "database", "journal", "function"))
     base = named.groupBy("canonical_id").agg(F.min("entity_kind").alias("entity_kind"), F.count("*").alias("mentions"), F.count_distinct("project_id").alias("projects"))
     where = first_k(named.select("canonical_id", "project_id", "source_doc", "source_section").distinct(), ["canonical_id"], [F.asc_nulls_last("project_id"), F.asc_nulls_last("source_doc"), F.asc_nulls_last("source_section")], k)
-    listed = where.groupBy("canonical_id").agg(F.count("*").alias("sections_shown"))
+    place = F.struct(F.col("project_id").isNull().alias("a"), "project_id", F.col("source_doc").isNull().alias("b"), "source_doc", F.col("source_section").isNull().alias("c"), "source_section")
+    listed = where.groupBy("canonical_id").agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: F.concat_ws(" / ", x["project_id"], x["source_doc"], x["source_section"])).alias("sections"))
     who = named.select("canonical_id", F.col("project_id").alias("pid")).distinct().join(_authors(w), "pid").groupBy("canonical_id").agg(F.count_distinct("aid").alias("authors"))
     return base.join(listed, "canonical_id", "left").join(who, "canonical_id", "left").withColumn("authors", F.coalesce("authors", F.lit(0)))
 
 
 def author_details(w: Warehouse) -> DataFrame:
-    """For each author: projects, kinds of entity mentioned in them, lines they are in."""
+    """For each author: projects, kinds of entity mentioned in them with their number, lines they are in."""
     authors = _authors(w)
     n = authors.groupBy("aid").agg(F.count("*").alias("projects"))
-    kinds = authors.join(w.table("entity_mentions").groupBy(F.col("project_id").alias("pid"), "entity_kind").agg(F.count("*").alias("n")), "pid").groupBy("aid").agg(F.sum("n").alias("mentions"), F.count_distinct("entity_kind").alias("kinds"))
+    kinds = authors.join(w.table("entity_mentions").groupBy(F.col("project_id").alias("pid"), "entity_kind").agg(F.count("*").alias("n")), "pid").groupBy("aid", "entity_kind").agg(F.sum("n").alias("n")).groupBy("aid").agg(F.sum("n").alias("mentions"), F.transform(F.sort_array(F.collect_list(F.struct("entity_kind", "n"))), lambda x: F.concat(x["entity_kind"], F.lit(": "), x["n"].cast("string"))).alias("kinds"))
     inside = authors.join(_line_members(w).select(F.col("project_id").alias("pid"), "line_id"), "pid").groupBy("aid").agg(distinct_ids("line_id").alias("lines"), F.count_distinct("pid").alias("projects_in_lines"))
     out = n.join(_people(w), "aid", "left").join(kinds, "aid", "left").join(inside, "aid", "left")
     return out.select(
-        F.col("aid").alias("author_id"), display_name(F.col("canonical_name")).alias("display_name"), "projects", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("mentions", "kinds")), F.coalesce("lines", F.expr("cast(array() as array<string>)")).alias("lines"),
+        F.col("aid").alias("author_id"), display_name(F.col("canonical_name")).alias("display_name"), "projects", F.coalesce("mentions", F.lit(0)).alias("mentions"), F.coalesce("kinds", F.expr("cast(array() as array<string>)")).alias("kinds"), F.coalesce("lines", F.expr("cast(array() as array<string>)")).alias("lines"),
         (F.col("projects") - F.coalesce("projects_in_lines", F.lit(0))).alias("projects_outside_lines"),
     )

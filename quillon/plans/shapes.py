@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillon.functions import parsing as P
 from quillon.functions import text as X
 from quillon.operators import edges as E
 from quillon.operators import extraction as ex
 from quillon.operators.scores import standardised
 from quillon.plans.derived import delivered
 from quillon.plans.oracles import _sql
-from quillon.schemas import KEYS, key_violations, latest_rows
+from quillon.schemas import KEYS, SCHEMAS, key_violations, latest_rows
+from quillon.sources import corpus
 from quillon.sources.vocab import canonicalise, lookup
 from quillon.sources.warehouse import enrich_projects, merge_name_only_authors, missing, upserted
 
@@ -71,8 +74,8 @@ def chunk_counts(s, sf) -> DataFrame:
     c = delivered(s, sf).table("sections").select("section_id", "content").where("content is not null").distinct()
     keyed = c.select(F.sha2("content", 256).alias("digest"), "content").distinct()
     cut = ex.chunked(keyed, "content", ["digest"])
-    back = cut.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.char_length("chunk")).alias("longest"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "chunk"))), lambda x: x["chunk"]), "").alias("joined"))
-    return back.select("digest", (F.sha2("joined", 256) == F.col("digest")).alias("whole"), (F.col("longest") <= 12_000).alias("within_limit"))
+    back = cut.groupBy("digest").agg(F.count("*").alias("n"), F.sum(F.char_length("chunk")).alias("characters"), F.max(F.char_length("chunk")).alias("longest"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "chunk"))), lambda x: x["chunk"]), "").alias("joined"))
+    return back.select("digest", F.sha2("joined", 256).alias("joined_digest"), "characters", (F.col("n") == 1).alias("one_piece"), (F.col("longest") <= 12_000).alias("within_limit"))
 
 
 def cache_split(s, sf) -> DataFrame:
@@ -87,7 +90,60 @@ def cache_split(s, sf) -> DataFrame:
 def drift_rolled(s, sf) -> DataFrame:
     w = delivered(s, sf)
     rolled = ex.drift_rollup(w.table("drift_candidates").where("entity_kind not in ('extraction_error', 'parse_error')"), 900, 3, 5.0)
-    return rolled.select("entity_kind", "norm", "surface_form", "occurrence_count", "project_count", "file_count", "llm_decision", "sample_projects")
+    return rolled.select("entity_kind", "norm", "surface_form", "occurrence_count", "project_count", "file_count", "llm_decision", "llm_proposed_canonical", "llm_notes", "sample_projects")
+
+
+def drift_quoted(s, sf) -> DataFrame:
+    return ex.drift_quotes(delivered(s, sf).table("drift_candidates"))
+
+
+def cache_figures(s, sf) -> DataFrame:
+    keyed = content_hashes(s, sf)
+    return ex.cache_stats(keyed.select("cache_key", "content_hash", F.lit("m1").alias("model_id"), F.lit("p1").alias("prompt_version"), F.lit(None).cast("timestamp_ntz").alias("cached_at"))).drop("first_cached", "last_cached")
+
+
+def _sections(s, sf) -> DataFrame:
+    return delivered(s, sf).table("sections").select("section_id", "project_id", F.regexp_replace("source_doc", r"\.md$", "").alias("source_doc"), "h2_text", "content").where("content is not null").distinct()
+
+
+def parsed_references(s, sf) -> DataFrame:
+    """The citations that the stored sections make."""
+    found = corpus.references(_sections(s, sf), delivered(s, sf).table("projects"))
+    return found.select("edge_id", "src_project_id", "dst_project_id", "source_doc", "source_section", "occurrence_count")
+
+
+def parsed_documents(s, sf) -> DataFrame:
+    """(doc_id, title, headings): the first-level title and the second-level headings of each document, in order."""
+    docs = delivered(s, sf).table("documents").select(F.col("doc_id").cast("string").alias("project_id"), F.lit("README").alias("source_doc"), "text").where("text is not null")
+    secs = corpus.sections(docs)
+    head = F.when(~F.col("h2_text").isin(P.PREAMBLE, P.FRONT_MATTER), F.struct("start_offset", "h2_text"))
+    return secs.groupBy(F.col("project_id").cast("long").alias("doc_id")).agg(F.max("h1_text").alias("title"), F.transform(F.sort_array(F.collect_list(head)), lambda x: x["h2_text"]).alias("headings"))
+
+
+def parsed_bullets(s, sf) -> DataFrame:
+    """Name, iD and affiliation of each author bullet that was quoted."""
+    quoted = delivered(s, sf).table("project_authors").where("source_quote is not null").select("source_quote").distinct()
+    fields = [T.StructField(n, T.StringType()) for n in ("name", "orcid_id", "affiliation")]
+    return corpus.expand(quoted, ["source_quote"], fields, lambda r: P.authors(r["source_quote"]))
+
+
+def parsed_notebooks(s, sf) -> DataFrame:
+    """Title and cells of notebooks of one Markdown cell and one code cell."""
+    docs = delivered(s, sf).table("documents").where("source = 'notebook_cell' and text is not null")
+    cell = lambda kind, text: F.struct(F.lit(kind).alias("cell_type"), F.array(text).alias("source"))
+    books = docs.select("doc_id", F.to_json(F.struct(F.array(cell("code", F.lit("x = 1")), cell("markdown", F.col("text"))).alias("cells"))).alias("text"))
+    own = ("title_from_first_md_cell", "total_cells", "markdown_cells", "code_cells")
+    return corpus.expand(books, ["doc_id"], [SCHEMAS["notebooks"][n] for n in own], lambda r: [P.notebook("01_x.ipynb", r["text"])])
+
+
+def parsed_answers(s, sf) -> DataFrame:
+    """Model answers made of the candidates, in a fence, with a comma too many, or as they are, read back."""
+    d = delivered(s, sf).table("drift_candidates").where("entity_kind = 'organism' and surface_form is not null").select("drift_id", "surface_form", "llm_proposed_canonical").distinct()
+    said = F.to_json(F.struct(F.array(F.struct("surface_form", F.col("llm_proposed_canonical").alias("canonical_name"))).alias("organisms")))
+    way = F.length("drift_id") % 3
+    text = F.when(way == 0, F.concat(F.lit("Here it is:\n```json\n"), said, F.lit("\n```"))).when(way == 1, F.concat(F.substring(said, F.lit(1), F.length(said) - 2), F.lit(",]}"))).otherwise(said)
+    answers = d.select(F.col("drift_id").alias("section_id"), F.lit("p").alias("project_id"), F.lit("README").alias("source_doc"), F.lit("h").alias("h2_text"), F.lit(0).alias("chunk_idx"), text.alias("response_content"))
+    return ex.parse_answers(answers).select(F.col("section_id").alias("drift_id"), "entity_kind", "surface", "proposed").distinct()
 
 
 def drift_alias_lists(s, sf) -> DataFrame:
@@ -155,7 +211,7 @@ def standard_scores(s, sf) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    author_merge, edge_summary, edge_classes, degree_table, two_hop, normal_tokens, canonical_lookup, content_hashes, chunk_counts, cache_split, drift_rolled, drift_alias_lists, extractable_sections, display_names, identifiers, violations, current_rows, upsert, append_new, purge, enriched, standard_scores,
+    author_merge, edge_summary, edge_classes, degree_table, two_hop, normal_tokens, canonical_lookup, content_hashes, chunk_counts, cache_split, drift_rolled, drift_quoted, drift_alias_lists, cache_figures, parsed_references, parsed_documents, parsed_bullets, parsed_notebooks, parsed_answers, extractable_sections, display_names, identifiers, violations, current_rows, upsert, append_new, purge, enriched, standard_scores,
 )}
 
 _HASH = "sha256(CASE WHEN total_chunks > 1 THEN content || '|chunk=' || chunk_idx || '/' || total_chunks ELSE content END)"
@@ -171,9 +227,23 @@ SQL = {
     "canonical_lookup": f"""WITH f AS (SELECT entity_kind kind, {_FORM.format('form')} norm, first(canonical ORDER BY entry_id, canonical) c FROM (SELECT entity_kind, entry_id, canonical, unnest(list_prepend(canonical, coalesce(aliases, []))) form FROM vocab_entries) GROUP BY 1, 2)
         SELECT DISTINCT drift_id, entity_kind, coalesce(a.c, b.c) canonical_match FROM drift_candidates d LEFT JOIN f a ON a.kind = entity_kind AND a.norm = {_FORM.format('llm_proposed_canonical')} LEFT JOIN f b ON b.kind = entity_kind AND b.norm = {_FORM.format('surface_form')} WHERE coalesce(a.c, b.c) IS NOT NULL""",
     "content_hashes": _CACHE,
-    "chunk_counts": "SELECT DISTINCT sha256(content) digest, TRUE AS whole, TRUE AS within_limit FROM sections WHERE content IS NOT NULL",
+    "chunk_counts": "SELECT DISTINCT sha256(content) digest, sha256(content) joined_digest, length(content) AS characters, length(content) <= 12000 AS one_piece, TRUE AS within_limit FROM sections WHERE content IS NOT NULL",
     "cache_split": f"WITH k AS ({_CACHE}), c AS (SELECT DISTINCT cache_key FROM k WHERE length(section_id) % 2 = 0 AND length(section_id) % 5 <> 0) SELECT DISTINCT CASE WHEN cache_key IN (SELECT cache_key FROM c) THEN 'hit' ELSE 'miss' END part, section_id, chunk_idx FROM k",
-    "drift_rolled": f"SELECT entity_kind, {_NORM.format('surface_form')} norm, first(surface_form ORDER BY drift_id) surface_form, count(*) occurrence_count, count(DISTINCT project_id) project_count, count(DISTINCT project_id || '/' || source_doc) file_count, first(llm_decision ORDER BY drift_id) FILTER (WHERE llm_decision <> '') llm_decision, list(DISTINCT project_id ORDER BY project_id)[1:5] sample_projects FROM drift_candidates WHERE surface_form IS NOT NULL AND entity_kind NOT IN ('extraction_error', 'parse_error') GROUP BY 1, 2 HAVING count(DISTINCT project_id || '/' || source_doc) >= 3 OR count(DISTINCT project_id) >= 3",
+    "drift_rolled": f"SELECT entity_kind, {_NORM.format('surface_form')} norm, first(surface_form ORDER BY drift_id) surface_form, count(*) occurrence_count, count(DISTINCT project_id) project_count, count(DISTINCT project_id || '/' || source_doc) file_count, first(llm_decision ORDER BY drift_id) FILTER (WHERE llm_decision <> '') llm_decision, first(llm_proposed_canonical ORDER BY drift_id) FILTER (WHERE llm_proposed_canonical <> '') llm_proposed_canonical, first(llm_notes ORDER BY drift_id) FILTER (WHERE llm_notes <> '') llm_notes, list(DISTINCT project_id ORDER BY project_id)[1:5] sample_projects FROM drift_candidates WHERE surface_form IS NOT NULL AND entity_kind NOT IN ('extraction_error', 'parse_error') GROUP BY 1, 2 HAVING count(DISTINCT project_id || '/' || source_doc) >= 3 OR count(DISTINCT project_id) >= 3",
+    "drift_quoted": f"SELECT entity_kind, norm, drift_id, source_quote FROM (SELECT DISTINCT entity_kind, {_NORM.format('surface_form')} norm, drift_id, source_quote FROM drift_candidates WHERE surface_form IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY entity_kind, norm ORDER BY drift_id, source_quote NULLS LAST) <= 3",
+    "drift_alias_lists": f"""WITH r AS (SELECT DISTINCT drift_id, entity_kind, {_NORM.format('surface_form')} norm, CASE WHEN json_valid(llm_suggested_aliases) THEN json_extract_string(llm_suggested_aliases, '$[*]') END l FROM drift_candidates WHERE surface_form IS NOT NULL),
+        e AS (SELECT entity_kind, norm, drift_id, unnest(l) alias, generate_subscripts(l, 1) i FROM r)
+        SELECT entity_kind, norm, list(alias ORDER BY pos) aliases FROM (SELECT entity_kind, norm, alias, min((drift_id, i)) AS pos FROM e GROUP BY ALL) GROUP BY 1, 2""",
+    "extractable_sections": "SELECT DISTINCT section_id, regexp_replace(source_doc, '\\.md$', '') AS source_doc, h2_text FROM sections WHERE regexp_replace(source_doc, '\\.md$', '') IN ('README', 'RESEARCH_PLAN', 'REPORT', 'REVIEW', 'references_md') AND h2_text NOT IN ('__frontmatter__', '__preamble__', 'Reproduction', 'Quick Links', 'Code Quality', 'Review Metadata', 'Project Structure', 'Dependencies', 'Acknowledgments', 'Data Availability') AND length(trim(content)) >= 80",
+    "cache_figures": f"SELECT count(*) entries, count(DISTINCT content_hash) contents, count(DISTINCT 'm') models, count(DISTINCT 'p') prompts FROM ({_CACHE})",
+    "parsed_references": """WITH s AS (SELECT DISTINCT section_id, project_id, regexp_replace(source_doc, '\\.md$', '') doc, h2_text, content FROM sections WHERE content IS NOT NULL), p AS (SELECT DISTINCT project_id AS id FROM projects),
+        w AS (SELECT section_id, project_id, doc, h2_text, word, count(*) n FROM (SELECT section_id, project_id, doc, h2_text, unnest(string_split(content, '`')[2:-2]) word FROM s) GROUP BY ALL)
+        SELECT project_id || '->' || concat_ws(':', word, doc, h2_text) edge_id, project_id src_project_id, word dst_project_id, doc AS source_doc, h2_text source_section, sum(n)::INTEGER occurrence_count FROM w JOIN p ON id = word WHERE word <> project_id GROUP BY ALL""",
+    "parsed_documents": r"""SELECT doc_id, nullif(regexp_extract(text, '(?m)^#[\s\p{Z}]+(.+?)[\s\p{Z}]*$', 1), '') title, regexp_extract_all(text, '(?m)^##[\s\p{Z}]+(.+?)[\s\p{Z}]*$', 1) headings FROM documents WHERE trim(text, E' \n\r\t\f') <> ''""",
+    "parsed_bullets": r"""SELECT DISTINCT source_quote, trim(regexp_replace(split_part(body, ',', 1), '\*{1,2}([^*]+)\*{1,2}', '\1', 'g')) AS name, nullif(o, '') orcid_id, nullif(trim(substr(body, instr(body, ',') + 1)), '') affiliation
+        FROM (SELECT source_quote, regexp_extract(source_quote, '\d{4}-\d{4}-\d{4}-\d{3}[\dX]') o, trim(regexp_replace(regexp_replace(regexp_replace(source_quote, '^[-*]\s+', ''), '(https?://\S*?)?\d{4}-\d{4}-\d{4}-\d{3}[\dX]', ''), 'ORCID:\s*|\(\s*(ORCID:)?\s*\)', '', 'g')) || CASE WHEN contains(source_quote, ',') THEN '' ELSE ',' END body FROM project_authors WHERE source_quote IS NOT NULL)""",
+    "parsed_notebooks": r"SELECT doc_id, nullif(regexp_extract(text, '(?m)^#\s+(.+?)\s*$', 1), '') title_from_first_md_cell, 2 total_cells, 1 markdown_cells, 1 code_cells FROM documents WHERE source = 'notebook_cell' AND text IS NOT NULL",
+    "parsed_answers": "SELECT DISTINCT drift_id, 'organism' entity_kind, surface_form surface, coalesce(nullif(llm_proposed_canonical, ''), surface_form) proposed FROM drift_candidates WHERE entity_kind = 'organism' AND surface_form <> ''",
     "display_names": r"SELECT DISTINCT canonical_name, CASE WHEN coalesce(d, '') = '' THEN '(unknown)' ELSE d END display_name FROM (SELECT canonical_name, trim(regexp_replace(regexp_replace(regexp_replace(canonical_name, '\([^)]*\)', ' ', 'g'), '\s*(—|–|\s-\s|\|).*$', '', 'g'), '\s+', ' ', 'g')) d FROM authors)",
     "identifiers": _sql("rev", """SELECT DISTINCT kind, id FROM (SELECT 'edge' kind, src_project_id || '->' || concat_ws(':', dst_project_id, source_doc, source_section) id FROM reuse_edges WHERE src_project_id IS NOT NULL AND dst_project_id IS NOT NULL
         UNION ALL SELECT 'author', CASE WHEN orcid_id IS NULL THEN 'name:' || replace(lower(canonical_name), ' ', '_') ELSE 'orcid:' || orcid_id END FROM authors UNION ALL SELECT 'section', concat_ws(':', project_id, source_doc, h2_text, start_offset) FROM sections

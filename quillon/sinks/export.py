@@ -111,7 +111,8 @@ def page(bundle_path: Path, path: Path, title: str = "Corpus report") -> None:
     """A self-contained page: the bundle and a small script that shows each panel as a sortable, filterable table."""
     data = bundle_path.read_text(encoding="utf-8").replace("</", "<\\/")
     path.write_text(
-        f"""<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><!-- {MARKER} -->
+        f"""<!-- {MARKER} -->
+<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title>
 <style>body{{font:14px sans-serif;margin:2em}}table{{border-collapse:collapse;margin:.5em 0 2em}}td,th{{border:1px solid #ccc;padding:.2em .6em;text-align:left}}th{{cursor:pointer}}</style>
 <h1>{html.escape(title)}</h1><main></main><script>const D={data};
 for(const [name,rows] of Object.entries(D)){{const h=document.createElement('h2');h.textContent=name;const q=document.createElement('input');q.placeholder='filter';const t=document.createElement('table');

@@ -12,26 +12,32 @@ from pyspark.sql import types as T
 from quillon.functions import parsing as P
 from quillon.functions import text as X
 from quillon.schemas import SCHEMAS, conform
+from quillon.session import Workspace
 from quillon.sources.warehouse import enrich_projects, merge_name_only_authors
 
 # fixed value: folders and files that are never scanned
 IGNORED = [".git", ".ipynb_checkpoints", "__pycache__", ".DS_Store", ".pytest_cache", ".venv", "venv", "node_modules"]
 
 
-def files(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(project_id, rel, name, length, modified, content) of all files under the project folders.
+def files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), names: str | None = None) -> DataFrame:
+    """(project_id, rel, name, length, modified) of all files under the project folders, from the listing
+    alone; with a pattern of ``names`` of those that match, with their content.
 
-    Names of ``IGNORED`` anywhere in the path, dot folders at the top, excluded projects and files that
-    the engine wrote itself (first line) are left out.
+    Names of ``IGNORED`` anywhere in the path, dot folders at the top and excluded projects are left out.
     """
     base = root.rstrip("/").removeprefix("file:")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = (reader.option("pathGlobFilter", names) if names else reader).load(root)
     inner = F.substring_index(F.col("path"), base + "/", -1)
     parts = F.split(inner, "/")
-    out = raw.select(F.element_at(parts, 1).alias("project_id"), F.array_join(F.slice(parts, 2, F.size(parts)), "/").alias("rel"), F.element_at(parts, -1).alias("name"), parts.alias("parts"), "length", F.col("modificationTime").alias("modified"), "content").where(F.size("parts") > 1)
+    out = raw.select(F.element_at(parts, 1).alias("project_id"), F.array_join(F.slice(parts, 2, F.size(parts)), "/").alias("rel"), F.element_at(parts, -1).alias("name"), parts.alias("parts"), "length", F.col("modificationTime").alias("modified"), *(["content"] if names else [])).where(F.size("parts") > 1)
     out = out.where(~F.arrays_overlap("parts", F.array(*map(F.lit, IGNORED))) & ~F.col("project_id").startswith(".") & ~F.col("project_id").isin(list(exclude) or [""]))
-    head = F.decode(F.substring("content", 1, 200), "UTF-8")
-    return out.where(~head.rlike(P.MARKER.pattern)).drop("parts")
+    return out.drop("parts")
+
+
+def own_output(texts: DataFrame) -> DataFrame:
+    """(project_id, rel) of files that the engine wrote itself, known by their first line."""
+    return texts.where(F.decode(F.substring("content", 1, 200), "UTF-8").rlike(P.MARKER.pattern)).select("project_id", "rel")
 
 
 def inventory(found: DataFrame, observed_at=None) -> DataFrame:
@@ -64,16 +70,16 @@ def expand(df: DataFrame, keep: list[str], fields: list[T.StructField], parse: C
     return df.mapInPandas(work, schema)
 
 
-def documents(found: DataFrame) -> DataFrame:
+def documents(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(project_id, source_doc, text) of the canonical documents at a project's top. Of reviews the bare
-    file wins, else the one with the highest number."""
+    file wins, else the one with the highest number; which one is settled by name, before contents are moved."""
     names = F.create_map(*(F.lit(x) for pair in P.CANONICAL_DOCS.items() for x in pair))
     top = found.where(F.instr("rel", "/") == 0)
     number = F.regexp_extract("name", r"^REVIEW_(\d+)\.md$", 1)
     doc = F.coalesce(F.try_element_at(names, F.col("name")), F.when(number != "", "REVIEW"))
     rank = F.when(number == "", F.lit(1 << 31)).otherwise(F.try_to_number(number, F.lit("999999999")).cast("long"))
-    chosen = top.withColumn("source_doc", doc).where("source_doc is not null").groupBy("project_id", "source_doc").agg(F.max_by("content", F.struct(rank, "name")).alias("content"))
-    return chosen.select("project_id", "source_doc", F.decode("content", "UTF-8").alias("text"))
+    chosen = top.withColumn("source_doc", doc).where("source_doc is not null").groupBy("project_id", "source_doc").agg(F.max_by("rel", F.struct(rank, "name")).alias("rel"))
+    return texts.join(chosen, ["project_id", "rel"]).select("project_id", "source_doc", F.decode("content", "UTF-8").alias("text"))
 
 
 def sections(docs: DataFrame, observed_at=None) -> DataFrame:
@@ -105,8 +111,8 @@ def authors(secs: DataFrame, observed_at=None) -> tuple[DataFrame, DataFrame]:
     return merge_name_only_authors(people, conform(links, "project_authors"))
 
 
-def notebooks(found: DataFrame, observed_at=None) -> DataFrame:
-    books = found.where(F.col("rel").rlike(r"^notebooks/[^/]+\.ipynb$")).select("project_id", "rel", "name", "length", "modified", F.decode("content", "UTF-8").alias("text"))
+def notebooks(texts: DataFrame, observed_at=None) -> DataFrame:
+    books = texts.where(F.col("rel").rlike(r"^notebooks/[^/]+\.ipynb$")).select("project_id", "rel", "name", "length", "modified", F.decode("content", "UTF-8").alias("text"))
     own = ("notebook_number", "notebook_suffix", "title_from_first_md_cell", "goal_phrase", "total_cells", "markdown_cells", "code_cells", "raw_cells", "has_outputs")
     out = expand(books, ["project_id", "rel", "name", "length", "modified"], [SCHEMAS["notebooks"][n] for n in own], lambda r: [b for b in (P.notebook(r["name"], r["text"]),) if b])
     return conform(out.withColumns({"notebook_id": F.concat_ws(":", "project_id", "name"), "filename": F.col("name"), "relative_path": F.col("rel"), "byte_size": F.col("length"), "first_mtime": F.col("modified").cast("timestamp_ntz"), "observed_at": F.lit(observed_at)}), "notebooks")
@@ -139,9 +145,13 @@ def reviews(secs: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), observed_at=None) -> dict[str, DataFrame]:
     """All tables that need no model, and ``rejects``."""
-    found = files(spark, root, exclude)
-    secs = sections(documents(found), observed_at)
+    work = Workspace(spark)
+    texts = files(spark, root, exclude, "*.{md,html,ipynb}")
+    listed = files(spark, root, exclude)
+    found = work.keep(listed.join(own_output(texts), ["project_id", "rel"], "left_anti"))
+    # six tables are made of the sections, so they are parsed once
+    secs = work.keep(sections(documents(found, files(spark, root, exclude, "*.md")), observed_at))
     revs, rejects = revisions(secs, observed_at)
     people, links = authors(secs, observed_at)
     projects = enrich_projects(inventory(found, observed_at), revs, reviews(secs))
-    return {"projects": projects, "sections": secs, "project_revisions": revs, "authors": people, "project_authors": links, "notebooks": notebooks(found, observed_at), "reuse_edges": references(secs, projects, observed_at), "rejects": rejects}
+    return {"projects": projects, "sections": secs, "project_revisions": revs, "authors": people, "project_authors": links, "notebooks": notebooks(files(spark, root, exclude, "*.ipynb"), observed_at), "reuse_edges": references(secs, projects, observed_at), "rejects": rejects}

@@ -11,18 +11,27 @@ from quillon.schemas import KEYS, SCHEMAS, conform, key_violations
 from quillon.session import Workspace
 
 
+#: computed tables by application, folder, state of the folder, name and builder
+_SHARED: dict[tuple, DataFrame] = {}
+
+
 class Warehouse:
     """Tables under one folder, as <name>.parquet; a table that isn't there is empty.
 
     ``derived`` gives tables that are computed rather than stored, by name. Those in ``made_once`` are
-    written to the shared folder when they are first asked for, because several readers follow.
+    written to the shared folder when they are first asked for, because several readers follow; later warehouses over
+    the same folder read them too, as long as no table of the folder has changed.
     """
 
     made_once = ("line_members", "sophistication_composite", "research_lines", "research_line_subclusters")
 
     def __init__(self, spark: SparkSession, folder: str, derived: dict[str, Callable[[Warehouse], DataFrame]] | None = None):
         self.spark, self.folder, self.derived = spark, folder.rstrip("/"), derived or {}
-        self._made: dict[str, DataFrame] = {}
+
+    def _state(self) -> tuple:
+        """Name, time and size of what lies in the folder."""
+        fs, at = self._fs(self.folder)
+        return tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in fs.listStatus(at))) if fs.exists(at) else ()
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -42,9 +51,10 @@ class Warehouse:
         if name in self.derived:
             if name not in self.made_once:
                 return self.derived[name](self)
-            if name not in self._made:
-                self._made[name] = Workspace(self.spark).keep(self.derived[name](self))
-            return self._made[name]
+            key = (self.spark.sparkContext.applicationId, self.folder, self._state(), name, self.derived[name])
+            if key not in _SHARED:
+                _SHARED[key] = Workspace(self.spark).keep(self.derived[name](self))
+            return _SHARED[key]
         return self.spark.createDataFrame([], SCHEMAS[name])
 
     def register(self, prefix: str = "") -> None:

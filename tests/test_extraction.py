@@ -73,9 +73,11 @@ def test_a_failure_stays_with_its_row(spark):
                 raise RuntimeError("gone")
             return [("yes", 1.0, None)] * len(texts)
 
-    from quillon.operators.classify import label_rows
+    from quillon.operators.classify import label_rows, unlabelled
 
-    assert {r.section_id: r.label for r in label_rows(df, "chunk", ["section_id"], ["yes"], Label, "v1").collect()} == {"s1": "yes", "s2": "other", "s3": "yes"}
+    labelled = label_rows(df, "chunk", ["section_id"], ["yes"], Label, "v1")
+    assert {r.section_id: r.label for r in labelled.collect()} == {"s1": "yes", "s2": "other", "s3": "yes"}
+    assert [r.section_id for r in unlabelled(df, labelled, ["section_id"], "v1").collect()] == ["s2"]
 
 
 DRIFT = "drift_id string, project_id string, source_doc string, entity_kind string, surface_form string, llm_decision string, llm_proposed_canonical string, llm_notes string, llm_suggested_aliases string, source_quote string"

@@ -82,3 +82,18 @@ def test_salvage_fails():
 
 def test_extractable():
     assert P.extractable("README", "Findings", "x" * 80) and not P.extractable("README", "Reproduction", "x" * 80) and not P.extractable("README", "Findings", "x" * 79) and not P.extractable("OTHER", "F", "x" * 99) and not P.extractable("README", P.PREAMBLE, "x" * 99)
+
+
+def test_loose_json_leaves_strings_alone():
+    from quillon.functions.parsing import salvage_json
+
+    assert salvage_json('{"a": "x, ]", b: [1, 2,], /* c */ "d": \'it\\\'s "so"\',} // end') == {"a": "x, ]", "b": [1, 2], "d": 'it\'s "so"'}
+    assert salvage_json('{"u": "http://x, }"}') == {"u": "http://x, }"}
+
+
+def test_front_matter_with_blanks_and_other_line_ends():
+    from quillon.functions.parsing import MARKER, front_matter
+
+    for text in ("---\nreviewer: A\n---\nx", "--- \r\nreviewer: A\r\n---\r\nx", "---\nreviewer: A\n---"):
+        assert front_matter(text)[0] == {"reviewer": "A"}
+    assert MARKER.match("# quillon-generated v=0.1") and MARKER.match("<!-- # quillon-generated v=0.1 -->") and not MARKER.match("# auto-generated v=2")

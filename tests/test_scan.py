@@ -128,3 +128,29 @@ def test_extraction(spark, found):
     done = asked.select("cache_key", "response_content", F.lit('{"finish_reason": "stop"}').alias("response_metadata"))
     assert ex.cache_split(keyed, done)[0].count() == 1
     assert ex.cache_split(keyed, done.withColumn("response_metadata", F.lit('{"finish_reason": "length"}')))[0].count() == 0
+
+
+def test_extract_command(spark, root, tmp_path, capsys):
+    wh = tmp_path / "wh"
+    wh.mkdir()
+    (tmp_path / "organism.yaml").write_text("entries:\n- canonical: SOME thing\n  aliases: [some]\n")
+    assert cli.main(["scan", str(root), "--warehouse", str(wh)]) == 0
+    counts = []
+    for prompt in ("v1", "v1", "v2"):
+        assert cli.main(["extract", "--warehouse", str(wh), "--prompt-version", prompt, "--vocab", f"organism={tmp_path / 'organism.yaml'}"]) == 0
+        counts.append(json.loads(capsys.readouterr().out.splitlines()[-1]))
+    # everything is asked for once for each version of the prompt
+    assert [c["asked"] for c in counts] == [1, 0, 1] and len({(c["mentions"], c["drift"], c["failed"]) for c in counts}) == 1 and counts[0]["mentions"] == 3
+    w = Warehouse(spark, str(wh))
+    assert {r.canonical_id for r in w.table("entity_mentions").collect()} == {"SOME thing"} and w.table("extraction_cache").count() == 2
+    # a model that fails leaves its error and wipes no mentions
+    assert cli.main(["extract", "--warehouse", str(wh), "--prompt-version", "v3", "--scorer", "tests.test_scan:Broken"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["failed"] == 1
+    assert w.table("entity_mentions").count() == 3 and [(r.entity_kind, r.llm_notes) for r in w.table("drift_candidates").collect()] == [("extraction_error", "gone")] and w.table("extraction_cache").count() == 2
+
+
+class Broken:
+    model_id = "broken"
+
+    def answer(self, prompts):
+        raise RuntimeError("gone")
