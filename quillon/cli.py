@@ -1,4 +1,4 @@
-"""Commands: scan | extract | metrics | report."""
+"""Commands: scan | extract | classify | metrics | report."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from quillon.operators import checks, extraction
+from quillon.operators import classify as labelling
 from quillon.plans import bundles, panels
 from quillon.plans.derived import DERIVED
 from quillon.plans.views import VIEWS, run_all
@@ -34,10 +35,13 @@ def _parser() -> argparse.ArgumentParser:
     extract.add_argument("--prompt-version", default="v1")
     extract.add_argument("--vocab-version", default="v1")
     extract.add_argument("--vocab", action="append", default=[], help="kind=file, may be repeated")
+    classify = sub.add_parser("classify", help="label citations, revisions and combinations with a model")
+    classify.add_argument("--labeller", required=True, help="module:name of the labeller")
+    classify.add_argument("--prompt-version", default="v1")
     metrics = sub.add_parser("metrics", help="run every view and export it")
     report = sub.add_parser("report", help="write the panels as JSON and a page")
     report.add_argument("--sampled", action="store_true", help="the extraction is known to be a sample")
-    for x in (scan, extract, metrics, report):
+    for x in (scan, extract, classify, metrics, report):
         x.add_argument("--warehouse", required=True)
         x.add_argument("--master")
     for x in (metrics, report):
@@ -69,10 +73,14 @@ def scan(args) -> int:
     return 0 if all(result.values()) or args.allow_failed_checks else 1
 
 
+def _named(place: str):
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def extract(args) -> int:
     spark = get_session(master=args.master)
-    module, _, name = args.scorer.partition(":")
-    scorer = getattr(importlib.import_module(module), name)
+    scorer = _named(args.scorer)
     entries = spark.createDataFrame([], vocab.SCHEMA)
     for each in args.vocab:
         kind, _, path = each.partition("=")
@@ -81,6 +89,12 @@ def extract(args) -> int:
     return 0
 
 
+def classify(args) -> int:
+    w = Warehouse(get_session(master=args.master), args.warehouse)
+    print(json.dumps(labelling.classify(w, _named(args.labeller), args.prompt_version)))
+    return 0
+
+
 def metrics(args) -> int:
     w = Warehouse(get_session(master=args.master), args.warehouse, DERIVED)
     results = run_all(w)
@@ -107,7 +121,7 @@ def report(args) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
-    return {"scan": scan, "extract": extract, "metrics": metrics, "report": report}[args.command](args)
+    return {"scan": scan, "extract": extract, "classify": classify, "metrics": metrics, "report": report}[args.command](args)
 
 
 if __name__ == "__main__":

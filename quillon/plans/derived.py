@@ -10,13 +10,10 @@ from quillon.functions.text import matched
 from quillon.operators import edges as E
 from quillon.operators import lines as L
 from quillon.operators import scores as S
+from quillon.operators.classify import EDGE_TYPES, REVISION_KINDS
 from quillon.operators.pairs import underexplored_pairs
 from quillon.sources.warehouse import Warehouse
 
-# fixed values: the label sets of the classifiers
-EDGE_TYPES = ["deepening", "branching", "synthesis", "other"]
-REVISION_KINDS = ["scope_expansion", "bug_fix", "refactor", "new_result", "methodology_update", "clarification", "other"]
-
 
 def current_projects(w: Warehouse) -> DataFrame:
     """One row for each project: repeats differ in observed_at alone."""

@@ -204,3 +204,28 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     with pytest.raises(ValueError):
         shared_dir(fake("spark://host:7077"))
     assert shared_dir(fake("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+
+
+def test_threshold_scan_equals_all_pairs(spark):
+    import random
+    from itertools import product
+
+    from quillon.operators import pairs
+
+    rnd = random.Random(5)
+    names = [(k, f"{k[0]}{i}") for k in ("organism", "method", "database") for i in range(14)]
+    has = {p: {n for n in names if rnd.random() < 0.5 / (1 + int(n[1][1:]))} for p in (f"p{i}" for i in range(160))}
+    # a few that are frequent and never together, so the scan has to go on
+    has |= {f"q{i}": {("organism", "o0") if i % 2 else ("method", "m0")} for i in range(30)}
+    m = spark.createDataFrame([(p, k, n) for p, held in has.items() for k, n in held], "project_id string, entity_kind string, canonical_id string")
+    count = {n: sum(n in held for held in has.values()) for n in names}
+    total = sum(bool(held) for held in has.values())
+    every = [(a, b, sum(a in held and b in held for held in has.values())) for a, b in product(names, names) if a[0] < b[0] and min(count[a], count[b]) >= 5]
+    for most in (1, 0, 30):
+        few = [x for x in every if x[2] <= most]
+        got = [(r.a_canonical, r.b_canonical, r.actual) for r in pairs.underexplored_pairs(m, most_together=most, top=9).collect()]
+        assert got == [(a[1], b[1], k) for a, b, k in sorted(few, key=lambda x: (-count[x[0]] * count[x[1]], x[0], x[1]))[:9]]
+        gaps = sorted(((count[a] * count[b] / total - k, a, b) for a, b, k in few), key=lambda x: (-round(x[0], 9), x[1], x[2]))
+        found = pairs.underexplored_gaps(m, most_together=most, top=9).collect()
+        assert [round(r.gap, 6) for r in found] == [round(g, 6) for g, _, _ in gaps[:9] if g > 0]
+    assert pairs.underexplored_pairs(m.where("false")).count() == pairs.underexplored_gaps(m.where("false")).count() == 0

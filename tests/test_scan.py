@@ -154,3 +154,34 @@ class Broken:
 
     def answer(self, prompts):
         raise RuntimeError("gone")
+
+
+class Judge:
+    """Labels by the words of the text; fails at a text with boom."""
+
+    model_id = "judge"
+
+    def label(self, texts):
+        if any("start" in t for t in texts):
+            raise RuntimeError("gone")
+        return [("deepening" if "cited" in t else "no such label", 1.5, "why") for t in texts]
+
+
+def test_classify_command(spark, tmp_path, capsys):
+    wh = tmp_path / "wh"
+    w = Warehouse(spark, str(wh))
+    edge = "edge_id string, src_project_id string, dst_project_id string, confidence_tier string, source_quote string"
+    w.replace("reuse_edges", spark.createDataFrame([("e1", "a", "b", "declared", "as in b"), ("e2", "a", "c", "declared", None), ("e3", "a", "c", "inferred", None), ("e4", None, "c", "declared", None)], edge))
+    w.replace("project_revisions", spark.createDataFrame([("r1", "a", "start"), ("r2", "a", "more"), ("r3", "a", None)], "revision_id string, project_id string, change_description string"))
+    said = [(f"m{p}{k}", f"p{p}", k, f"{k}1") for p in range(6) for k in ("organism", "method")] + [(f"d{p}", f"q{p}", "database", "d1") for p in range(6)]
+    w.replace("entity_mentions", spark.createDataFrame(said, "mention_id string, project_id string, entity_kind string, canonical_id string"))
+    runs = []
+    for _ in range(2):
+        assert cli.main(["classify", "--warehouse", str(wh), "--labeller", "tests.test_scan:Judge"]) == 0
+        runs.append(json.loads(capsys.readouterr().out.splitlines()[-1]))
+    assert runs[0] == {"edge_classifications": {"attempted": 2, "written": 2, "errors": 0, "known": 0}, "revision_kinds": {"attempted": 2, "written": 1, "errors": 1, "known": 0}, "combination_plausibility": {"attempted": 2, "written": 2, "errors": 0, "known": 0}}
+    # only what failed is asked for again
+    assert [runs[1][t]["attempted"] for t in runs[1]] == [0, 1, 0]
+    assert {(r.edge_id, r.edge_type, r.confidence) for r in w.table("edge_classifications").collect()} == {("e1", "deepening", 1.0), ("e2", "deepening", 1.0)}
+    assert [(r.revision_id, r.kind, r.prompt_version) for r in w.table("revision_kinds").collect()] == [("r2", "other", "v1")]
+    assert {(r.a_kind, r.b_kind, r.plausibility) for r in w.table("combination_plausibility").collect()} == {("database", "method", 1.0), ("database", "organism", 1.0)}
