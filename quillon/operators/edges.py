@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import Workspace
+
+HEAVY = 100_000  # paths over one project from which its ends meet by classes; the result doesn't depend on it
+
 
 def declared(reuse: DataFrame, tier: str = "declared") -> DataFrame:
     """The distinct (src, dst) of one confidence tier."""
@@ -50,13 +54,41 @@ def degrees(classified: DataFrame) -> DataFrame:
     return ends.groupBy("pid").agg(count(1, False).alias("in_degree"), count(0, False).alias("out_degree"), count(1, True).alias("self_in_degree"), count(0, True).alias("self_out_degree"))
 
 
-def two_hop(classified: DataFrame) -> DataFrame:
-    """(pid, two_hop_in_degree): distinct projects two loose edges away, not the project itself."""
-    loose = classified.where("loose")
-    first = loose.select(F.col("src").alias("far"), F.col("dst").alias("mid"))
-    second = loose.select(F.col("src").alias("mid"), F.col("dst").alias("pid"))
-    paths = first.join(second, "mid").where("far <> pid").select("pid", "far").distinct()
-    return paths.groupBy("pid").agg(F.count("*").alias("two_hop_in_degree"))
+def two_hop(classified: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(pid, two_hop_in_degree): distinct projects two loose edges away, not the project itself.
+
+    A project that many cite and that cites many, with ``heavy`` paths or more over it, would pair all with
+    all. The projects that cite the same heavy ones are one class, and so are those that are cited by the
+    same: a class of these is reached by whole classes of those, of which the sizes are added. Paths over the
+    other projects are listed, and those whose ends meet over a heavy one as well are left out.
+    """
+    work = Workspace(classified.sparkSession)
+    loose = work.keep(classified.where("loose and src is not null and dst is not null").select("src", "dst"))
+    known = work.keep(loose.select(F.col("src").alias("name")).union(loose.select("dst")).distinct().select("name", F.monotonically_increasing_id().alias("id")))
+    edges = work.keep(loose.join(known.select(F.col("name").alias("src"), F.col("id").alias("s")), "src").join(known.select(F.col("name").alias("dst"), F.col("id").alias("d")), "dst").select("s", "d"))
+    sizes = edges.groupBy(F.col("d").alias("mid")).agg(F.count("*").alias("i")).join(edges.groupBy(F.col("s").alias("mid")).agg(F.count("*").alias("o")), "mid")
+    over = work.keep(sizes.where(F.col("i") * F.col("o") >= heavy).select("mid"))
+
+    def classes(end: str, mid: str, name: str) -> tuple[DataFrame, DataFrame]:
+        """(node, class) and (class, mids, n) of the projects at one end of the heavy ones' edges."""
+        sets = work.keep(edges.join(over, F.col(mid) == F.col("mid"), "left_semi").groupBy(F.col(end).alias("node")).agg(F.sort_array(F.collect_set(mid)).alias("mids")))
+        each = sets.groupBy("mids").agg(F.min("node").alias(name), F.count("*").alias("n"))
+        return sets.join(each, "mids").select("node", name), each
+
+    fars, far_classes = classes("s", "d", "fc")
+    pids, pid_classes = classes("d", "s", "pc")
+    meet = pid_classes.select("pc", F.explode("mids").alias("mid")).join(far_classes.select("fc", F.explode("mids").alias("mid")), "mid").select("pc", "fc").distinct()
+    meet = work.keep(meet)
+    reached = meet.join(far_classes.select("fc", "n"), "fc").groupBy("pc").agg(F.sum("n").alias("n"))
+    whole = pids.join(reached, "pc").select(F.col("node").alias("pid"), "n")
+    itself = pids.join(fars, "node").join(meet, ["pc", "fc"], "left_semi").select(F.col("node").alias("pid"), F.lit(-1).cast("long").alias("n"))
+    # the paths over the others
+    first = edges.select(F.col("s").alias("far"), F.col("d").alias("mid")).join(over, "mid", "left_anti")
+    paths = first.join(edges.select(F.col("s").alias("mid"), F.col("d").alias("pid")), "mid").where("far <> pid").select("pid", "far").distinct()
+    ends = paths.join(pids.select(F.col("node").alias("pid"), "pc"), "pid", "left").join(fars.select(F.col("node").alias("far"), "fc"), "far", "left")
+    listed = ends.join(meet, ["pc", "fc"], "left_anti").groupBy("pid").agg(F.count("*").alias("n"))
+    total = whole.unionAll(itself).unionAll(listed).groupBy("pid").agg(F.sum("n").alias("n")).where("n > 0")
+    return total.join(known.withColumnRenamed("id", "pid"), "pid").select(F.col("name").alias("pid"), F.col("n").alias("two_hop_in_degree"))
 
 
 def authors_across(classified: DataFrame, authors: DataFrame, inward: bool, need_own: bool) -> DataFrame:

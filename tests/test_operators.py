@@ -229,3 +229,20 @@ def test_threshold_scan_equals_all_pairs(spark):
         found = pairs.underexplored_gaps(m, most_together=most, top=9).collect()
         assert [round(r.gap, 6) for r in found] == [round(g, 6) for g, _, _ in gaps[:9] if g > 0]
     assert pairs.underexplored_pairs(m.where("false")).count() == pairs.underexplored_gaps(m.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [1, 6, 40, 10**9])
+def test_two_hop_by_classes_and_by_paths(spark, heavy):
+    import random
+
+    rnd = random.Random(heavy)
+    edges = {(f"p{rnd.randrange(60)}", f"p{rnd.choice((0, 1, 2, rnd.randrange(60)))}") for _ in range(160)} | {(f"p{rnd.randrange(3)}", f"p{rnd.randrange(60)}") for _ in range(60)}
+    none = authors(spark)
+    c = E.classify_edges(spark.createDataFrame([*edges, ("p1", None), (None, "p1")], "src string, dst string"), none)
+    want = {}
+    for far, mid in edges:
+        for at, pid in edges:
+            if at == mid and far != pid:
+                want.setdefault(pid, set()).add(far)
+    got = [tuple(r) for r in E.two_hop(c, heavy).collect()]
+    assert sorted(got) == sorted((p, len(f)) for p, f in want.items())
