@@ -58,24 +58,40 @@ def signatures(mentions: DataFrame, kinds: tuple[str, ...] = ("organism", "metho
     return named.select(F.col("project_id").alias("pid"), F.concat_ws(":", F.substring("entity_kind", 1, 1), "canonical_id").alias("token")).distinct()
 
 
-def cosine_pairs(held: DataFrame, min_cosine: float = 0.5) -> DataFrame:
-    """(a, b, cosine), a < b, of projects whose token sets reach the cosine.
+def alike_sets(held: DataFrame, min_cosine: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(pid, cls) and (x, y, cosine), x < y: projects of the same token set are one class, and the pairs of
+    different classes whose sets reach the cosine. Within a class it is 1. Both are written.
 
     Only sets that share one of their rarer tokens can reach it: with the tokens in the order of their
-    frequency, rarest first, a set of n must share one of its first n - ceil(c² n) + 1. So the frequent
-    tokens, which would pair everything with everything, join hardly ever.
+    frequency, rarest first, two sets that must share k have their first shared token before the last k - 1
+    of either. So the frequent tokens, which would pair everything with everything, join hardly ever.
     """
-    df = held.groupBy("token").agg(F.count("*").alias("df"))
-    n = held.groupBy("pid").agg(F.count("*").alias("n"))
-    sets = held.join(df, "token").groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).join(n, "pid").select("pid", "n", F.col("t.token").alias("tokens"))
+    work = Workspace(held.sparkSession)
+    sets = work.keep(held.groupBy("pid").agg(F.array_sort(F.collect_set("token")).alias("tokens")))
+    classes = work.keep(sets.groupBy("tokens").agg(F.min("pid").alias("first")).orderBy("first").select("tokens", F.monotonically_increasing_id().alias("cls")))
+    member = work.keep(sets.join(classes, "tokens").select("pid", "cls"))
+    each = classes.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    df = each.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = work.keep(each.join(df, "token").groupBy("cls", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")))
     least = F.ceil(F.col("n") * F.lit(min_cosine * min_cosine) - F.lit(1e-9))
-    probe = sets.select("pid", "n", F.explode(F.slice("tokens", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("token"))
-    met = probe.select(F.col("pid").alias("a"), "token", F.col("n").alias("na")).join(probe.select(F.col("pid").alias("b"), "token", F.col("n").alias("nb")), "token")
-    near = met.where((F.col("a") < F.col("b")) & (F.col("na") * min_cosine**2 <= F.col("nb") + 1e-9) & (F.col("nb") * min_cosine**2 <= F.col("na") + 1e-9)).select("a", "b").distinct()
-    with_a = near.join(sets.select(F.col("pid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
-    with_b = with_a.join(sets.select(F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
-    cosine = F.size(F.array_intersect("ta", "tb")) / F.sqrt(F.col("na") * F.col("nb"))
-    return with_b.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= min_cosine)
+    probe = ordered.select("cls", "n", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("at", "token"))
+    met = probe.select(F.col("cls").alias("x"), "token", F.col("n").alias("nx"), F.col("at").alias("ax")).join(probe.select(F.col("cls").alias("y"), "token", F.col("n").alias("ny"), F.col("at").alias("ay")), "token")
+    shared = F.ceil(F.sqrt(F.col("nx") * F.col("ny")) * min_cosine - 1e-9)
+    near = met.where((F.col("x") < F.col("y")) & (shared <= F.col("nx") - F.col("ax")) & (shared <= F.col("ny") - F.col("ay"))).select("x", "y").distinct()
+    with_x = near.join(ordered.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx")), "x")
+    with_y = with_x.join(ordered.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty")), "y")
+    cosine = F.size(F.array_intersect("tx", "ty")) / F.sqrt(F.col("nx") * F.col("ny"))
+    return member, work.keep(with_y.select("x", "y", cosine.alias("cosine")).where(F.col("cosine") >= min_cosine))
+
+
+def cosine_pairs(held: DataFrame, min_cosine: float = 0.5) -> DataFrame:
+    """(a, b, cosine), a < b, of projects whose token sets reach the cosine: the pairs of classes (see
+    ``alike_sets``) with all their projects, and the projects of each class among themselves."""
+    member, pairs = alike_sets(held, min_cosine)
+    of = lambda name, cls: member.select(F.col("pid").alias(name), F.col("cls").alias(cls))
+    within = of("a", "x").join(of("b", "x"), "x").where("a < b").select("a", "b", F.lit(1.0).alias("cosine")).where(F.lit(min_cosine <= 1))
+    across = pairs.join(of("a", "x"), "x").join(of("b", "y"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
+    return within.unionAll(across)
 
 
 def louvain(weights: dict[tuple[str, str], float], resolution: float = 1.0, seed: int = 42) -> list[set[str]]:
