@@ -51,9 +51,13 @@ def research_lines(projects: DataFrame, scores: DataFrame, reuse: DataFrame, pro
     flows = inside.groupBy("line_id").agg(F.count_if("strict").alias("cross_author_handoffs"), F.count_if("shared").alias("self_iterations"), F.count("*").alias("citation_edge_count"))
     out = lines.join(people, "line_id", "left").join(flows, "line_id", "left")
     if topics:
-        near = G.cosine_pairs(G.signatures(mentions), min_cosine)
-        pairs = near.join(member.select("line_id", F.col("project_id").alias("a")), "a").join(member.select(F.col("line_id").alias("line_b"), F.col("project_id").alias("b")), "b").where("line_id = line_b")
-        out = out.join(pairs.groupBy("line_id").agg(F.count("*").alias("topic_edge_count")), "line_id", "left")
+        # counted by classes of projects with the same names, as the pairs may be far more than the projects
+        of, pairs = G.alike_sets(G.signatures(mentions), min_cosine)
+        held = member.join(of.withColumnRenamed("pid", "project_id"), "project_id").groupBy("line_id", "cls").agg(F.count("*").alias("m"))
+        side = lambda c: held.select("line_id", F.col("cls").alias(c), F.col("m").alias(f"m{c}"))
+        across = pairs.join(side("x"), "x").join(side("y"), ["line_id", "y"]).select("line_id", (F.col("mx") * F.col("my")).alias("m"))
+        within = held.select("line_id", F.expr("m * (m - 1) div 2").alias("m")).where(F.lit(min_cosine <= 1) & (F.col("m") > 0))
+        out = out.join(across.unionAll(within).groupBy("line_id").agg(F.sum("m").alias("topic_edge_count")), "line_id", "left")
     else:
         out = out.withColumn("topic_edge_count", F.lit(0))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

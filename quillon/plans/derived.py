@@ -33,10 +33,15 @@ def line_members(w: Warehouse) -> DataFrame:
     return L.memberships(E.declared(w.table("reuse_edges")), current_projects(w))
 
 
-def lines(w: Warehouse) -> DataFrame:
+def lines_alone(w: Warehouse) -> DataFrame:
+    """The lines without the number of their threads, which takes the communities."""
     built = L.research_lines(current_projects(w), w.table("sophistication_composite"), w.table("reuse_edges"), w.table("project_authors"), w.table("entity_mentions"), member=w.table("line_members"))
+    return built.select("*", F.to_json("members").alias("member_ids"), F.to_json("authors").alias("distinct_author_ids"))
+
+
+def lines(w: Warehouse) -> DataFrame:
     threads = w.table("research_line_subclusters").groupBy("line_id").agg(F.count("*").alias("sub_cluster_count"))
-    return built.join(threads, "line_id", "left").select("*", F.to_json("members").alias("member_ids"), F.to_json("authors").alias("distinct_author_ids")).withColumn("sub_cluster_count", F.coalesce("sub_cluster_count", F.lit(0)))
+    return w.table("lines_alone").join(threads, "line_id", "left").withColumn("sub_cluster_count", F.coalesce("sub_cluster_count", F.lit(0)))
 
 
 def threads(w: Warehouse) -> DataFrame:
@@ -108,7 +113,7 @@ def recommended(w: Warehouse) -> DataFrame:
 
 DERIVED = {
     "line_members": line_members,
-    "sophistication_composite": scores, "research_lines": lines, "research_line_subclusters": threads, "project_revisions": revisions, "notebooks": notebooks, "edge_classifications": classified_edges,
+    "sophistication_composite": scores, "lines_alone": lines_alone, "research_lines": lines, "research_line_subclusters": threads, "project_revisions": revisions, "notebooks": notebooks, "edge_classifications": classified_edges,
     "revision_kinds": classified_revisions, "combination_plausibility": plausibility, "findings": found, "recommendations": recommended,
 }
 

@@ -121,8 +121,21 @@ def line_handoffs(w: Warehouse) -> DataFrame:
     return inside.join(who.select(F.col("pid").alias("src"), F.col("people").alias("src_authors")), "src").join(who.select(F.col("pid").alias("dst"), F.col("people").alias("dst_authors")), "dst").select("line_id", "src", "dst", "src_authors", "dst_authors")
 
 
+def _lines_alone(w: Warehouse) -> DataFrame:
+    """The lines for readers that don't need the number of threads."""
+    return w.table("lines_alone" if "lines_alone" in w.derived and not w.has("research_lines") else "research_lines")
+
+
 def research_lines(w: Warehouse) -> DataFrame:
-    parsed = w.table("research_lines").withColumns({"members": F.from_json("member_ids", "array<string>"), "author_ids": F.from_json("distinct_author_ids", "array<string>")})
+    return _parsed_lines(w.table("research_lines"))
+
+
+def lines_alone(w: Warehouse) -> DataFrame:
+    return _parsed_lines(_lines_alone(w))
+
+
+def _parsed_lines(df: DataFrame) -> DataFrame:
+    parsed = df.withColumns({"members": F.from_json("member_ids", "array<string>"), "author_ids": F.from_json("distinct_author_ids", "array<string>")})
     return parsed.where("size(members) > 0").drop("member_ids", "distinct_author_ids")
 
 
@@ -319,7 +332,7 @@ def metrics_to_watch(w: Warehouse) -> DataFrame:
     drift = w.table("drift_candidates").where("llm_decision = 'proposed'").select("entity_kind", "surface_form").distinct()
     refs = w.table("sections").where("source_doc = 'references_md'").select("project_id").distinct()
     parts = [
-        row("01 research lines", w.table("research_lines"), F.count("*")),
+        row("01 research lines", _lines_alone(w), F.count("*")),
         row("01 projects in lines", _line_members(w).select("project_id").distinct(), F.count("*")),
         row("02 authors", w.table("authors").select("author_id").distinct(), F.count("*")),
         row("03 depth of 1 sigma, %", scored, share(F.col("depth_score") >= 1)),
