@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from math import pi
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -100,13 +101,16 @@ def louvain(weights: dict[tuple[str, str], float], resolution: float = 1.0, seed
     Deterministic for a seed: nodes are visited in a seeded order of their sorted names, and a node
     moves only for a strict gain, to the first best community.
     """
-    rnd = random.Random(seed)
     graph: dict = defaultdict(dict)
     for (a, b), w in sorted(weights.items()):
         graph[a][b] = graph[a].get(b, 0.0) + w
         if a != b:
             graph[b][a] = graph[b].get(a, 0.0) + w
-    parts = {n: {n} for n in graph}
+    return _levels(graph, {n: {n} for n in graph}, random.Random(seed), resolution)
+
+
+def _levels(graph: dict, parts: dict, rnd: random.Random, resolution: float) -> list[set]:
+    """Local moves and merging until nothing moves; ``parts`` are the members that each node stands for."""
     while True:
         degree = {n: sum(w for m, w in near.items()) + near.get(n, 0.0) for n, near in graph.items()}
         twice = sum(degree.values())
@@ -124,12 +128,17 @@ def louvain(weights: dict[tuple[str, str], float], resolution: float = 1.0, seed
                 for m, w in graph[n].items():
                     if m != n:
                         links[home[m]] += w
-                total[home[n]] -= degree[n]
-                gain = lambda c: links.get(c, 0.0) - resolution * total[c] * degree[n] / twice  # noqa: B023, E731
-                best = max(sorted(links), key=gain, default=home[n])
-                if gain(best) > gain(home[n]) + 1e-12:
+                own, mine = home[n], degree[n]
+                total[own] -= mine
+                most = stay = links.get(own, 0.0) - resolution * total[own] * mine / twice
+                best = own
+                for c, w in links.items():
+                    gain = w - resolution * total[c] * mine / twice
+                    if gain > most or gain == most and gain > stay and c < best:
+                        best, most = c, gain
+                if most > stay + 1e-12:
                     home[n], moved, moved_once = best, True, True
-                total[home[n]] += degree[n]
+                total[home[n]] += mine
         if not moved_once:
             return list(parts.values())
         merged: dict = defaultdict(set)
@@ -147,6 +156,138 @@ def louvain(weights: dict[tuple[str, str], float], resolution: float = 1.0, seed
         graph = {n: dict(coarse[n]) for n in parts}
 
 
+def louvain_classes(weights: dict[tuple[str, str], float], classes: dict[str, int], alike: dict[tuple[int, int], float], resolution: float = 1.0, seed: int = 42) -> list[set[str]]:
+    """The communities of ``louvain`` over ``weights`` (no loops) and the topic edges, without a list of these:
+    nodes of one class are joined by 1, nodes of two classes by what ``alike`` has for the pair.
+
+    Only the first round moves nodes; what a node is linked with is summed over the classes that its class is
+    alike. After it the communities are the nodes, and these are few.
+    """
+    size = Counter(classes.values())
+    met = {c for pair in alike for c in pair if pair[0] in size and pair[1] in size}
+    names = sorted({n for pair in weights for n in pair} | {n for n, c in classes.items() if size[c] > 1 or c in met})
+    number = {n: i for i, n in enumerate(names)}
+    near: list[dict[int, float]] = [{} for _ in names]
+    for (a, b), w in sorted(weights.items()):
+        a, b = number[a], number[b]
+        near[a][b] = near[a].get(b, 0.0) + w
+        near[b][a] = near[b].get(a, 0.0) + w
+    # nodes by class; ``others`` are the classes that a class is alike, itself first
+    held = sorted({c for n, c in classes.items() if n in number})
+    at = {c: k for k, c in enumerate(held)}
+    cls = np.array([at[classes[n]] if n in classes else -1 for n in names], dtype=np.int64)
+    member = np.argsort(cls, kind="stable")[int((cls < 0).sum()) :]
+    many = np.bincount(cls[cls >= 0], minlength=len(held))
+    begin = np.cumsum(many) - many
+    lists: list[list[tuple[int, float]]] = [[(k, 1.0)] for k in range(len(held))]
+    for (x, y), w in sorted(alike.items()):
+        if x in at and y in at:
+            lists[at[x]].append((at[y], w))
+            lists[at[y]].append((at[x], w))
+    others = [(np.array([k for k, _ in x], dtype=np.int64), np.array([w for _, w in x])) for x in lists]
+    del lists
+    n = len(names)
+    # as lists for one value at a time, and as arrays
+    home, homes = list(range(n)), np.arange(n)
+    kinds = cls.tolist()
+    seen: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    changed, moves = np.zeros(len(held), dtype=np.int64), 0
+
+    def linked(c: int) -> tuple[np.ndarray, np.ndarray]:
+        """The communities that the class is linked with and how much, each node of the class with itself too."""
+        if c in seen and seen[c][0] >= changed[c]:
+            return seen[c][1:]
+        ks, ws = others[c]
+        sizes = many[ks]
+        ends = np.cumsum(sizes)
+        places = np.repeat(begin[ks] - ends + sizes, sizes) + np.arange(ends[-1])
+        sums = np.bincount(homes[member[places]], weights=np.repeat(ws, sizes), minlength=n)
+        found = np.flatnonzero(sums)
+        sums = sums[found]
+        if len(found) <= 1000:  # the few are kept until a node of these classes moves
+            seen[c] = moves, found, sums
+        return found, sums
+
+    by_class = np.array([float((many[ks] * ws).sum()) - 1.0 for ks, ws in others])
+    degree = np.array([sum(x.values()) for x in near], dtype=float)
+    degree[cls >= 0] += by_class[cls[cls >= 0]]
+    twice = float(degree.sum())
+    if not twice:
+        return [{x} for x in names]
+    total, totals = degree.tolist(), degree.copy()
+    degree = total.copy()
+    rnd, order = random.Random(seed), list(range(n))
+    rnd.shuffle(order)
+    moved_once, moved = False, True
+    while moved:
+        moved = False
+        for i in order:
+            c, own, mine = kinds[i], home[i], degree[i]
+            part = resolution * mine / twice
+            links: dict[int, float] = {}
+            for j, w in near[i].items():
+                links[home[j]] = links.get(home[j], 0.0) + w
+            total[own] -= mine
+            best, most = own, None
+            if c >= 0:
+                totals[own] = total[own]
+                found, sums = linked(c)
+                gains = sums - part * totals[found]
+                links[own] = links.get(own, 0.0) - 1.0  # the node itself
+                for h in links:
+                    k = int(found.searchsorted(h))
+                    if k < len(found) and found[k] == h:
+                        links[h] += float(sums[k])
+                        gains[k] = -np.inf
+                k = int(gains.argmax())
+                best, most = int(found[k]), float(gains[k])
+            stay = links.get(own, 0.0) - part * total[own]
+            for h, w in links.items():
+                gain = w - part * total[h]
+                if most is None or gain > most or gain == most and h < best:
+                    best, most = h, gain
+            if most is not None and most > stay + 1e-12:
+                home[i] = homes[i] = best
+                moved = moved_once = True
+                if c >= 0:
+                    moves += 1
+                    changed[others[c][0]] = moves
+            else:
+                best = own
+            total[best] += mine
+            totals[own], totals[best] = total[own], total[best]
+    if not moved_once:
+        return [{x} for x in names]
+    parts: dict = defaultdict(set)
+    for i, h in enumerate(home):
+        parts[h].add(names[i])
+    upper: dict = defaultdict(float)
+    for a, x in enumerate(near):
+        for b, w in x.items():
+            if a < b:
+                upper[min(home[a], home[b]), max(home[a], home[b])] += w
+    for c in range(len(held)):
+        found, sums = linked(c)
+        inside = Counter(homes[member[begin[c] : begin[c] + many[c]]].tolist())
+        for h, k in sorted(inside.items()):
+            for other, w in zip(found.tolist(), sums.tolist()):
+                if h < other:
+                    upper[h, other] += k * w
+                elif h == other:
+                    upper[h, h] += k * (w - 1.0) / 2
+    graph: dict = {h: {} for h in parts}
+    for (a, b), w in sorted(upper.items()):
+        if w:
+            graph[a][b] = graph[b][a] = w
+    return _levels(graph, dict(parts), rnd, resolution)
+
+
+def _numbered(found: list[set], group, column: str) -> pd.DataFrame:
+    """Communities numbered from 0 by falling size and then by first member."""
+    found = sorted(found, key=lambda c: (-len(c), min(c)))
+    return pd.DataFrame([(group, m, i) for i, c in enumerate(found) for m in sorted(c)], columns=[column, "member", "community"])
+
+
 def communities(edges: DataFrame, group: str, resolution: float = 1.0, seed: int = 42) -> DataFrame:
     """(group, member, community): communities of each group's graph of (group, a, b, weight).
 
@@ -159,13 +300,36 @@ def communities(edges: DataFrame, group: str, resolution: float = 1.0, seed: int
         weights: dict = defaultdict(float)
         for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"]):
             weights[min(a, b), max(a, b)] += float(w)
-        found = sorted(louvain(weights, resolution, seed), key=lambda c: (-len(c), min(c)))
-        rows = [(key[0], m, i) for i, c in enumerate(found) for m in sorted(c)]
-        return pd.DataFrame(rows, columns=[group, "member", "community"])
+        return _numbered(louvain(weights, resolution, seed), key[0], group)
 
     return edges.select(group, "a", "b", "weight").groupBy(group).applyInPandas(work, f"{group} {kind}, member string, community int")
 
 
+def communities_by_class(edges: DataFrame, held: DataFrame, pairs: DataFrame, group: str, resolution: float = 1.0, seed: int = 42) -> DataFrame:
+    """``communities`` of the edges (group, a, b, weight), a <> b, and of the topic edges that the classes
+    (group, pid, cls) and the cosines of their pairs (group, x, y, cosine) stand for. A group's task gets
+    its edges, its classes and their pairs, never the pairs of its projects."""
+    kind = dict(edges.dtypes)[group]
+    name = lambda c: F.col(c).cast("string")
+    rows = edges.select(group, F.lit("edge").alias("what"), "a", "b", "weight")
+    rows = rows.unionAll(held.select(group, F.lit("class"), "pid", name("cls"), F.lit(None).cast("double"))).unionAll(pairs.select(group, F.lit("pair"), name("x"), name("y"), "cosine"))
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        weights: dict = defaultdict(float)
+        classes: dict = {}
+        alike: dict = {}
+        for what, a, b, w in zip(pdf["what"], pdf["a"], pdf["b"], pdf["weight"]):
+            if what == "edge":
+                weights[min(a, b), max(a, b)] += float(w)
+            elif what == "class":
+                classes[a] = int(b)
+            else:
+                alike[int(a), int(b)] = float(w)
+        return _numbered(louvain_classes(weights, classes, alike, resolution, seed), key[0], group)
+
+    return rows.groupBy(group).applyInPandas(work, f"{group} {kind}, member string, community int")
+
+
 def ring_layout(nodes: DataFrame, node_col: str, radius: float = 1.0, most: int = 500) -> DataFrame:
     """(node, x, y): the first ``most`` nodes by name evenly on a circle, for drawing."""
     few = nodes.select(F.col(node_col).alias("node")).where("node is not null").distinct().orderBy("node").limit(most)

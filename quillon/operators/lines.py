@@ -9,6 +9,7 @@ from quillon.functions.text import matched
 from quillon.operators import edges as E
 from quillon.operators import graph as G
 from quillon.operators.ranking import first_k
+from quillon.session import Workspace
 
 NO_DATE = "9999-99-99"  # fixed value: sorts undated projects last
 
@@ -67,24 +68,28 @@ def research_lines(projects: DataFrame, scores: DataFrame, reuse: DataFrame, pro
     )
 
 
-def thread_edges(citations: DataFrame, member: DataFrame, mentions: DataFrame, min_members: int = 5, min_cosine: float = 0.5) -> DataFrame:
-    """(line_id, a, b, weight) within lines of ``min_members`` or more: 1 for each citation, both
-    directions added, and the cosine of a topic edge."""
+def thread_graph(citations: DataFrame, member: DataFrame, mentions: DataFrame, min_members: int = 5, min_cosine: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph within lines of ``min_members`` or more: (line_id, a, b, weight), 1 for each citation, both
+    directions added; and the topic edges by classes of projects with the same names: (line_id, pid, cls)
+    and (line_id, x, y, cosine). Projects of one class have cosine 1, so ``min_cosine`` is at most that."""
     large = member.groupBy("line_id").agg(F.count("*").alias("k")).where(F.col("k") >= min_members).select("line_id")
-    held = member.join(large, "line_id").select("line_id", "project_id")
-    one = held.select("line_id", F.col("project_id").alias("a"))
-    two = held.select(F.col("line_id").alias("line_b"), F.col("project_id").alias("b"))
-    cited = citations.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(1.0).alias("weight"))
-    alike = G.cosine_pairs(G.signatures(mentions), min_cosine).select("a", "b", F.col("cosine").alias("weight"))
-    both = cited.unionAll(alike).join(one, "a").join(two, "b").where("line_id = line_b")
-    return both.groupBy("line_id", "a", "b").agg(F.sum("weight").alias("weight"))
+    inside = Workspace(member.sparkSession).keep(member.join(large, "line_id").select("line_id", "project_id"))
+    one = inside.select("line_id", F.col("project_id").alias("a"))
+    two = inside.select(F.col("line_id").alias("line_b"), F.col("project_id").alias("b"))
+    cited = citations.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    edges = cited.join(one, "a").join(two, "b").where("line_id = line_b").groupBy("line_id", "a", "b").agg(F.count("*").cast("double").alias("weight"))
+    of, pairs = G.alike_sets(G.signatures(mentions), min_cosine)
+    held = Workspace(member.sparkSession).keep(of.join(inside.withColumnRenamed("project_id", "pid"), "pid").select("line_id", "pid", "cls"))
+    there = held.select("line_id", "cls").distinct()
+    within = pairs.join(there.withColumnRenamed("cls", "x"), "x").join(there.withColumnRenamed("cls", "y"), ["line_id", "y"]).select("line_id", "x", "y", "cosine")
+    return edges, held, within
 
 
 def sub_clusters(citations: DataFrame, projects: DataFrame, mentions: DataFrame, min_members: int = 5, resolution: float = 1.5, seed: int = 42, top: int = 5, member: DataFrame | None = None) -> DataFrame:
     """(sub_id, line_id, sub_index, member_count, members, top_organisms, top_methods, top_databases):
     the communities of two or more projects in each large line, with their most mentioned entities."""
     member = memberships(citations, projects) if member is None else member
-    parts = G.communities(thread_edges(citations, member, mentions, min_members), "line_id", resolution, seed)
+    parts = Workspace(mentions.sparkSession).keep(G.communities_by_class(*thread_graph(citations, member, mentions, min_members), "line_id", resolution, seed))
     sized = parts.groupBy("line_id", "community").agg(F.count("*").alias("member_count"), F.sort_array(F.collect_list("member")).alias("members")).where("member_count >= 2")
     named = mentions.where(F.col("entity_kind").isin("organism", "method", "database") & matched(F.col("canonical_id"))).groupBy("project_id", "entity_kind", "canonical_id").agg(F.count("*").alias("n"))
     held = parts.join(named, F.col("member") == F.col("project_id")).groupBy("line_id", "community", "entity_kind", "canonical_id").agg(F.sum("n").alias("n"))

@@ -1,4 +1,6 @@
 import datetime as dt
+import itertools
+import random
 from math import sqrt
 
 import pytest
@@ -246,3 +248,22 @@ def test_two_hop_by_classes_and_by_paths(spark, heavy):
                 want.setdefault(pid, set()).add(far)
     got = [tuple(r) for r in E.two_hop(c, heavy).collect()]
     assert sorted(got) == sorted((p, len(f)) for p, f in want.items())
+
+
+def test_louvain_by_classes():
+    """The communities of the graph that the classes stand for, whatever the order of the pairs."""
+    rnd = random.Random(3)
+    names = [f"n{i:02d}" for i in range(30)]
+    for _ in range(40):
+        cls = {n: rnd.randrange(8) for n in names if rnd.random() < 0.7}
+        alike = {(x, y): rnd.choice([0.5, 0.625, 0.75]) for x, y in itertools.combinations(range(8), 2) if rnd.random() < 0.3}
+        cited = {tuple(sorted(rnd.sample(names, 2))): 1.0 for _ in range(25)}
+        listed = dict(cited)
+        for a, b in itertools.combinations(names, 2):
+            if a in cls and b in cls:
+                x, y = sorted((cls[a], cls[b]))
+                if x == y or (x, y) in alike:
+                    listed[a, b] = listed.get((a, b), 0.0) + alike.get((x, y), 1.0)
+        for resolution in (1.0, 1.5):
+            assert sorted(map(sorted, G.louvain_classes(cited, cls, alike, resolution))) == sorted(map(sorted, G.louvain(listed, resolution)))
+    assert G.louvain_classes({}, {}, {}) == [] and G.louvain_classes({}, {"a": 1}, {}) == []
