@@ -332,7 +332,8 @@ def metrics_to_watch(w: Warehouse) -> DataFrame:
     drift = w.table("drift_candidates").where("llm_decision = 'proposed'").select("entity_kind", "surface_form").distinct()
     refs = w.table("sections").where("source_doc = 'references_md'").select("project_id").distinct()
     parts = [
-        row("01 research lines", _lines_alone(w), F.count("*")),
+        # of computed lines the members tell the number
+        row("01 research lines", w.table("research_lines") if w.has("research_lines") else w.table("line_members").select("line_id").distinct(), F.count("*")),
         row("01 projects in lines", _line_members(w).select("project_id").distinct(), F.count("*")),
         row("02 authors", w.table("authors").select("author_id").distinct(), F.count("*")),
         row("03 depth of 1 sigma, %", scored, share(F.col("depth_score") >= 1)),
