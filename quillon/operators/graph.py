@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from math import pi
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,13 @@ from quillon.functions.text import matched
 from quillon.session import Workspace, observed
 
 MAX_ROUNDS = 200
+FEW = 4_000_000  # edges up to which one task finds the components; the result doesn't depend on it
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", few: int = FEW) -> DataFrame:
     """(node, component): weakly connected components, named by their least node.
 
-    Each round a node learns the least label among its neighbours and tells it to the node that its own
+    Up to ``few`` edges are settled in one task, as arrays of numbers. Of more, each round a node learns the least label among its neighbours and tells it to the node that its own
     label names as well (hooking), and then takes the label of its label (jumping). Trees of labels so
     join and flatten in about log n rounds, also along chains. Each round is written to the shared
     folder. Ends when no label changes; raises if that takes MAX_ROUNDS rounds. Edges with a null end
@@ -30,6 +33,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     named = work.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct())
     known = work.keep(named.select(F.col("s").alias("name")).union(named.select("d")).distinct().orderBy("name").select("name", F.monotonically_increasing_id().alias("id")))
     pairs = named.join(known.select(F.col("name").alias("s"), F.col("id").alias("a")), "s").join(known.select(F.col("name").alias("d"), F.col("id").alias("b")), "d").select("a", "b")
+    of = known.select(F.col("id").alias("label"), F.col("name").alias("component"))
+    if named.count() <= few:
+        labels = work.keep(pairs.coalesce(1).mapInArrow(_settled, "node long, label long"))
+        return labels.join(of, "label").join(known.select(F.col("id").alias("node"), "name"), "node").select(F.col("name").alias("node"), "component")
     both = work.keep(pairs.unionAll(pairs.select(F.col("b"), F.col("a"))).distinct())
     labels = work.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     for _ in range(MAX_ROUNDS):
@@ -48,11 +55,32 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         work.drop(hooked)
         labels = new
         if not moved:
-            of = known.select(F.col("id").alias("label"), F.col("name").alias("component"))
             return labels.join(of, "label").join(known.select(F.col("id").alias("node"), "name"), "node").select(F.col("name").alias("node"), "component")
     raise RuntimeError("the components did not settle")
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least node of the component of each node, of all edges (a, b) of the task: least labels are told
+    to the nodes that the labels at both ends name, and then the trees of labels are flattened."""
+    each = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    if not each:
+        return
+    nodes, at = np.unique(np.concatenate(each, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    for i in range(0, len(nodes), 100_000):
+        yield pa.record_batch([pa.array(nodes[i : i + 100_000]), pa.array(nodes[label[i : i + 100_000]])], names=["node", "label"])
+
+
 def signatures(mentions: DataFrame, kinds: tuple[str, ...] = ("organism", "method")) -> DataFrame:
     """Distinct (pid, token): the vocabulary names of some kinds, told apart by kind."""
     named = mentions.where(F.col("entity_kind").isin(*kinds) & matched(F.col("canonical_id")))
@@ -85,6 +113,19 @@ def alike_sets(held: DataFrame, min_cosine: float = 0.5) -> tuple[DataFrame, Dat
     return member, work.keep(with_y.select("x", "y", cosine.alias("cosine")).where(F.col("cosine") >= min_cosine))
 
 
+def pairs_in_groups(held: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
+    """(group, x, y, cosine, mx, my): the pairs of classes whose both ends a group has, of ``held`` (group, cls, m).
+
+    A class that many groups have would be written out for each of them with each of its pairs, so a pair
+    looks up the groups of the class that fewer have, and these the other one.
+    """
+    groups = held.groupBy("cls").agg(F.count("*").alias("g"))
+    spread = lambda c: groups.select(F.col("cls").alias(c), F.col("g").alias(f"g{c}"))
+    turned = pairs.join(spread("x"), "x").join(spread("y"), "y").select(*(F.when(F.col("gx") <= F.col("gy"), F.col(a)).otherwise(F.col(b)).alias(to) for to, a, b in (("p", "x", "y"), ("q", "y", "x"))), "cosine")
+    side = lambda c: held.select(group, F.col("cls").alias(c), F.col("m").alias(f"m{c}"))
+    return turned.join(side("p"), "p").join(side("q"), [group, "q"]).select(group, F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "cosine", *(F.when((F.col("p") < F.col("q")) == first, F.col("mp")).otherwise(F.col("mq")).alias(m) for m, first in (("mx", True), ("my", False))))
+
+
 def cosine_pairs(held: DataFrame, min_cosine: float = 0.5) -> DataFrame:
     """(a, b, cosine), a < b, of projects whose token sets reach the cosine: the pairs of classes (see
     ``alike_sets``) with all their projects, and the projects of each class among themselves."""
@@ -101,59 +142,96 @@ def louvain(weights: dict[tuple[str, str], float], resolution: float = 1.0, seed
     Deterministic for a seed: nodes are visited in a seeded order of their sorted names, and a node
     moves only for a strict gain, to the first best community.
     """
-    graph: dict = defaultdict(dict)
-    for (a, b), w in sorted(weights.items()):
-        graph[a][b] = graph[a].get(b, 0.0) + w
-        if a != b:
-            graph[b][a] = graph[b].get(a, 0.0) + w
-    return _levels(graph, {n: {n} for n in graph}, random.Random(seed), resolution)
+    names = sorted({n for pair in weights for n in pair})
+    number = {n: i for i, n in enumerate(names)}
+    ends = np.array([(number[a], number[b]) for a, b in sorted(weights)], dtype=np.int64).reshape(-1, 2)
+    return _levels(*_added(ends.min(axis=1), ends.max(axis=1), np.array([float(w) for _, w in sorted(weights.items())])), [{n} for n in names], random.Random(seed), resolution)
+
+
+def _added(low: np.ndarray, high: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs low <= high in their order, each once, with the sum of its weights."""
+    width = int(high.max(initial=0)) + 1
+    keys, at = np.unique(low * width + high, return_inverse=True)
+    return keys // width, keys % width, np.bincount(at, weights=w, minlength=len(keys))
 
 
-def _levels(graph: dict, parts: dict, rnd: random.Random, resolution: float) -> list[set]:
-    """Local moves and merging until nothing moves; ``parts`` are the members that each node stands for."""
+def _levels(low: np.ndarray, high: np.ndarray, weight: np.ndarray, parts: list[set], rnd: random.Random, resolution: float) -> list[set]:
+    """Local moves and merging until nothing moves, of nodes 0 to n - 1 and the pairs low <= high, each once;
+    ``parts`` are the members that each node stands for."""
     while True:
-        degree = {n: sum(w for m, w in near.items()) + near.get(n, 0.0) for n, near in graph.items()}
-        twice = sum(degree.values())
+        n, loop = len(parts), low == high
+        a, b = np.concatenate([low, high[~loop]]), np.concatenate([high, low[~loop]])
+        by = np.lexsort((b, a))
+        near, w = b[by], np.concatenate([weight, weight[~loop]])[by]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
+        own_loop = np.bincount(low[loop], weights=weight[loop], minlength=n)
+        degree = [sum(w[begin[i] : begin[i + 1]].tolist()) + float(own_loop[i]) for i in range(n)]
+        twice = sum(degree)
         if not twice:
-            return list(parts.values())
-        home = {n: n for n in graph}
-        total = dict(degree)
+            return parts
+        homes, total, totals = np.arange(n), degree.copy(), np.array(degree)
+        home = homes.tolist()
+        # a node's neighbours without itself, as lists where they are few
+        others = []
+        for i in range(n):
+            ks, ws = near[begin[i] : begin[i + 1]], w[begin[i] : begin[i + 1]]
+            if own_loop[i]:
+                ks, ws = ks[ks != i], ws[ks != i]
+            others.append((ks, ws) if len(ks) > 40 else (ks.tolist(), ws.tolist()))
         moved_once, moved = False, True
-        order = sorted(graph)
+        order = list(range(n))
         rnd.shuffle(order)
         while moved:
             moved = False
-            for n in order:
-                links: dict = defaultdict(float)
-                for m, w in graph[n].items():
-                    if m != n:
-                        links[home[m]] += w
-                own, mine = home[n], degree[n]
+            for i in order:
+                ks, ws = others[i]
+                own, mine = home[i], degree[i]
                 total[own] -= mine
-                most = stay = links.get(own, 0.0) - resolution * total[own] * mine / twice
                 best = own
-                for c, w in links.items():
-                    gain = w - resolution * total[c] * mine / twice
-                    if gain > most or gain == most and gain > stay and c < best:
-                        best, most = c, gain
+                if isinstance(ks, list):
+                    links: dict = {}
+                    for k, x in zip(ks, ws):
+                        links[home[k]] = links.get(home[k], 0.0) + x
+                    most = stay = links.get(own, 0.0) - resolution * total[own] * mine / twice
+                    for c, x in links.items():
+                        gain = x - resolution * total[c] * mine / twice
+                        if gain > most or gain == most and gain > stay and c < best:
+                            best, most = c, gain
+                else:
+                    totals[own] = total[own]
+                    found, sums = _summed(homes[ks], ws, n)
+                    gains = sums - resolution * totals[found] * mine / twice
+                    k = int(gains.argmax())
+                    at = int(found.searchsorted(own))
+                    linked = float(sums[at]) if at < len(found) and found[at] == own else 0.0
+                    stay = linked - resolution * total[own] * mine / twice
+                    best, most = int(found[k]), float(gains[k])
                 if most > stay + 1e-12:
-                    home[n], moved, moved_once = best, True, True
-                total[home[n]] += mine
+                    home[i] = homes[i] = best
+                    moved = moved_once = True
+                else:
+                    best = own
+                total[best] += mine
+                totals[own], totals[best] = total[own], total[best]
         if not moved_once:
-            return list(parts.values())
-        merged: dict = defaultdict(set)
-        for n, c in home.items():
-            merged[c] |= parts[n]
-        parts = dict(merged)
-        coarse: dict = defaultdict(lambda: defaultdict(float))
-        for n, near in graph.items():
-            for m, w in near.items():
-                if n <= m:
-                    a, b = home[n], home[m]
-                    coarse[a][b] += w
-                    if a != b:
-                        coarse[b][a] += w
-        graph = {n: dict(coarse[n]) for n in parts}
+            return parts
+        kept, homes = np.unique(homes, return_inverse=True)
+        merged: list[set] = [set() for _ in kept]
+        for i, h in enumerate(homes.tolist()):
+            merged[h] |= parts[i]
+        parts = merged
+        x, y = homes[low], homes[high]
+        low, high, weight = _added(np.minimum(x, y), np.maximum(x, y), weight)
+
+
+def _summed(keys: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (below n) in their order and the sums of their weights, all above 0."""
+    if len(keys) * 20 < n:
+        found, at = np.unique(keys, return_inverse=True)
+        return found, np.bincount(at, weights=weights)
+    sums = np.bincount(keys, weights=weights, minlength=n)
+    found = np.flatnonzero(sums != 0)
+    return found, sums[found]
 
 
 def louvain_classes(weights: dict[tuple[str, str], float], classes: dict[str, int], alike: dict[tuple[int, int], float], resolution: float = 1.0, seed: int = 42) -> list[set[str]]:
@@ -201,9 +279,7 @@ def louvain_classes(weights: dict[tuple[str, str], float], classes: dict[str, in
         sizes = many[ks]
         ends = np.cumsum(sizes)
         places = np.repeat(begin[ks] - ends + sizes, sizes) + np.arange(ends[-1])
-        sums = np.bincount(homes[member[places]], weights=np.repeat(ws, sizes), minlength=n)
-        found = np.flatnonzero(sums)
-        sums = sums[found]
+        found, sums = _summed(homes[member[places]], np.repeat(ws, sizes), n)
         if len(found) <= 1000:  # the few are kept until a node of these classes moves
             seen[c] = moves, found, sums
         return found, sums
@@ -258,28 +334,29 @@ def louvain_classes(weights: dict[tuple[str, str], float], classes: dict[str, in
             totals[own], totals[best] = total[own], total[best]
     if not moved_once:
         return [{x} for x in names]
-    parts: dict = defaultdict(set)
-    for i, h in enumerate(home):
-        parts[h].add(names[i])
-    upper: dict = defaultdict(float)
-    for a, x in enumerate(near):
-        for b, w in x.items():
-            if a < b:
-                upper[min(home[a], home[b]), max(home[a], home[b])] += w
+    kept = np.unique(homes)
+    upper = np.searchsorted(kept, homes)  # the communities are the nodes now
+    parts: list[set] = [set() for _ in kept]
+    for x, h in zip(names, upper.tolist()):
+        parts[h].add(x)
+    links = [(upper[a], upper[b], w) for a, x in enumerate(near) for b, w in x.items() if a < b]
+    ends = np.array([(a, b) for a, b, _ in links], dtype=np.int64).reshape(-1, 2)
+    met, waiting = [_added(ends.min(axis=1), ends.max(axis=1), np.array([w for *_, w in links]))], 0
     for c in range(len(held)):
-        found, sums = linked(c)
-        inside = Counter(homes[member[begin[c] : begin[c] + many[c]]].tolist())
-        for h, k in sorted(inside.items()):
-            for other, w in zip(found.tolist(), sums.tolist()):
-                if h < other:
-                    upper[h, other] += k * w
-                elif h == other:
-                    upper[h, h] += k * (w - 1.0) / 2
-    graph: dict = {h: {} for h in parts}
-    for (a, b), w in sorted(upper.items()):
-        if w:
-            graph[a][b] = graph[b][a] = w
-    return _levels(graph, dict(parts), rnd, resolution)
+        found, linked_by = linked(c)
+        found = np.searchsorted(kept, found)
+        inside, many_inside = np.unique(upper[member[begin[c] : begin[c] + many[c]]], return_counts=True)
+        for h, k in zip(inside.tolist(), many_inside.tolist()):
+            at = int(found.searchsorted(h))
+            w = k * linked_by[at:]
+            w[0] = k * (linked_by[at] - 1.0) / 2  # h itself, with which the class is always linked
+            met.append((np.full(len(w), h), found[at:], w))
+            waiting += len(w)
+        if waiting > 2_000_000 or c == len(held) - 1:
+            met, waiting = [_added(*(np.concatenate(z) for z in zip(*met)))], 0
+    low, high, weight = met[0]
+    some = weight != 0
+    return _levels(low[some], high[some], weight[some], parts, rnd, resolution)
 
 
 def _numbered(found: list[set], group, column: str) -> pd.DataFrame:

@@ -54,9 +54,8 @@ def research_lines(projects: DataFrame, scores: DataFrame, reuse: DataFrame, pro
     if topics:
         # counted by classes of projects with the same names, as the pairs may be far more than the projects
         of, pairs = G.alike_sets(G.signatures(mentions), min_cosine)
-        held = member.join(of.withColumnRenamed("pid", "project_id"), "project_id").groupBy("line_id", "cls").agg(F.count("*").alias("m"))
-        side = lambda c: held.select("line_id", F.col("cls").alias(c), F.col("m").alias(f"m{c}"))
-        across = pairs.join(side("x"), "x").join(side("y"), ["line_id", "y"]).select("line_id", (F.col("mx") * F.col("my")).alias("m"))
+        held = Workspace(member.sparkSession).keep(member.join(of.withColumnRenamed("pid", "project_id"), "project_id").groupBy("line_id", "cls").agg(F.count("*").alias("m")))
+        across = G.pairs_in_groups(held, pairs, "line_id").select("line_id", (F.col("mx") * F.col("my")).alias("m"))
         within = held.select("line_id", F.expr("m * (m - 1) div 2").alias("m")).where(F.lit(min_cosine <= 1) & (F.col("m") > 0))
         out = out.join(across.unionAll(within).groupBy("line_id").agg(F.sum("m").alias("topic_edge_count")), "line_id", "left")
     else:
@@ -80,8 +79,8 @@ def thread_graph(citations: DataFrame, member: DataFrame, mentions: DataFrame, m
     edges = cited.join(one, "a").join(two, "b").where("line_id = line_b").groupBy("line_id", "a", "b").agg(F.count("*").cast("double").alias("weight"))
     of, pairs = G.alike_sets(G.signatures(mentions), min_cosine)
     held = Workspace(member.sparkSession).keep(of.join(inside.withColumnRenamed("project_id", "pid"), "pid").select("line_id", "pid", "cls"))
-    there = held.select("line_id", "cls").distinct()
-    within = pairs.join(there.withColumnRenamed("cls", "x"), "x").join(there.withColumnRenamed("cls", "y"), ["line_id", "y"]).select("line_id", "x", "y", "cosine")
+    there = held.groupBy("line_id", "cls").agg(F.count("*").alias("m"))
+    within = G.pairs_in_groups(there, pairs, "line_id").select("line_id", "x", "y", "cosine")
     return edges, held, within
 
 
