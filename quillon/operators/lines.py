@@ -27,11 +27,12 @@ def memberships(citations: DataFrame, projects: DataFrame, min_members: int = 2)
     return member.join(first, "component").select(F.concat(F.lit("line-"), "first").alias("line_id"), "project_id", "start")
 
 
-def research_lines(projects: DataFrame, scores: DataFrame, reuse: DataFrame, project_authors: DataFrame, mentions: DataFrame, min_members: int = 2, min_cosine: float = 0.5, topics: bool = True, member: DataFrame | None = None) -> DataFrame:
+def research_lines(projects: DataFrame, scores: DataFrame, reuse: DataFrame, project_authors: DataFrame, mentions: DataFrame, min_members: int = 2, min_cosine: float = 0.5, topics: bool = True, member: DataFrame | None = None, alike: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row for each line with its members, authors, handoffs, means and sums.
 
     Topic edges are counted but do not connect. Edges are handoffs by the strict reading. Means leave
-    nulls out, sums count them as 0. ``member`` are the memberships if they are at hand.
+    nulls out, sums count them as 0. ``member`` are the memberships and ``alike`` the classes of equal names and
+    their pairs, if they are at hand.
     """
     citations = E.declared(reuse)
     authors = E.memberships(project_authors)
@@ -53,7 +54,7 @@ def research_lines(projects: DataFrame, scores: DataFrame, reuse: DataFrame, pro
     out = lines.join(people, "line_id", "left").join(flows, "line_id", "left")
     if topics:
         # counted by classes of projects with the same names, as the pairs may be far more than the projects
-        of, pairs = G.alike_sets(G.signatures(mentions), min_cosine)
+        of, pairs = alike or G.alike_sets(G.signatures(mentions), min_cosine)
         held = Workspace(member.sparkSession).keep(member.join(of.withColumnRenamed("pid", "project_id"), "project_id").groupBy("line_id", "cls").agg(F.count("*").alias("m")))
         across = G.pairs_in_groups(held, pairs, "line_id").select("line_id", (F.col("mx") * F.col("my")).alias("m"))
         within = held.select("line_id", F.expr("m * (m - 1) div 2").alias("m")).where(F.lit(min_cosine <= 1) & (F.col("m") > 0))
@@ -67,7 +68,7 @@ def research_lines(projects: DataFrame, scores: DataFrame, reuse: DataFrame, pro
     )
 
 
-def thread_graph(citations: DataFrame, member: DataFrame, mentions: DataFrame, min_members: int = 5, min_cosine: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def thread_graph(citations: DataFrame, member: DataFrame, mentions: DataFrame, min_members: int = 5, min_cosine: float = 0.5, alike: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The graph within lines of ``min_members`` or more: (line_id, a, b, weight), 1 for each citation, both
     directions added; and the topic edges by classes of projects with the same names: (line_id, pid, cls)
     and (line_id, x, y, cosine). Projects of one class have cosine 1, so ``min_cosine`` is at most that."""
@@ -77,18 +78,18 @@ def thread_graph(citations: DataFrame, member: DataFrame, mentions: DataFrame, m
     two = inside.select(F.col("line_id").alias("line_b"), F.col("project_id").alias("b"))
     cited = citations.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     edges = cited.join(one, "a").join(two, "b").where("line_id = line_b").groupBy("line_id", "a", "b").agg(F.count("*").cast("double").alias("weight"))
-    of, pairs = G.alike_sets(G.signatures(mentions), min_cosine)
+    of, pairs = alike or G.alike_sets(G.signatures(mentions), min_cosine)
     held = Workspace(member.sparkSession).keep(of.join(inside.withColumnRenamed("project_id", "pid"), "pid").select("line_id", "pid", "cls"))
     there = held.groupBy("line_id", "cls").agg(F.count("*").alias("m"))
     within = G.pairs_in_groups(there, pairs, "line_id").select("line_id", "x", "y", "cosine")
     return edges, held, within
 
 
-def sub_clusters(citations: DataFrame, projects: DataFrame, mentions: DataFrame, min_members: int = 5, resolution: float = 1.5, seed: int = 42, top: int = 5, member: DataFrame | None = None) -> DataFrame:
+def sub_clusters(citations: DataFrame, projects: DataFrame, mentions: DataFrame, min_members: int = 5, resolution: float = 1.5, seed: int = 42, top: int = 5, member: DataFrame | None = None, alike: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(sub_id, line_id, sub_index, member_count, members, top_organisms, top_methods, top_databases):
     the communities of two or more projects in each large line, with their most mentioned entities."""
     member = memberships(citations, projects) if member is None else member
-    parts = Workspace(mentions.sparkSession).keep(G.communities_by_class(*thread_graph(citations, member, mentions, min_members), "line_id", resolution, seed))
+    parts = Workspace(mentions.sparkSession).keep(G.communities_by_class(*thread_graph(citations, member, mentions, min_members, alike=alike), "line_id", resolution, seed))
     sized = parts.groupBy("line_id", "community").agg(F.count("*").alias("member_count"), F.sort_array(F.collect_list("member")).alias("members")).where("member_count >= 2")
     named = mentions.where(F.col("entity_kind").isin("organism", "method", "database") & matched(F.col("canonical_id"))).groupBy("project_id", "entity_kind", "canonical_id").agg(F.count("*").alias("n"))
     held = parts.join(named, F.col("member") == F.col("project_id")).groupBy("line_id", "community", "entity_kind", "canonical_id").agg(F.sum("n").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import matched
 from quillon.operators import edges as E
+from quillon.operators import graph as G
 from quillon.operators import lines as L
 from quillon.operators import scores as S
 from quillon.operators.classify import EDGE_TYPES, REVISION_KINDS
@@ -33,9 +34,21 @@ def line_members(w: Warehouse) -> DataFrame:
     return L.memberships(E.declared(w.table("reuse_edges")), current_projects(w))
 
 
+def topics_alike(w: Warehouse) -> DataFrame:
+    """(pid, x) of projects and their classes of equal names, and (x, y, cosine) of the pairs of classes, where
+    pid is null: lines and threads read both."""
+    of, pairs = G.alike_sets(G.signatures(w.table("entity_mentions")))
+    return of.select("pid", F.col("cls").alias("x"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("double").alias("cosine")).unionAll(pairs.select(F.lit(None).cast("string"), "x", "y", "cosine"))
+
+
+def _alike(w: Warehouse) -> tuple[DataFrame, DataFrame]:
+    both = w.table("topics_alike")
+    return both.where("y is null").select("pid", F.col("x").alias("cls")), both.where("y is not null").select("x", "y", "cosine")
+
+
 def lines_alone(w: Warehouse) -> DataFrame:
     """The lines without the number of their threads, which takes the communities."""
-    built = L.research_lines(current_projects(w), w.table("sophistication_composite"), w.table("reuse_edges"), w.table("project_authors"), w.table("entity_mentions"), member=w.table("line_members"))
+    built = L.research_lines(current_projects(w), w.table("sophistication_composite"), w.table("reuse_edges"), w.table("project_authors"), w.table("entity_mentions"), member=w.table("line_members"), alike=_alike(w))
     return built.select("*", F.to_json("members").alias("member_ids"), F.to_json("authors").alias("distinct_author_ids"))
 
 
@@ -45,7 +58,7 @@ def lines(w: Warehouse) -> DataFrame:
 
 
 def threads(w: Warehouse) -> DataFrame:
-    found = L.sub_clusters(E.declared(w.table("reuse_edges")), current_projects(w), w.table("entity_mentions"), member=w.table("line_members"))
+    found = L.sub_clusters(E.declared(w.table("reuse_edges")), current_projects(w), w.table("entity_mentions"), member=w.table("line_members"), alike=_alike(w))
     return found.select("sub_id", "line_id", "sub_index", "member_count", F.to_json("members").alias("member_ids"), *(F.to_json(c).alias(c) for c in ("top_organisms", "top_methods", "top_databases")))
 
 
@@ -112,7 +125,7 @@ def recommended(w: Warehouse) -> DataFrame:
 
 
 DERIVED = {
-    "line_members": line_members,
+    "line_members": line_members, "topics_alike": topics_alike,
     "sophistication_composite": scores, "lines_alone": lines_alone, "research_lines": lines, "research_line_subclusters": threads, "project_revisions": revisions, "notebooks": notebooks, "edge_classifications": classified_edges,
     "revision_kinds": classified_revisions, "combination_plausibility": plausibility, "findings": found, "recommendations": recommended,
 }

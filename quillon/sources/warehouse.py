@@ -23,7 +23,7 @@ class Warehouse:
     the same folder read them too, as long as no table of the folder has changed.
     """
 
-    made_once = ("line_members", "sophistication_composite", "lines_alone", "research_lines", "research_line_subclusters")
+    made_once = ("line_members", "topics_alike", "sophistication_composite", "lines_alone", "research_lines", "research_line_subclusters")
 
     def __init__(self, spark: SparkSession, folder: str, derived: dict[str, Callable[[Warehouse], DataFrame]] | None = None):
         self.spark, self.folder, self.derived = spark, folder.rstrip("/"), derived or {}
