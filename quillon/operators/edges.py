@@ -8,11 +8,15 @@ Three readings of "another's work" are in use; all come from one classification:
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import neighbours as N
 from quillon.session import Workspace
 
+FEW = 4_000_000  # rows up to which one task counts what is around the projects; the result doesn't depend on it
 HEAVY = 100_000  # paths over one project from which its ends meet by classes; the result doesn't depend on it
 
 
@@ -96,16 +100,20 @@ def two_hop_numbers(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return whole.unionAll(itself).unionAll(listed).groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def neighbourhoods(reuse: DataFrame, project_authors: DataFrame) -> DataFrame:
+def neighbourhoods(reuse: DataFrame, project_authors: DataFrame, few: int = FEW) -> DataFrame:
     """(pid, in_degree, out_degree, self_in_degree, self_out_degree, two_hop_in_degree, cross_author_downstream,
     distinct_prior_authors): what ``degrees``, ``two_hop`` and ``authors_across`` (both ways, of projects with
-    an author) count over the declared edges, from one table of numbered edges with the authors of both ends.
+    an author) count over the declared edges. Up to ``few`` rows of both tables are counted in one task, as arrays
+    of numbers; more come from one table of numbered edges with the authors of both ends.
 
     An edge with a null end counts for none of them.
     """
-    work = Workspace(reuse.sparkSession)
     rows = reuse.where((F.col("confidence_tier") == "declared") & F.col("src_project_id").isNotNull() & F.col("dst_project_id").isNotNull()).select(F.col("src_project_id").alias("src"), F.col("dst_project_id").alias("dst"))
     links = project_authors.where("author_id is not null and project_id is not null").select(F.col("project_id").alias("pid"), F.col("author_id").alias("aid"))
+    if reuse.select(F.lit(1)).unionAll(project_authors.select(F.lit(1))).count() <= few:
+        both = rows.select(F.lit(True).alias("edge"), F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(links.select(F.lit(False), "pid", "aid"))
+        return both.repartition(1).mapInArrow(partial(N.counted, heavy=HEAVY), ", ".join(["pid string", *(f"{n} long" for n in N.NAMES)]))
+    work = Workspace(reuse.sparkSession)
     people = work.keep(links.select("aid").distinct().select("aid", F.monotonically_increasing_id().alias("a")))
     held = links.join(people, "aid").groupBy("pid").agg(F.collect_set("a").alias("people"))
     ends = rows.select(F.explode(F.array("src", "dst")).alias("pid")).distinct()
@@ -114,7 +122,7 @@ def neighbourhoods(reuse: DataFrame, project_authors: DataFrame) -> DataFrame:
     # made distinct where the join with the sources needs them
     edges = rows.repartition("src").distinct().join(of("src", "s", "sa"), "src").select("dst", "s", "sa").join(of("dst", "d", "da"), "dst")
     edges = work.keep(edges.select("s", "d", "sa", "da", F.coalesce(F.arrays_overlap("sa", "da"), F.lit(False)).alias("shared")))
-    names = ("in_degree", "out_degree", "self_in_degree", "self_out_degree", "two_hop_in_degree", "cross_author_downstream", "distinct_prior_authors")
+    names = N.NAMES
     part = lambda df, *counted: df.select("id", *((F.col(n) if n in counted else F.lit(0)).cast("long").alias(n) for n in names))
     both = edges.select(F.explode(F.array(F.struct(F.col("d").alias("id"), F.lit(True).alias("inward"), "shared"), F.struct(F.col("s").alias("id"), F.lit(False).alias("inward"), "shared"))).alias("e")).select("e.*")
     counted = both.groupBy("id").agg(*(F.count_if(c).alias(n) for n, c in zip(names, (F.expr("inward and not shared"), F.expr("not inward and not shared"), F.expr("inward and shared"), F.expr("not inward and shared")))))

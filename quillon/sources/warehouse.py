@@ -20,10 +20,12 @@ class Warehouse:
 
     ``derived`` gives tables that are computed rather than stored, by name. Those in ``made_once`` are
     written to the shared folder when they are first asked for, because several readers follow; later warehouses over
-    the same folder read them too, as long as no table of the folder has changed.
+    the same folder read them too, as long as no table of the folder has changed. Those in ``light`` are remembered
+    only: what they take long for is written by their builder, and the rest is a projection.
     """
 
     made_once = ("line_members", "topics_alike", "sophistication_composite", "lines_alone", "research_lines", "research_line_subclusters")
+    light = ("sophistication_composite",)
 
     def __init__(self, spark: SparkSession, folder: str, derived: dict[str, Callable[[Warehouse], DataFrame]] | None = None):
         self.spark, self.folder, self.derived = spark, folder.rstrip("/"), derived or {}
@@ -53,7 +55,8 @@ class Warehouse:
                 return self.derived[name](self)
             key = (self.spark.sparkContext.applicationId, self.folder, self._state(), name, self.derived[name])
             if key not in _SHARED:
-                _SHARED[key] = Workspace(self.spark).keep(self.derived[name](self))
+                built = self.derived[name](self)
+                _SHARED[key] = built if name in self.light else Workspace(self.spark).keep(built)
             return _SHARED[key]
         return self.spark.createDataFrame([], SCHEMAS[name])
 
