@@ -20,9 +20,10 @@ FEW = 4_000_000  # rows up to which one task counts what is around the projects;
 HEAVY = 100_000  # paths over one project from which its ends meet by classes; the result doesn't depend on it
 
 
-def declared(reuse: DataFrame, tier: str = "declared") -> DataFrame:
-    """The distinct (src, dst) of one confidence tier."""
-    return reuse.where(F.col("confidence_tier") == tier).select(F.col("src_project_id").alias("src"), F.col("dst_project_id").alias("dst")).distinct()
+def declared(reuse: DataFrame, tier: str = "declared", repeats: bool = False) -> DataFrame:
+    """The distinct (src, dst) of one confidence tier; with ``repeats`` as they are, for readers that don't mind."""
+    rows = reuse.where(F.col("confidence_tier") == tier).select(F.col("src_project_id").alias("src"), F.col("dst_project_id").alias("dst"))
+    return rows if repeats else rows.distinct()
 
 
 def memberships(project_authors: DataFrame) -> DataFrame:

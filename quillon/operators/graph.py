@@ -10,10 +10,12 @@ from math import pi
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import matched
+from quillon.operators import neighbours as N
 from quillon.session import Workspace, observed
 
 MAX_ROUNDS = 200
@@ -27,16 +29,16 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", few: int =
     label names as well (hooking), and then takes the label of its label (jumping). Trees of labels so
     join and flatten in about log n rounds, also along chains. Each round is written to the shared
     folder. Ends when no label changes; raises if that takes MAX_ROUNDS rounds. Edges with a null end
-    are left out. Nodes are numbered in their order first, so the rounds move numbers.
+    are left out, repeats don't matter. Nodes are numbered in their order first, so the rounds move numbers.
     """
     work = Workspace(edges.sparkSession)
-    named = work.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct())
+    ends = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null")
+    if ends.count() <= few:
+        return work.keep(ends.repartition(1).mapInArrow(_settled, "node string, component string"))
+    named = work.keep(ends.distinct())
     known = work.keep(named.select(F.col("s").alias("name")).union(named.select("d")).distinct().orderBy("name").select("name", F.monotonically_increasing_id().alias("id")))
     pairs = named.join(known.select(F.col("name").alias("s"), F.col("id").alias("a")), "s").join(known.select(F.col("name").alias("d"), F.col("id").alias("b")), "d").select("a", "b")
     of = known.select(F.col("id").alias("label"), F.col("name").alias("component"))
-    if named.count() <= few:
-        labels = work.keep(pairs.coalesce(1).mapInArrow(_settled, "node long, label long"))
-        return labels.join(of, "label").join(known.select(F.col("id").alias("node"), "name"), "node").select(F.col("name").alias("node"), "component")
     both = work.keep(pairs.unionAll(pairs.select(F.col("b"), F.col("a"))).distinct())
     labels = work.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     for _ in range(MAX_ROUNDS):
@@ -60,14 +62,17 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", few: int =
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least node of the component of each node, of all edges (a, b) of the task: least labels are told
+    """The least node of the component of each node, of all edges (s, d) of the task: least labels are told
     to the nodes that the labels at both ends name, and then the trees of labels are flattened."""
-    each = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    each = list(batches)
     if not each:
         return
-    nodes, at = np.unique(np.concatenate(each, axis=1), return_inverse=True)
-    a, b = at.reshape(2, -1)
-    label = np.arange(len(nodes))
+    at, names = N.numbered([b.column(0) for b in each] + [b.column(1) for b in each])
+    order = pc.array_sort_indices(names)  # by bytes, as Spark compares
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(names))
+    a, b = np.split(rank[at], 2)
+    label = np.arange(len(names))
     while True:
         x, y = label[a], label[b]
         open_ = x != y
@@ -77,8 +82,9 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
         while (label[label] != label).any():
             label = label[label]
-    for i in range(0, len(nodes), 100_000):
-        yield pa.record_batch([pa.array(nodes[i : i + 100_000]), pa.array(nodes[label[i : i + 100_000]])], names=["node", "label"])
+    names = names.take(order).cast(pa.string())
+    for i in range(0, len(names), 100_000):
+        yield pa.record_batch([names[i : i + 100_000], names.take(pa.array(label[i : i + 100_000]))], names=["node", "component"])
 
 
 def signatures(mentions: DataFrame, kinds: tuple[str, ...] = ("organism", "method")) -> DataFrame:
@@ -87,9 +93,9 @@ def signatures(mentions: DataFrame, kinds: tuple[str, ...] = ("organism", "metho
     return named.select(F.col("project_id").alias("pid"), F.concat_ws(":", F.substring("entity_kind", 1, 1), "canonical_id").alias("token")).distinct()
 
 
-def alike_sets(held: DataFrame, min_cosine: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def alike_sets(held: DataFrame, min_cosine: float = 0.5, written: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pid, cls) and (x, y, cosine), x < y: projects of the same token set are one class, and the pairs of
-    different classes whose sets reach the cosine. Within a class it is 1. Both are written.
+    different classes whose sets reach the cosine. Within a class it is 1. Both are written, unless the caller writes them.
 
     Only sets that share one of their rarer tokens can reach it: with the tokens in the order of their
     frequency, rarest first, two sets that must share k have their first shared token before the last k - 1
@@ -98,7 +104,7 @@ def alike_sets(held: DataFrame, min_cosine: float = 0.5) -> tuple[DataFrame, Dat
     work = Workspace(held.sparkSession)
     sets = work.keep(held.groupBy("pid").agg(F.array_sort(F.collect_set("token")).alias("tokens")))
     classes = work.keep(sets.groupBy("tokens").agg(F.min("pid").alias("first")).orderBy("first").select("tokens", F.monotonically_increasing_id().alias("cls")))
-    member = work.keep(sets.join(classes, "tokens").select("pid", "cls"))
+    member = sets.join(classes, "tokens").select("pid", "cls")
     each = classes.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count("*").alias("df"))
     ordered = work.keep(each.join(df, "token").groupBy("cls", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")))
@@ -110,7 +116,8 @@ def alike_sets(held: DataFrame, min_cosine: float = 0.5) -> tuple[DataFrame, Dat
     with_x = near.join(ordered.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx")), "x")
     with_y = with_x.join(ordered.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty")), "y")
     cosine = F.size(F.array_intersect("tx", "ty")) / F.sqrt(F.col("nx") * F.col("ny"))
-    return member, work.keep(with_y.select("x", "y", cosine.alias("cosine")).where(F.col("cosine") >= min_cosine))
+    pairs = with_y.select("x", "y", cosine.alias("cosine")).where(F.col("cosine") >= min_cosine)
+    return (work.keep(member), work.keep(pairs)) if written else (member, pairs)
 
 
 def pairs_in_groups(held: DataFrame, pairs: DataFrame, group: str) -> DataFrame:

@@ -20,10 +20,9 @@ def memberships(citations: DataFrame, projects: DataFrame, min_members: int = 2)
     The line is named after its first member.
     """
     labels = G.components(citations)
-    big = labels.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") >= min_members).select("component")
     dated = projects.groupBy("project_id").agg(F.min("start_date").alias("start"))
-    member = labels.join(big, "component").join(dated, F.col("node") == F.col("project_id"), "left").select("component", F.col("node").alias("project_id"), F.coalesce(F.col("start").cast("string"), F.lit(NO_DATE)).alias("start"))
-    first = member.groupBy("component").agg(F.min_by("project_id", F.struct("start", "project_id")).alias("first"))
+    member = labels.join(dated, F.col("node") == F.col("project_id"), "left").select("component", F.col("node").alias("project_id"), F.coalesce(F.col("start").cast("string"), F.lit(NO_DATE)).alias("start"))
+    first = member.groupBy("component").agg(F.count("*").alias("k"), F.min_by("project_id", F.struct("start", "project_id")).alias("first")).where(F.col("k") >= min_members)
     return member.join(first, "component").select(F.concat(F.lit("line-"), "first").alias("line_id"), "project_id", "start")
 
 
@@ -85,11 +84,17 @@ def thread_graph(citations: DataFrame, member: DataFrame, mentions: DataFrame, m
     return edges, held, within
 
 
-def sub_clusters(citations: DataFrame, projects: DataFrame, mentions: DataFrame, min_members: int = 5, resolution: float = 1.5, seed: int = 42, top: int = 5, member: DataFrame | None = None, alike: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(sub_id, line_id, sub_index, member_count, members, top_organisms, top_methods, top_databases):
-    the communities of two or more projects in each large line, with their most mentioned entities."""
+def thread_members(citations: DataFrame, projects: DataFrame, mentions: DataFrame, min_members: int = 5, resolution: float = 1.5, seed: int = 42, member: DataFrame | None = None, alike: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(line_id, member, community): the communities in each large line, those of one project too."""
     member = memberships(citations, projects) if member is None else member
-    parts = Workspace(mentions.sparkSession).keep(G.communities_by_class(*thread_graph(citations, member, mentions, min_members, alike=alike), "line_id", resolution, seed))
+    return G.communities_by_class(*thread_graph(citations, member, mentions, min_members, alike=alike), "line_id", resolution, seed)
+
+
+def sub_clusters(citations: DataFrame, projects: DataFrame, mentions: DataFrame, min_members: int = 5, resolution: float = 1.5, seed: int = 42, top: int = 5, member: DataFrame | None = None, alike: tuple[DataFrame, DataFrame] | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """(sub_id, line_id, sub_index, member_count, members, top_organisms, top_methods, top_databases):
+    the communities of two or more projects in each large line, with their most mentioned entities. ``parts``
+    are the thread members, if they are at hand."""
+    parts = Workspace(mentions.sparkSession).keep(thread_members(citations, projects, mentions, min_members, resolution, seed, member, alike)) if parts is None else parts
     sized = parts.groupBy("line_id", "community").agg(F.count("*").alias("member_count"), F.sort_array(F.collect_list("member")).alias("members")).where("member_count >= 2")
     named = mentions.where(F.col("entity_kind").isin("organism", "method", "database") & matched(F.col("canonical_id"))).groupBy("project_id", "entity_kind", "canonical_id").agg(F.count("*").alias("n"))
     held = parts.join(named, F.col("member") == F.col("project_id")).groupBy("line_id", "community", "entity_kind", "canonical_id").agg(F.sum("n").alias("n"))

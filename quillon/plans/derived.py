@@ -31,13 +31,13 @@ def line_members(w: Warehouse) -> DataFrame:
     if w.has("research_lines"):
         start = current_projects(w).groupBy("project_id").agg(F.min("start_date").alias("start"))
         return w.table("research_lines").select("line_id", F.explode(F.from_json("member_ids", "array<string>")).alias("project_id")).join(start, "project_id", "left").select("line_id", "project_id", F.coalesce(F.col("start").cast("string"), F.lit(L.NO_DATE)).alias("start"))
-    return L.memberships(E.declared(w.table("reuse_edges")), current_projects(w))
+    return L.memberships(E.declared(w.table("reuse_edges"), repeats=True), current_projects(w))
 
 
 def topics_alike(w: Warehouse) -> DataFrame:
     """(pid, x) of projects and their classes of equal names, and (x, y, cosine) of the pairs of classes, where
     pid is null: lines and threads read both."""
-    of, pairs = G.alike_sets(G.signatures(w.table("entity_mentions")))
+    of, pairs = G.alike_sets(G.signatures(w.table("entity_mentions")), 0.5, False)
     return of.select("pid", F.col("cls").alias("x"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("double").alias("cosine")).unionAll(pairs.select(F.lit(None).cast("string"), "x", "y", "cosine"))
 
 
@@ -57,8 +57,13 @@ def lines(w: Warehouse) -> DataFrame:
     return w.table("lines_alone").join(threads, "line_id", "left").withColumn("sub_cluster_count", F.coalesce("sub_cluster_count", F.lit(0)))
 
 
+def thread_members(w: Warehouse) -> DataFrame:
+    """(line_id, member, community) for readers that don't need what the threads mention."""
+    return L.thread_members(E.declared(w.table("reuse_edges")), current_projects(w), w.table("entity_mentions"), member=w.table("line_members"), alike=_alike(w))
+
+
 def threads(w: Warehouse) -> DataFrame:
-    found = L.sub_clusters(E.declared(w.table("reuse_edges")), current_projects(w), w.table("entity_mentions"), member=w.table("line_members"), alike=_alike(w))
+    found = L.sub_clusters(E.declared(w.table("reuse_edges")), current_projects(w), w.table("entity_mentions"), parts=w.table("thread_members"))
     return found.select("sub_id", "line_id", "sub_index", "member_count", F.to_json("members").alias("member_ids"), *(F.to_json(c).alias(c) for c in ("top_organisms", "top_methods", "top_databases")))
 
 
@@ -125,7 +130,7 @@ def recommended(w: Warehouse) -> DataFrame:
 
 
 DERIVED = {
-    "line_members": line_members, "topics_alike": topics_alike,
+    "line_members": line_members, "topics_alike": topics_alike, "thread_members": thread_members,
     "sophistication_composite": scores, "lines_alone": lines_alone, "research_lines": lines, "research_line_subclusters": threads, "project_revisions": revisions, "notebooks": notebooks, "edge_classifications": classified_edges,
     "revision_kinds": classified_revisions, "combination_plausibility": plausibility, "findings": found, "recommendations": recommended,
 }

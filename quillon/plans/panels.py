@@ -231,7 +231,12 @@ def underexplored(w: Warehouse) -> DataFrame:
 
 def thread_links(w: Warehouse) -> DataFrame:
     """(a, b, weight): citations between different threads, in either direction."""
-    at = line_threads(w).select("sub_id", F.explode("members").alias("pid"))
+    if "thread_members" in w.derived and not w.has("research_line_subclusters"):
+        parts = w.table("thread_members")
+        sized = parts.groupBy("line_id", "community").agg(F.count("*").alias("k")).where("k >= 2").select("line_id", "community")
+        at = parts.join(sized, ["line_id", "community"]).select(F.concat("line_id", F.lit("#sub-"), "community").alias("sub_id"), F.col("member").alias("pid"))
+    else:
+        at = line_threads(w).select("sub_id", F.explode("members").alias("pid"))
     pairs = _declared(w).join(at.select(F.col("pid").alias("src"), F.col("sub_id").alias("x")), "src").join(at.select(F.col("pid").alias("dst"), F.col("sub_id").alias("y")), "dst").where("x <> y")
     return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("weight"))
 

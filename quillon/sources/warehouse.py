@@ -24,7 +24,7 @@ class Warehouse:
     only: what they take long for is written by their builder, and the rest is a projection.
     """
 
-    made_once = ("line_members", "topics_alike", "sophistication_composite", "lines_alone", "research_lines", "research_line_subclusters")
+    made_once = ("line_members", "topics_alike", "thread_members", "sophistication_composite", "lines_alone", "research_lines", "research_line_subclusters")
     light = ("sophistication_composite",)
 
     def __init__(self, spark: SparkSession, folder: str, derived: dict[str, Callable[[Warehouse], DataFrame]] | None = None):
