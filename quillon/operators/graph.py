@@ -19,6 +19,8 @@ from quillon.operators import neighbours as N
 from quillon.session import Workspace, observed
 
 MAX_ROUNDS = 200
+MET = 1_000  # sets of a token that meet all others of it in one task
+BLOCK, SENT = 1_024, 4_096  # projects of a class in one row; names that one copy of such a row meets
 FEW = 4_000_000  # edges up to which one task finds the components; the result doesn't depend on it
 
 
@@ -100,23 +102,27 @@ def alike_sets(held: DataFrame, min_cosine: float = 0.5, written: bool = True) -
     Only sets that share one of their rarer tokens can reach it: with the tokens in the order of their
     frequency, rarest first, two sets that must share k have their first shared token before the last k - 1
     of either. So the frequent tokens, which would pair everything with everything, join hardly ever.
+    Tokens are numbered in that order. Two sets are compared where they meet, at their first shared token
+    alone, so what is met is neither shuffled nor made distinct; of a token of many sets the one side is cut
+    into parts of about MET sets, each of which meets all of the other side.
     """
     work = Workspace(held.sparkSession)
     sets = work.keep(held.groupBy("pid").agg(F.array_sort(F.collect_set("token")).alias("tokens")))
     classes = work.keep(sets.groupBy("tokens").agg(F.min("pid").alias("first")).orderBy("first").select("tokens", F.monotonically_increasing_id().alias("cls")))
     member = sets.join(classes, "tokens").select("pid", "cls")
     each = classes.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = work.keep(each.join(df, "token").groupBy("cls", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")))
+    ranked = work.keep(each.groupBy("token").agg(F.count("*").alias("df")).orderBy("df", "token").select("token", F.monotonically_increasing_id().alias("rank")))
+    ordered = work.keep(each.join(ranked, "token").groupBy("cls", "n").agg(F.sort_array(F.collect_list("rank")).alias("ranks")))
     least = F.ceil(F.col("n") * F.lit(min_cosine * min_cosine) - F.lit(1e-9))
-    probe = ordered.select("cls", "n", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("at", "token"))
-    met = probe.select(F.col("cls").alias("x"), "token", F.col("n").alias("nx"), F.col("at").alias("ax")).join(probe.select(F.col("cls").alias("y"), "token", F.col("n").alias("ny"), F.col("at").alias("ay")), "token")
+    probe = ordered.select("cls", "n", "ranks", F.posexplode(F.slice("ranks", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("at", "rank"))
+    probe = probe.join(probe.groupBy("rank").agg(F.ceil(F.count("*") / MET).alias("parts")), "rank")
+    side = lambda c, part: probe.select("rank", part.alias("part"), F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"a{c}"), F.col("ranks").alias(f"r{c}"))
+    spread = side("x", F.col("cls") % F.col("parts")).repartition(4 * held.sparkSession.sparkContext.defaultParallelism, "rank", "part")
     shared = F.ceil(F.sqrt(F.col("nx") * F.col("ny")) * min_cosine - 1e-9)
-    near = met.where((F.col("x") < F.col("y")) & (shared <= F.col("nx") - F.col("ax")) & (shared <= F.col("ny") - F.col("ay"))).select("x", "y").distinct()
-    with_x = near.join(ordered.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx")), "x")
-    with_y = with_x.join(ordered.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty")), "y")
-    cosine = F.size(F.array_intersect("tx", "ty")) / F.sqrt(F.col("nx") * F.col("ny"))
-    pairs = with_y.select("x", "y", cosine.alias("cosine")).where(F.col("cosine") >= min_cosine)
+    met = spread.join(side("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), ["rank", "part"]).where((F.col("x") < F.col("y")) & (shared <= F.col("nx") - F.col("ax")) & (shared <= F.col("ny") - F.col("ay")))
+    first = met.where(~F.arrays_overlap(F.slice("rx", F.lit(1), F.col("ax")), F.slice("ry", F.lit(1), F.col("ay"))))
+    cosine = F.size(F.array_intersect("rx", "ry")) / F.sqrt(F.col("nx") * F.col("ny"))
+    pairs = first.select("x", "y", cosine.alias("cosine")).where(F.col("cosine") >= min_cosine)
     return (work.keep(member), work.keep(pairs)) if written else (member, pairs)
 
 
@@ -135,12 +141,34 @@ def pairs_in_groups(held: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
 
 def cosine_pairs(held: DataFrame, min_cosine: float = 0.5) -> DataFrame:
     """(a, b, cosine), a < b, of projects whose token sets reach the cosine: the pairs of classes (see
-    ``alike_sets``) with all their projects, and the projects of each class among themselves."""
+    ``alike_sets``) with all their projects, and the projects of each class among themselves.
+
+    These rows are far more than all else and are not shuffled. The projects of a class are cut into blocks
+    of BLOCK in their order; of two classes the blocks of the smaller one are sent to those of the larger
+    one and multiplied there. A block that many are sent to is repeated, so that no key makes more than
+    about BLOCK * SENT rows, and the tasks are as many as the rows ask for.
+    """
+    work = Workspace(held.sparkSession)
     member, pairs = alike_sets(held, min_cosine)
-    of = lambda name, cls: member.select(F.col("pid").alias(name), F.col("cls").alias(cls))
-    within = of("a", "x").join(of("b", "x"), "x").where("a < b").select("a", "b", F.lit(1.0).alias("cosine")).where(F.lit(min_cosine <= 1))
-    across = pairs.join(of("a", "x"), "x").join(of("b", "y"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
-    return within.unionAll(across)
+    nth = F.row_number().over(Window.partitionBy("cls").orderBy("pid")) - 1
+    blocks = work.keep(member.where("pid is not null").select("cls", "pid", F.floor(nth / BLOCK).alias("block")).groupBy("cls", "block").agg(F.array_sort(F.collect_list("pid")).alias("names")))
+    many = blocks.groupBy("cls").agg(F.sum(F.size("names")).alias("m"), F.count("*").alias("blocks"))
+    sized = lambda c: many.select(F.col("cls").alias(c), F.col("m").alias(f"m{c}"))
+    less = F.col("mx") <= F.col("my")
+    turned = pairs.join(sized("x"), "x").join(sized("y"), "y").select(*(F.when(less, F.col(a)).otherwise(F.col(b)).alias(to) for to, a, b in (("p", "x", "y"), ("q", "y", "x"), ("mp", "mx", "my"))), "cosine")
+    alone = many.where(F.lit(min_cosine <= 1) & (F.col("m") > 1)).select(F.col("cls").alias("p"), F.col("cls").alias("q"), F.col("m").alias("mp"), F.lit(1.0).alias("cosine"))
+    turned = work.keep(turned.unionAll(alone))
+    larger = work.keep(turned.groupBy(F.col("q").alias("cls")).agg(F.sum("mp").alias("sent")).join(many, "cls").select(F.col("cls").alias("q"), "m", "sent", "blocks", F.ceil(F.col("sent") / SENT).alias("parts")))
+    rows = larger.agg(F.sum(F.col("m") * F.col("sent"))).first()[0] or 0
+    tasks = min(2_000, 1 + max(rows // 2_000_000, min(held.sparkSession.sparkContext.defaultParallelism, rows // 50_000)))
+    sent = turned.join(blocks.select(F.col("cls").alias("p"), F.col("block").alias("of"), F.col("names").alias("these")), "p").join(larger.select("q", "blocks", "parts"), "q")
+    within = F.col("p") == F.col("q")
+    sent = sent.select("q", F.pmod(F.hash("p", "of"), "parts").alias("part"), "these", "cosine", F.when(within, F.col("of")).alias("of"), F.explode(F.sequence(F.when(within, F.col("of")).otherwise(F.lit(0)), F.col("blocks") - 1)).alias("block"))
+    there = larger.select("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(blocks.select(F.col("cls").alias("q"), "block", F.col("names").alias("those")), "q")
+    met = sent.repartition(tasks, "q", "block", "part").join(there.hint("shuffle_hash"), ["q", "block", "part"])
+    one = met.select(F.explode("these").alias("this"), "those", "cosine", (F.col("of") == F.col("block")).alias("twice"))
+    both = one.select("this", F.explode("those").alias("that"), "cosine", "twice").where("twice is null or not twice or this < that")
+    return both.select(F.least("this", "that").alias("a"), F.greatest("this", "that").alias("b"), "cosine")
 
 
 def louvain(weights: dict[tuple[str, str], float], resolution: float = 1.0, seed: int = 42) -> list[set[str]]:

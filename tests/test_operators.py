@@ -69,6 +69,19 @@ def test_cosine_pairs(spark):
     assert {(r.a, r.b) for r in G.cosine_pairs(held, 0.5).collect()} == want
 
 
+def test_cosine_pairs_cut_into_parts(spark, monkeypatch):
+    """Blocks, copies and parts of a few rows give the same pairs, each once; no project has no pair."""
+    import random
+
+    for name, n in (("BLOCK", 3), ("SENT", 2), ("MET", 2)):
+        monkeypatch.setattr(G, name, n)
+    rnd = random.Random(5)
+    sets = {f"p{i:02d}": {"hot"} if i % 3 == 0 else {"hot", "warm"} if i % 3 == 1 else {f"t{rnd.randrange(5)}" for _ in range(rnd.randint(1, 4))} | {"hot"} for i in range(70)}
+    held = spark.createDataFrame([(p, t) for p, ts in sets.items() for t in ts] + [(None, "hot")], "pid string, token string")
+    want = sorted((a, b, len(sets[a] & sets[b]) / sqrt(len(sets[a]) * len(sets[b]))) for a in sets for b in sets if a < b)
+    assert sorted(map(tuple, G.cosine_pairs(held, 0.5).collect())) == [w for w in want if w[2] >= 0.5]
+
+
 def clique(names):
     return {(a, b): 1.0 for i, a in enumerate(names) for b in names[i + 1 :]}
 
